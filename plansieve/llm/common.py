@@ -145,3 +145,12 @@ def ship() -> None:
                     z.write(full, os.path.join(name, os.path.relpath(full, root)))
     sc.addPyFile(path)
     _shipped.add(sc.applicationId)
+
+
+def pack(df: DataFrame, **columns: Column) -> DataFrame:
+    """One struct column `row` with all of df's columns, and the given ones; no names can clash."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), *[v.alias(k) for k, v in columns.items()])
+
+
+def unpack(df: DataFrame) -> DataFrame:
+    return df.select("row.*")

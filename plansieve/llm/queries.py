@@ -2,21 +2,37 @@
 
 from __future__ import annotations
 
-from plansieve.llm import bpe, sharding, token_count
+from plansieve.llm import bpe, decontam, pii, quality_rules, sharding, token_count, url_filter
 from plansieve.llm.common import table
 
 
+def op1_url_filter(spark, sf_dir):
+    return url_filter.report(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+
+
+def op2_pii(spark, sf_dir):
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
 def op4_token_count(spark, sf_dir):
     return token_count.report(table(spark, sf_dir, "documents"))
 
 
+def op6_decontamination(spark, sf_dir):
+    return decontam.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_byte_bpe(spark, sf_dir):
     return bpe.report(table(spark, sf_dir, "documents"))
 
 
+def op8_quality_rules(spark, sf_dir):
+    return quality_rules.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_sharding(spark, sf_dir):
     return sharding.report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op4_token_count, op7_byte_bpe, op10_sharding)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_pii, op4_token_count, op6_decontamination, op7_byte_bpe, op8_quality_rules, op10_sharding)}
+ORACLE_SQL: dict[str, str] = {"op1_url_filter": url_filter.SQL}
