@@ -24,7 +24,7 @@ from pyspark.sql.types import BinaryType
 
 from plansieve.llm.common import ship
 
-CACHE_PIECES = 300_000
+CACHE_PIECES = 600_000
 MEMO_PAIRS = 2_000_000
 
 
@@ -60,6 +60,21 @@ def merge_ranks(piece: bytes, ranks: dict[bytes, int], below: int = 1 << 62) ->
     return parts
 
 
+class Pieces(dict):
+    """Packed ids of the pieces seen so far; forgets all when full, never holds long ones."""
+
+    def __init__(self, codec: "ByteBPE"):
+        self.codec = codec
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = array("I", self.codec.encode_piece(piece.encode())).tobytes()
+        if len(piece) <= 64:
+            if len(self) >= CACHE_PIECES:
+                self.clear()
+            self[piece] = ids
+        return ids
+
+
 class ByteBPE:
     def __init__(self, path: str, pattern: str):
         self.ranks = read_ranks(path)
@@ -84,23 +99,20 @@ class ByteBPE:
             machine.add_word(token.decode("latin-1"), (len(token), rank))
         machine.make_automaton()
         self.machine = machine
-        self.shorter: dict[int, int] = {}
+        self.shorter: dict[int, tuple[int, int]] = {}
         for token in reachable:
             for n in range(len(token) - 1, 0, -1):
                 if token[:n] in reachable:
-                    self.shorter[self.ranks[token]] = self.ranks[token[:n]]
+                    self.shorter[self.ranks[token]] = (n, self.ranks[token[:n]])
                     break
-        self.size = {r: len(t) for r, t in self.bytes_of.items()}
         self.memo: dict[tuple[int, int], bool] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.pieces = Pieces(self)
 
-    def compatible(self, a: int, b: int) -> bool:
-        known = self.memo.get((a, b))
-        if known is None:
-            if len(self.memo) >= MEMO_PAIRS:
-                self.memo.clear()
-            known = self.memo[a, b] = self._compatible(a, b)
-        return known
+    def compatible(self, pair: tuple[int, int]) -> bool:
+        if len(self.memo) >= MEMO_PAIRS:
+            self.memo.clear()
+        ok = self.memo[pair] = self._compatible(*pair)
+        return ok
 
     def _compatible(self, a: int, b: int) -> bool:
         """Undo merges beside the border, latest first; a merge over the border that would
@@ -123,45 +135,42 @@ class ByteBPE:
         whole = self.ranks.get(raw)
         if whole is not None:
             return [whole]
-        longest = [-1] * len(raw)
-        for end, (n, rank) in self.machine.iter(raw.decode("latin-1")):
-            longest[end - n + 1] = rank  # ends ascend, so the last one is the longest
-        size, shorter, compatible = self.size, self.shorter, self.compatible
-        dead = bytearray(len(raw) + 1)
-        out: list[int] = []
-        at, token = 0, longest[0]
-        while at < len(raw):
-            last = out[-1] if out else -1
-            while True:
-                end = at + size[token]
-                if not dead[end] and (last < 0 or compatible(last, token)):
-                    out.append(token)
-                    at = end
-                    token = longest[at] if at < len(raw) else -1
-                    break
-                token = shorter.get(token, -1)
-                if token < 0:
-                    dead[at] = 1
-                    token = out.pop()
-                    at -= size[token]
-                    break
-        return out
+        n = len(raw)
+        longest = [None] * n
+        for end, match in self.machine.iter(raw.decode("latin-1")):
+            longest[end - match[0] + 1] = match  # ends ascend, so the last one is the longest
+        shorter, memo = self.shorter, self.memo
+        out: list[tuple[int, int]] = []
+        dead: set[int] = set()
+        at, match = 0, longest[0]
+        while True:
+            while match is not None:
+                if at + match[0] not in dead:
+                    if not out:
+                        break
+                    pair = (out[-1][1], match[1])
+                    ok = memo.get(pair)
+                    if ok is None:
+                        ok = self.compatible(pair)
+                    if ok:
+                        break
+                match = shorter.get(match[1])
+            if match is None:
+                # nothing fits here: this border is dead, try a shorter token before it
+                dead.add(at)
+                size, rank = out.pop()
+                at -= size
+                match = shorter.get(rank)
+                continue
+            out.append(match)
+            at += match[0]
+            if at == n:
+                return [m[1] for m in out]
+            match = longest[at]
 
     def encode(self, text: str) -> bytes:
         """Ids as packed little-endian unsigned 32-bit integers."""
-        pieces = self.pieces
-        found = self.find(text)
-        out = []
-        for p in found:
-            ids = pieces.get(p)
-            if ids is None:
-                ids = array("I", self.encode_piece(p.encode())).tobytes()
-                if len(p) <= 64:
-                    if len(pieces) >= CACHE_PIECES:
-                        pieces.clear()
-                    pieces[p] = ids
-            out.append(ids)
-        return b"".join(out)
+        return b"".join(map(self.pieces.__getitem__, self.find(text)))
 
     def decode(self, packed: bytes) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, array("I", packed)))
