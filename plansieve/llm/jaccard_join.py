@@ -27,10 +27,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plansieve.llm.common import cut, ship
+from plansieve.llm.common import cut, pack, ship, unpack
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS, STEP, TOLERANCE = 32, 4, 16, 1e-9
@@ -144,9 +144,8 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, 500):
             part = batch.slice(at, 500)
-            keys, sigs, bands, sizes = [], [], [], []
+            sigs, bands, sizes = [], [], []
             for raw in part.column(0).to_pylist():
-                keys.append(xxhash.xxh3_128_digest(raw or b""))
                 sh = shingles(raw)
                 sizes.append(len(sh))
                 if len(sh):
@@ -158,30 +157,30 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     sigs.append(b"")
                     bands.append([])
             yield pa.record_batch(
-                {"doc_id": part.column(1), "key": pa.array(keys, pa.binary()), "weight": pa.array(sizes, pa.int64()), "sig": pa.array(sigs, pa.binary()), "bands": pa.array(bands, pa.list_(pa.int64()))}
+                {"doc_id": part.column(1), "key": part.column(2), "weight": pa.array(sizes, pa.int64()), "sig": pa.array(sigs, pa.binary()), "bands": pa.array(bands, pa.list_(pa.int64()))}
             )
 
 
 def _prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (band, bucket, i, j, key) of texts that have a surviving pair in the unit."""
+    """Rows (band, bucket, i, j, key, block) of texts that have a surviving pair in the unit."""
     needed = least_matches()
-    out: list[list] = [[], [], [], [], []]
+    out: list[list] = [[], [], [], [], [], []]
     for (band, bucket, i, j), rows in _by_unit(batches, 4):
         sigs = np.frombuffer(b"".join(r[2] for r in rows), np.uint32).reshape(len(rows), HASHES)
         side = np.array([r[1] for r in rows]) if i != j else None
         alive = sorted({x for pair in candidate_pairs(sigs, band, side, needed) for x in pair})
         for x in alive:
-            for column, v in zip(out, (band, bucket, i, j, rows[x][0]), strict=True):
+            for column, v in zip(out, (band, bucket, i, j, rows[x][0], rows[x][1]), strict=True):
                 column.append(v)
         if len(out[0]) > 20_000:
             yield _pruned(out)
-            out = [[], [], [], [], []]
+            out = [[], [], [], [], [], []]
     yield _pruned(out)
 
 
 def _pruned(out: list[list]) -> pa.RecordBatch:
-    kinds = (pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
-    return pa.record_batch({k: pa.array(x, t) for k, x, t in zip(("band", "bucket", "i", "j", "key"), out, kinds, strict=True)})
+    kinds = (pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int32())
+    return pa.record_batch({k: pa.array(x, t) for k, x, t in zip(("band", "bucket", "i", "j", "key", "block"), out, kinds, strict=True)})
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -247,20 +246,22 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
-def join(docs: DataFrame) -> DataFrame:
-    """doc_id, class_id, text_id, n_copies, n_links for each row of docs(doc_id, text).
+def key_of(text: Column) -> Column:
+    """128 bits of a digest stand for a text; null is the empty text."""
+    return F.substring(F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256)), 1, 16)
 
-    text_id is the smallest doc_id among the rows of an equal text, class_id the smallest
-    among all texts that chains of links connect, n_copies the rows of the text, n_links the
-    number of other texts at THRESHOLD or above. Null texts are empty texts; texts without a
-    word are linked to none. Rows of a null doc_id take part; an id is null only where all are.
-    """
+
+def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, key) of each row, and (key, class_id, text_id, n_copies, n_links) of each distinct text."""
     ship()
-    raw = F.coalesce(F.col("text"), F.lit("")).cast("binary")
+    key, raw = key_of(F.col("text")), F.coalesce(F.col("text"), F.lit("")).cast("binary")
     kinds = "doc_id long, key binary, weight long, sig binary, bands array<long>"
-    rows = cut(docs.select(raw.alias("raw"), F.col("doc_id").cast("long").alias("doc_id")).mapInArrow(_sketch, kinds))
-    texts = cut(rows.groupBy("key").agg(F.min("doc_id").alias("text_id"), F.count("*").alias("n_copies"), F.first("weight").alias("weight"), F.first("sig").alias("sig"), F.first("bands").alias("bands")))
-
+    rows = cut(docs.select(raw.alias("raw"), F.col("doc_id").cast("long").alias("doc_id"), key.alias("key")).mapInArrow(_sketch, kinds))
+    texts = cut(
+        rows.groupBy("key").agg(
+            F.min("doc_id").alias("text_id"), F.count("*").alias("n_copies"), F.first("weight").alias("weight"), F.first("sig").alias("sig"), F.first("bands").alias("bands")
+        )
+    )
     member = texts.where("weight > 0").select("key", "weight", F.posexplode("bands").alias("band", "bucket"))
     full = (
         member.groupBy("band", "bucket").agg(F.count("*").alias("n"), F.sum(F.greatest("weight", F.lit(MIN_WEIGHT))).alias("w"))
@@ -268,18 +269,17 @@ def join(docs: DataFrame) -> DataFrame:
     )
     block = F.pmod(F.xxhash64("key", "bucket"), F.col("blocks")).cast("int")
     others = F.sequence(F.lit(0), F.col("blocks") - 1)
+    unit = ["band", "bucket", "i", "j"]
     placed = cut(
         member.join(full, ["band", "bucket"]).withColumn("block", block).select("key", "band", "bucket", "block", F.explode(others).alias("other"))
         .select("band", "bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "key", "block")
     )
-    unit = ["band", "bucket", "i", "j"]
     with_sig = placed.join(texts.select("key", "sig"), "key").select(*unit, "key", "block", "sig")
-    alive = cut(_units(with_sig, unit).mapInArrow(_prune, "band int, bucket long, i int, j int, key binary"))
-    # texts come from the one row of each class that holds its smallest id; other rows of the class are equal
-    wanted = alive.join(placed, [*unit, "key"]).select(*unit, "key", "block")
-    keyed = docs.select(raw.alias("raw")).mapInArrow(_keyed, "key binary, raw binary")
-    needed_texts = keyed.join(alive.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.first("raw").alias("raw"))
-    with_text = wanted.join(needed_texts, "key").select(*unit, "key", "block", "raw")
+    alive = cut(_units(with_sig, unit).mapInArrow(_prune, "band int, bucket long, i int, j int, key binary, block int"))
+    # one row of each text that takes part; copies beyond the first leave their task no more
+    needed = docs.select(key.alias("key"), raw.alias("raw")).join(alive.select("key").distinct(), "key", "left_semi")
+    needed = needed.groupBy("key").agg(F.first("raw").alias("raw"))
+    with_text = alive.join(needed, "key").select(*unit, "key", "block", "raw")
     found = cut(_units(with_text, unit).mapInArrow(_verify, "key binary, links long, parent binary"))
 
     links = found.groupBy("key").agg(F.sum("links").alias("n_links"))
@@ -287,14 +287,32 @@ def join(docs: DataFrame) -> DataFrame:
     named = texts.select("key", "text_id", "n_copies").join(links, "key", "left").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
     named = cut(named)
     heads = named.groupBy("root").agg(F.min("text_id").alias("class_id"))
-    named = named.join(heads, "root").select("key", "class_id", "text_id", "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    return rows.select("doc_id", "key").join(named, "key").select("doc_id", "class_id", "text_id", "n_copies", "n_links")
+    return rows.select("doc_id", "key"), cut(
+        named.join(heads, "root").select("key", "class_id", "text_id", "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    )
 
 
-def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        raw = batch.column(0)
-        yield pa.record_batch({"key": pa.array([xxhash.xxh3_128_digest(x) for x in raw.to_pylist()], pa.binary()), "raw": raw})
+def join(docs: DataFrame) -> DataFrame:
+    """doc_id, class_id, text_id, n_copies, n_links for each row of docs(doc_id, text).
+
+    text_id is the smallest doc_id among the rows of an equal text, class_id the smallest
+    among all texts that chains of links connect, n_copies the rows of the text, n_links the
+    number of other texts at THRESHOLD or above. Null texts are empty texts; texts without a
+    word are linked to none. Rows of a null doc_id take part; an id is null only where all are.
+    """
+    rows, named = classes(docs)
+    return rows.join(named, "key").select("doc_id", "class_id", "text_id", "n_copies", "n_links")
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """One row of docs for each class: of those with its smallest doc_id, one."""
+    _, named = classes(docs.select("doc_id", "text"))
+    # a class all of whose ids are null keeps one row of each of its texts
+    heads = named.where("text_id <=> class_id")
+    # the id is part of the join's key, so copies of a text do not meet in one task
+    rows = pack(docs, key=key_of(F.col("text")), id=F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)))
+    kept = rows.join(heads.select("key", F.coalesce("class_id", F.lit(-1)).alias("id")), ["key", "id"])
+    return unpack(kept.groupBy("key", "id").agg(F.first("row").alias("row")))
 
 
 def _units(df: DataFrame, unit: list[str]) -> DataFrame:

@@ -94,7 +94,8 @@ def with_features(docs: DataFrame, text_col: str = "text") -> DataFrame:
         F.length(F.regexp_replace(t, r"[^\p{Lu}]+", "")).cast("long").alias("n_capitals"),
         F.length(F.regexp_replace(t, r"[^!]+", "")).cast("long").alias("n_exclaims"),
     )
-    return df.withColumn("_q", counts).drop("_t", "_w", "_h", "_n", "_win", "_srt", "_l")
+    # a filter that also asks for `_stop` stays above this step; pushed down, it would repeat the counts term by term
+    return df.withColumns({"_q": counts, "_stop": F.monotonically_increasing_id()}).drop("_t", "_w", "_h", "_n", "_win", "_srt", "_l")
 
 
 def base_failed(q: Column) -> Column:
@@ -193,4 +194,4 @@ def filter_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that pass, with their own columns whatever their names."""
     levels = cut(levels_for(docs, labels))
     rows = pack(docs, text=F.col("text"), _stratum=stratum_of(docs))
-    return unpack(judge(with_features(rows), levels).where("kept"))
+    return unpack(judge(with_features(rows), levels).where("kept and _stop >= 0"))
