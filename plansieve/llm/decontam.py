@@ -18,7 +18,7 @@ from math import ceil
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plansieve.llm.common import SPACE_BYTES, SPACE_PATTERN, cut
+from plansieve.llm.common import SPACE_BYTES, SPACE_PATTERN, cut, pack, unpack
 
 #: positions looked at; found by exhaustive search; one of them fits whichever 3 of 13 positions are substituted
 MASKS = ((0, 2, 3, 4), (0, 3, 5, 6))
@@ -48,7 +48,8 @@ def _seed_rows(df: DataFrame, h: str) -> DataFrame:
         )
 
     # where a mask runs over the end its seed is not used
-    spread = df.where(n >= MIN_TOKENS).withColumn("_n", n).select(*keep, "_n", F.inline(F.transform(F.sequence(F.lit(0), n - 1), seeds)))
+    windows = F.when(n >= MIN_TOKENS, F.transform(F.sequence(F.lit(0), n - 1), seeds))
+    spread = df.withColumn("_n", n).select(*keep, "_n", F.inline(windows))
     each = F.explode(
         F.array(*[F.struct((F.col("pos") + m[-1] < F.col("_n")).alias("fits"), F.col(f"s{k}").alias("seed")) for k, m in enumerate(MASKS)])
     )
@@ -56,13 +57,13 @@ def _seed_rows(df: DataFrame, h: str) -> DataFrame:
 
 
 def hits(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """Distinct (key, item_id, shift) of docs(key, h) against items(item_id, h)."""
+    """key, item_id, shift, and the smallest id: alignments of docs(key, id, h) with items(item_id, h)."""
     theirs = _seed_rows(items, "h").withColumnRenamed("pos", "item_pos").distinct()
     theirs = cut(theirs)
     if theirs.count() <= BROADCAST_SEEDS:
         theirs = F.broadcast(theirs)
     ours = _seed_rows(docs, "h")
-    return ours.join(theirs, "seed").select("key", "item_id", (F.col("pos") - F.col("item_pos")).alias("shift")).distinct()
+    return ours.join(theirs, "seed").groupBy("key", "item_id", (F.col("pos") - F.col("item_pos")).alias("shift")).agg(F.min("id").alias("id"))
 
 
 def _agreement(h: Column, item: Column, shift: Column, window: int) -> Column:
@@ -84,37 +85,36 @@ def key_of(text: Column) -> Column:
 def overlaps(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: float = SHARE) -> DataFrame:
     """key, items: for each distinct text with verified overlaps, struct(item_id, agreed) a matched item.
 
-    key is key_of(text), so copies are verified once and repeated or null ids don't matter.
+    key is key_of(text), so copies are verified once (at their smallest id; null ids count as -1).
     """
-    texts = docs.select("text").where(F.col("text").isNotNull())
-    items = cut(
-        benchmark.select("item_id", hashed(F.col("text")).alias("h")).where(F.size("h") >= MIN_TOKENS)
-    )
-    found = cut(hits(texts.select(key_of(F.col("text")).alias("key"), hashed(F.col("text")).alias("h")), items))
+    items = cut(benchmark.select("item_id", hashed(F.col("text")).alias("h")).where(F.size("h") >= MIN_TOKENS))
+    id_ = F.coalesce(F.col("doc_id").cast("long"), F.lit(-1))
+    texts = docs.select(key_of(F.col("text")).alias("key"), id_.alias("id"), F.col("text"))
+    found = cut(hits(texts.select("key", "id", hashed(F.col("text")).alias("h")), items))
+    # one row stands for the copies of a text; with its id in the key the copies don't meet in one task
     wanted = found.join(items.withColumnRenamed("h", "item"), "item_id").groupBy("key").agg(
-        F.collect_list(F.struct("item_id", "shift", "item")).alias("found")
+        F.min("id").alias("id"), F.collect_list(F.struct("item_id", "shift", "item")).alias("found")
     )
-    one = texts.select(key_of(F.col("text")).alias("key"), "text").join(wanted.select("key"), "key", "left_semi").dropDuplicates(["key"])
-    near = one.join(wanted, "key").withColumn("h", hashed(F.col("text")))
+    near = texts.join(wanted, ["key", "id"])
 
-    def judged(x: Column) -> Column:
+    def judged(h: Column, x: Column) -> Column:
         need = F.ceil(F.least(F.size(x["item"]), F.lit(window)) * share)
-        return F.struct(x["item_id"].alias("item_id"), _agreement(F.col("h"), x["item"], x["shift"], window).alias("agreed"), need.alias("need"))
+        return F.struct(x["item_id"].alias("item_id"), _agreement(h, x["item"], x["shift"], window).alias("agreed"), need.alias("need"))
 
-    good = F.filter(F.transform("found", judged), lambda x: x["agreed"] >= x["need"])
-    return near.select("key", F.transform(good, lambda x: F.struct(x["item_id"], x["agreed"])).alias("items")).where(F.size("items") > 0)
+    # h is bound once a text; as a plain column it could be put into the lambda and be made anew for each position
+    tried = F.transform(F.array(hashed(F.col("text"))), lambda h: F.transform("found", lambda x: judged(h, x)))[0]
+    good = F.transform(F.filter(tried, lambda x: x["agreed"] >= x["need"]), lambda x: F.struct(x["item_id"], x["agreed"]))
+    return cut(near.select("key", good.alias("items"))).where(F.size("items") > 0)
 
 
 def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, agreed: a row for each document and item whose passage it holds."""
-    bad = cut(overlaps(docs, benchmark))
+    bad = overlaps(docs, benchmark)
     pairs = bad.select("key", F.explode("items").alias("x")).groupBy("key", "x.item_id").agg(F.max("x.agreed").alias("agreed"))
     return docs.select("doc_id", key_of(F.col("text")).alias("key")).join(pairs, "key").select("doc_id", "item_id", "agreed")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs without any verified overlap."""
-    from plansieve.llm.common import pack, unpack
-
-    bad = cut(overlaps(docs, benchmark).select("key"))
+    bad = overlaps(docs, benchmark).select("key")
     return unpack(pack(docs, key=key_of(F.col("text"))).join(bad, "key", "left_anti"))
