@@ -1,0 +1 @@
+"""Ensemble analytics of districting plans on Spark."""
