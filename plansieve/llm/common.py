@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plansieve.storage import cut, shared_dir, ship  # noqa: F401
+
 #: A word is a maximal run of characters other than space, tab, LF, VT, FF, CR.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 SPACE_PATTERN = r"[\x20\x09-\x0D]+"
@@ -23,29 +23,6 @@ def words_of(text: Column) -> Column:
     return F.filter(parts, lambda w: w != "")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """Folder all executors share: spark.checkpoint.dir, else a default for tests."""
-    sc = spark.sparkContext
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file:///tmp/checkpoints"
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(base)
-    return base
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Cut lineage: one parquet table in the shared folder, read back.
-
-    Unlike localCheckpoint it survives lost executors; unlike checkpoint() it is
-    columnar and compressed. The files stay until the shared folder is cleaned.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def log_gamma(x: Column) -> Column:
     """ln Gamma(x) for x > 0: recurrence up by eight, then Stirling's series (error < 1e-12)."""
     y = x + F.lit(8.0)
@@ -119,34 +96,6 @@ def binom_cdf(k: Column, n: Column, p: Column, steps: int = 300) -> Column:
     return F.when(k >= n, F.lit(1.0)).otherwise(beta_cdf(1.0 - p, n - k, k + 1.0, steps))
 
 
-_shipped: set[str] = set()
-
-
-def ship() -> None:
-    """Make this package importable in Python workers that don't have it on their path.
-
-    Spark's own file server hands the zip to each executor, new ones included.
-    """
-    import os
-    import tempfile
-    import zipfile
-
-    sc = SparkSession.getActiveSession().sparkContext
-    if sc.applicationId in _shipped:
-        return
-    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    name = os.path.basename(root)
-    path = os.path.join(tempfile.mkdtemp(), f"{name}_workers.zip")
-    with zipfile.ZipFile(path, "w") as z:
-        for folder, _, files in os.walk(root):
-            for f in files:
-                if f.endswith(".py"):
-                    full = os.path.join(folder, f)
-                    z.write(full, os.path.join(name, os.path.relpath(full, root)))
-    sc.addPyFile(path)
-    _shipped.add(sc.applicationId)
-
-
 def pack(df: DataFrame, **columns: Column) -> DataFrame:
     """One struct column `row` with all of df's columns, and the given ones; no names can clash."""
     return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), *[v.alias(k) for k, v in columns.items()])
