@@ -31,10 +31,12 @@ PATTERNS = {
     "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
-    "ssn": r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])",
-    "local_phone": r"(?<![0-9+(.-])(?:\([0-9]{3}\)\x20?|[0-9]{3}[\x20.-])[0-9]{3}[\x20.-][0-9]{4}(?![0-9-])",
+    "iban": r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?",
+    "ssn": r"[0-9]{3}-[0-9]{2}-[0-9]{4}",
+    "local_phone": r"(?:\([0-9]{3}\)\x20?|[0-9]{3}[\x20.-])[0-9]{3}[\x20.-][0-9]{4}",
 }
+#: further kinds must not touch these characters, before and after
+BORDERS = {"iban": ("[A-Za-z0-9]", "[A-Za-z0-9]"), "ssn": ("[0-9-]", "[0-9-]"), "local_phone": ("[0-9+(.-]", "[0-9-]")}
 #: what a text must hold for a pattern to be worth trying
 HINTS = {
     "email": lambda t: F.contains(t, F.lit("@")),
@@ -49,17 +51,22 @@ BASE = ("email", "ip", "card", "phone")
 PRIOR = {"email": 0.9, "ip": 0.6, "card": 0.3, "phone": 0.6, "iban": 0.3, "ssn": 0.4, "local_phone": 0.4}
 CHECKSUM_WEIGHT, CONTEXT_WEIGHT = 0.4, 0.3
 CONTEXT = {
-    "email": r"(?i)\b(?:e-?mail|contact|write|reply)\b",
-    "ip": r"(?i)\b(?:ip|host|server|address)\b",
-    "card": r"(?i)\b(?:card|visa|mastercard|credit|debit|payment)\b",
-    "phone": r"(?i)\b(?:phone|tel|telephone|call|mobile|cell|fax)\b",
-    "iban": r"(?i)\b(?:iban|account|bank|konto|compte|cuenta)\b",
-    "ssn": r"(?i)\b(?:ssn|social security)\b",
-    "local_phone": r"(?i)\b(?:phone|tel|telephone|call|mobile|cell|fax)\b",
+    "email": "e-?mail|contact|write|reply",
+    "ip": "ip|host|server|address",
+    "card": "card|visa|mastercard|credit|debit|payment",
+    "phone": "phone|tel|telephone|call|mobile|cell|fax",
+    "iban": "iban|account|bank|konto|compte|cuenta",
+    "ssn": "ssn|social security",
+    "local_phone": "phone|tel|telephone|call|mobile|cell|fax",
 }
 SPAN = "array<struct<kind:string,start:int,end:int,score:double>>"
 
 
+def near_words(kind: str) -> str:
+    """Pattern of a kind's context words, standing by themselves."""
+    return rf"(?i)(?:^|[^\p{{L}}\p{{N}}_])(?:{CONTEXT[kind]})(?:$|[^\p{{L}}\p{{N}}_])"
+
+
 def digits_of(m: Column) -> Column:
     return F.regexp_replace(m, "[^0-9]+", "")
 
@@ -95,6 +102,7 @@ CHECKS = {
     "card": luhn,
     "phone": lambda m: F.length(digits_of(m)).between(*PHONE_DIGITS),
     "iban": mod97,
+    "ssn": lambda m: ~m.rlike("^(?:000|666|9)|-00-|-0000$"),
 }
 
 
@@ -136,10 +144,17 @@ def with_spans(df: DataFrame, text_col: str = "text", out: str = "spans") -> Dat
             end = x["start"] + F.length(x["m"])
             before = F.substring(t, F.greatest(x["start"] - CONTEXT_CHARS, F.lit(0)) + 1, F.least(x["start"], F.lit(CONTEXT_CHARS)))
             after = F.substring(t, end + 1, F.lit(CONTEXT_CHARS))
-            near = F.concat(before, F.lit("\n"), after).rlike(CONTEXT[kind])
+            near = F.concat(before, F.lit("\n"), after).rlike(near_words(kind))
             score = PRIOR[kind] + (CHECKSUM_WEIGHT if check in (luhn, mod97) else 0.0) + F.when(near, CONTEXT_WEIGHT).otherwise(0.0)
             return F.struct(F.lit(kind).alias("kind"), x["start"].alias("start"), end.alias("end"), F.least(score, F.lit(1.0)).alias("score"))
 
+        if kind in BORDERS:
+            before, after = BORDERS[kind]
+            located = F.filter(
+                located,
+                lambda x: ~F.substring(t, F.greatest(x["start"], F.lit(1)), F.when(x["start"] > 0, 1).otherwise(0)).rlike(before)
+                & ~F.substring(t, x["start"] + F.length(x["m"]) + 1, F.lit(1)).rlike(after),
+            )
         found = F.transform(located, scored)
         if kind not in BASE:
             found = F.filter(found, lambda x: x["score"] >= THRESHOLD)

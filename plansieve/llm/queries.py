@@ -7,6 +7,7 @@ from plansieve.llm import (
     decontam,
     jaccard_join,
     lm_score,
+    oracle,
     pii,
     quality_classifier,
     quality_rules,
@@ -72,4 +73,4 @@ QUERIES = {
         op10_sharding,
     )
 }
-ORACLE_SQL: dict[str, str] = {"op1_url_filter": url_filter.SQL}
+ORACLE_SQL: dict[str, str] = dict(oracle.SQL)

@@ -72,7 +72,7 @@ def find_cuts(groups: DataFrame, key: str, size: str, shards: int, budget: int =
             first = bisect_right(prefix, prefix[first] + least) - 1
             last = bisect_right(prefix, k * most) - 1
             wide.update(i for i in range(first, min(last + 1, len(ranges))) if ranges[i][0] < ranges[i][1])
-        if not wide or most == least:
+        if not wide:
             return [ranges[e - 1][1] for e in ends[:-1]]
         parts = _split(groups, key, size, [ranges[i] for i in sorted(wide)], max(2, budget // len(wide)))
         ranges = sorted([r for i, r in enumerate(ranges) if i not in wide] + parts)
@@ -130,7 +130,7 @@ def number(rows: DataFrame, per_bin: int) -> DataFrame:
     """Adds slot, gapless from 0 in each shard, without sorting a whole shard in one task."""
     rows = cut(rows)
     bins = max(1, -(-rows.count() // per_bin))
-    binned = rows.withColumn("_bin", F.pmod(F.xxhash64("doc_id"), F.lit(bins)))
+    binned = rows.withColumn("_bin", F.when(F.lit(bins) > 1, F.pmod(F.xxhash64("doc_id"), F.lit(bins))).otherwise(0))
     starts = (
         binned.groupBy("shard", "_bin").agg(F.count("*").alias("_n"))
         .withColumn("_start", F.sum("_n").over(Window.partitionBy("shard").orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)))
