@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plansieve.storage import row_numbers
+
 
 def validated(nodes: DataFrame, assignment: DataFrame) -> DataFrame:
     if not incomplete_plans(nodes, assignment).isEmpty():
@@ -87,7 +89,7 @@ def to_array(assignment: DataFrame) -> DataFrame:
 
 def from_array(plans: DataFrame, nodes: DataFrame) -> DataFrame:
     """Inverse of to_array over the nodes in id order; a plan of another length raises."""
-    ranked = nodes.select("node_id", (F.row_number().over(Window.orderBy("node_id")) - 1).alias("pos"))
+    ranked = row_numbers(nodes.select("node_id"), "node_id", "pos")
     n = nodes.count()
     size_ok = F.when(F.size("plan") != n, F.raise_error(F.lit("plan and nodes differ in length"))).otherwise(F.col("plan"))
     return plans.select("plan_id", F.posexplode(size_ok).alias("pos", "district")).join(ranked, "pos").select("plan_id", "node_id", "district")

@@ -5,11 +5,12 @@ from __future__ import annotations
 import logging
 import os
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plansieve.functions.geometry import project
 from plansieve.operators.graph import districts_by_centroid
+from plansieve.storage import row_numbers
 
 log = logging.getLogger(__name__)
 CANONICAL = ("pop", "votes_d", "votes_r", "district")
@@ -73,7 +74,7 @@ def to_albers(df: DataFrame, crs: str | None) -> DataFrame:
 
 def numbered(df: DataFrame, order: str = "src_row") -> DataFrame:
     """node_id 0..n-1 in the order of the source's rows."""
-    return df.withColumn("node_id", (F.row_number().over(Window.orderBy(order)) - 1).cast("long"))
+    return row_numbers(df, order, "node_id")
 
 
 def load_mggg(raw: DataFrame, columns: dict[str, list[str]], crs: str | None = None) -> DataFrame:

@@ -7,7 +7,8 @@ import tempfile
 import uuid
 import zipfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -23,15 +24,33 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def row_numbers(df: DataFrame, order: str, name: str) -> DataFrame:
+    """Adds `name`, 0..n-1 in the order of a column, without sorting all rows in one task.
+
+    Rows are dealt by ranges of the column; each range is numbered by itself and moved up by the
+    sizes of the ranges before it, a table of one row a range.
+    """
+    dealt = cut(df.repartitionByRange(F.col(order)).withColumn("_range", F.spark_partition_id()))
+    sizes = dealt.groupBy("_range").agg(F.count("*").alias("_n"))
+    before = sizes.withColumn("_before", F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).drop("_n")
+    within = F.row_number().over(Window.partitionBy("_range").orderBy(order)) - 1
+    return dealt.join(before, "_range").withColumn(name, (F.col("_before") + within).cast("long")).drop("_range", "_before")
+
+
+BATCH_ROWS = 1000
 _shipped: set[str] = set()
 
 
 def ship() -> None:
     """Make this package importable in Python workers that don't have it on their path.
 
-    Spark's own file server hands the zip to each executor, new ones included.
+    Spark's own file server hands the zip to each executor, new ones included. Rows are texts
+    of some KB, or plans: a batch of BATCH_ROWS instead of Spark's default bounds a worker's memory.
     """
-    sc = SparkSession.getActiveSession().sparkContext
+    spark = SparkSession.getActiveSession()
+    sc = spark.sparkContext
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     if sc.applicationId in _shipped:
         return
     root = os.path.dirname(os.path.abspath(__file__))

@@ -98,3 +98,31 @@ def test_registry():
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_geopackage_and_wkb(spark, tmp_path):
+    import sqlite3
+
+    from pyspark.sql import functions as F
+
+    from plansieve.sources import geopackage as gp
+
+    ring = square(2.0)[0]
+    wkb = struct.pack("<BII", 1, 3, 1) + struct.pack("<I", 5) + b"".join(struct.pack("<2d", *p) for p in ring)
+    multi = struct.pack("<BII", 1, 6, 2) + wkb + wkb
+    high = struct.pack("<BII", 1, 1003, 1) + struct.pack("<I", 5) + b"".join(struct.pack("<3d", *p, 9.0) for p in ring)
+    want = [{"x": x, "y": y} for x, y in ring]
+    assert gp.wkb_rings(wkb) == gp.wkb_rings(high) == [want] and gp.wkb_rings(multi) == [want, want] and gp.wkb_rings(None) == []
+    path = str(tmp_path / "x.gpkg")
+    db = sqlite3.connect(path)
+    db.execute("CREATE TABLE gpkg_geometry_columns (table_name TEXT, column_name TEXT)")
+    db.execute("INSERT INTO gpkg_geometry_columns VALUES ('p', 'geom')")
+    db.execute("CREATE TABLE p (fid INTEGER PRIMARY KEY, geom BLOB, TOTPOP INTEGER)")
+    db.execute("INSERT INTO p VALUES (1, ?, 7), (2, NULL, NULL)", (b"GP\0\x02" + b"\0" * 4 + b"\0" * 32 + wkb,))
+    db.commit()
+    db.close()
+    spark.dataSource.register(gp.GeoPackageSource)
+    rows = spark.read.format("geopackage").load(path).orderBy("src_row").collect()
+    assert [(r["src_row"], len(r["rings"]), r["TOTPOP"]) for r in rows] == [(1, 1, "7"), (2, 0, None)]
+    got = spark.createDataFrame([(bytearray(wkb),), (None,)], "g binary").select(gp.rings_of_wkb(F.col("g")).alias("r")).collect()
+    assert [len(r["r"]) for r in got] == [1, 0]
