@@ -252,7 +252,10 @@ def key_of(text: Column) -> Column:
 
 
 def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, key) of each row, and (key, class_id, text_id, n_copies, n_links) of each distinct text."""
+    """(doc_id, key) of each row, and (key, class_id, text_id, n_copies, n_links) of each distinct text.
+
+    No side of the joins here has a bound on its size, so none is left to be broadcast.
+    """
     ship()
     key, raw = key_of(F.col("text")), F.coalesce(F.col("text"), F.lit("")).cast("binary")
     kinds = "doc_id long, key binary, weight long, sig binary, bands array<long>"
@@ -271,15 +274,15 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     others = F.sequence(F.lit(0), F.col("blocks") - 1)
     unit = ["band", "bucket", "i", "j"]
     placed = cut(
-        member.join(full, ["band", "bucket"]).withColumn("block", block).select("key", "band", "bucket", "block", F.explode(others).alias("other"))
+        member.join(full.hint("merge"), ["band", "bucket"]).withColumn("block", block).select("key", "band", "bucket", "block", F.explode(others).alias("other"))
         .select("band", "bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "key", "block")
     )
-    with_sig = placed.join(texts.select("key", "sig"), "key").select(*unit, "key", "block", "sig")
+    with_sig = placed.join(texts.select("key", "sig").hint("merge"), "key").select(*unit, "key", "block", "sig")
     alive = cut(_units(with_sig, unit).mapInArrow(_prune, "band int, bucket long, i int, j int, key binary, block int"))
     # one row of each text that takes part; copies beyond the first leave their task no more
-    needed = docs.select(key.alias("key"), raw.alias("raw")).join(alive.select("key").distinct(), "key", "left_semi")
+    needed = docs.select(key.alias("key"), raw.alias("raw")).join(alive.select("key").distinct().hint("merge"), "key", "left_semi")
     needed = needed.groupBy("key").agg(F.first("raw").alias("raw"))
-    with_text = alive.join(needed, "key").select(*unit, "key", "block", "raw")
+    with_text = alive.join(needed.hint("merge"), "key").select(*unit, "key", "block", "raw")
     found = cut(_units(with_text, unit).mapInArrow(_verify, "key binary, links long, parent binary"))
 
     links = found.groupBy("key").agg(F.sum("links").alias("n_links"))
