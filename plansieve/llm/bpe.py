@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import base64
 from array import array
+from collections.abc import Iterator
 from functools import lru_cache
 
 import ahocorasick
@@ -24,8 +25,8 @@ from pyspark.sql.types import BinaryType
 
 from plansieve.llm.common import ship
 
-CACHE_PIECES = 600_000
-MEMO_PAIRS = 2_000_000
+CACHE_PIECES = 300_000
+MEMO_PAIRS = 400_000
 
 
 def default_path() -> str:
@@ -186,13 +187,15 @@ def encode(text: Column, path: str | None = None, pattern: str | None = None) ->
 
     Each match of `pattern` is encoded by itself, special tokens are plain text, as
     tiktoken's encode_ordinary. Null and empty texts give an empty binary. Other columns,
-    row order and repeated rows are untouched. Memory: one Arrow batch plus two bounded memos.
+    row order and repeated rows are untouched. Memory: one Arrow batch plus two bounded memos, the larger of which a task empties as it ends.
     """
     path, pattern = path or default_path(), pattern or default_pattern()
 
-    def run(texts: pd.Series) -> pd.Series:
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         c = codec(path, pattern)
-        return pd.Series([c.encode(t) if t else b"" for t in texts], dtype=object)
+        for texts in batches:
+            yield pd.Series([c.encode(t) if t else b"" for t in texts], dtype=object)
+        c.pieces.clear()  # an idle worker keeps the vocabulary only
 
     ship()
     return F.pandas_udf(run, BinaryType())(text)
@@ -202,9 +205,10 @@ def decode(packed: Column, path: str | None = None) -> Column:
     """Bytes that packed ids stand for; null gives an empty binary; an unknown id raises."""
     path, pattern = path or default_path(), default_pattern()
 
-    def run(ids: pd.Series) -> pd.Series:
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         c = codec(path, pattern)
-        return pd.Series([c.decode(bytes(i)) if i else b"" for i in ids], dtype=object)
+        for ids in batches:
+            yield pd.Series([c.decode(bytes(i)) if i else b"" for i in ids], dtype=object)
 
     ship()
     return F.pandas_udf(run, BinaryType())(packed)

@@ -51,7 +51,7 @@ def _mix(h: np.ndarray) -> np.ndarray:
 
 class WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 500_000:
+        if len(self) >= 300_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
@@ -159,6 +159,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch(
                 {"doc_id": part.column(1), "key": part.column(2), "weight": pa.array(sizes, pa.int64()), "sig": pa.array(sigs, pa.binary()), "bands": pa.array(bands, pa.list_(pa.int64()))}
             )
+    _word_hash.clear()  # an idle worker keeps nothing
 
 
 def _prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,6 +213,7 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield _verified(out)
             out = [[], [], []]
     yield _verified(out)
+    _word_hash.clear()
 
 
 def _verified(out: list[list]) -> pa.RecordBatch:

@@ -17,6 +17,7 @@ for each distinct chunk of a worker.
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterator
 from functools import lru_cache
 
 import ahocorasick
@@ -30,7 +31,7 @@ from plansieve.llm.common import ship
 
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
-CACHE_CHUNKS = 500_000
+CACHE_CHUNKS = 300_000
 
 
 def default_path() -> str:
@@ -122,9 +123,11 @@ def token_count(text: Column, path: str | None = None) -> Column:
     """
     path = path or default_path()
 
-    def run(texts: pd.Series) -> pd.Series:
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = lattice(path)
-        return pd.Series([model.count(t) if t else 0 for t in texts], dtype="int64")
+        for texts in batches:
+            yield pd.Series([model.count(t) if t else 0 for t in texts], dtype="int64")
+        model.known.clear()
 
     ship()
     return F.pandas_udf(run, "long")(text)
