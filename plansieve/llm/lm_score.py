@@ -185,6 +185,19 @@ def fit_pieces(counts: DataFrame, path: str) -> list[float]:
     return [math.log(w / total) if w else -math.inf for w in weight]
 
 
+def common_from(counts: DataFrame) -> int:
+    """Smallest count from which on at most COMMON words occur, to a sixteenth of a power of two."""
+    step = F.floor(F.log2("c") * 16)
+    levels = counts.where("c > 0").groupBy(step.alias("step")).agg(F.count("*").alias("n"), F.min("c").alias("c")).orderBy(F.desc("step")).collect()
+    least, have = 1 << 62, 0
+    for level in levels:  # about a thousand rows whatever the corpus
+        have += level["n"]
+        if have > COMMON:
+            break
+        least = level["c"]
+    return least
+
+
 def score(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row of docs.
 
@@ -217,7 +230,7 @@ def score(docs: DataFrame, path: str | None = None) -> DataFrame:
             yield pa.record_batch({"word": batch.column(0), "c": batch.column(1), "lp": pa.array(lp, pa.float64())})
 
     known = cut(counts.mapInArrow(lattice_scores, "word binary, c long, lp double"))
-    common = {bytes(w): (c, lp) for w, c, lp in known.orderBy(F.desc("c"), "word").limit(COMMON).collect()}
+    common = {bytes(w): (c, lp) for w, c, lp in known.where(F.col("c") >= common_from(known)).collect()}
     shared = docs.sparkSession.sparkContext.broadcast(common)
     log_all = math.log10(n + ADD * (v + 1))
     end_base, end_score = math.log10(ends + ADD) - log_all, math.log10(max(ends, ADD)) - math.log10(n + k)
