@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plansieve.functions.geometry import area, centroid, contains, segments
-from plansieve.storage import cut
+from plansieve.storage import cut, ship
 
 
 def adjacency(edges: DataFrame) -> DataFrame:
@@ -75,10 +77,43 @@ def build_graph(precincts: DataFrame, pop: str = "pop", votes_d: str = "votes_d"
     return nodes, stitched(nodes, cut(edges)) if stitch else edges
 
 
-def components(nodes: DataFrame, edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """node_id, component: the smallest node id that can be reached.
+#: graphs of at most so many edges are labelled by one task, which holds them as two number arrays
+ONE_TASK_EDGES = 2_000_000
 
-    Label propagation with pointer jumping: labels fall to the neighbourhood's least, then to
+
+def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """node_id, component: the smallest node id that can be reached. Small maps take one task, others rounds of joins."""
+    if edges.limit(ONE_TASK_EDGES + 1).count() <= ONE_TASK_EDGES and nodes.limit(ONE_TASK_EDGES + 1).count() <= ONE_TASK_EDGES:
+        return _components_at_once(nodes, edges)
+    return _components_in_rounds(nodes, edges)
+
+
+def _components_at_once(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    ship()
+
+    def label(key, n: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
+        ids = np.unique(n["node_id"].to_numpy(dtype=np.int64))
+        e = e[e["u"].isin(ids) & e["v"].isin(ids)]
+        u, v = np.searchsorted(ids, e["u"].to_numpy(dtype=np.int64)), np.searchsorted(ids, e["v"].to_numpy(dtype=np.int64))
+        at = np.arange(len(ids))
+        while True:
+            low = np.minimum(at[u], at[v])
+            new = at.copy()
+            # an edge lowers its ends and the labels of its ends
+            for ends in (u, v, at[u], at[v]):
+                np.minimum.at(new, ends, low)
+            while not (new[new] == new).all():
+                new = new[new]
+            if (new == at).all():
+                return pd.DataFrame({"node_id": ids, "component": ids[at]})
+            at = new
+
+    one = F.lit(0).alias("one")
+    return nodes.select(one, "node_id").groupBy("one").cogroup(edges.select(one, "u", "v").groupBy("one")).applyInPandas(label, "node_id long, component long")
+
+
+def _components_in_rounds(nodes: DataFrame, edges: DataFrame, rounds: int = 60) -> DataFrame:
+    """Label propagation with pointer jumping: labels fall to the neighbourhood's least, then to
     their own label's label, so long paths shrink geometrically. Lineage is cut each round.
     """
     adj = cut(adjacency(edges).select("node_id", "neighbor"))
