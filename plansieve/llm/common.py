@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 
 from plansieve.storage import cut, shared_dir, ship  # noqa: F401
 
-#: A word is a maximal run of characters other than space, tab, LF, VT, FF, CR.
-WORD_PATTERN = r"[^\x20\x09-\x0D]+"
+#: what parts words: runs of space, tab, LF, VT, FF, CR
 SPACE_PATTERN = r"[\x20\x09-\x0D]+"
 SPACE_BYTES = " \t\n\x0b\x0c\r"
 
@@ -17,12 +16,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def words_of(text: Column) -> Column:
-    """Array of the words of a text; null and blank texts give an empty array."""
-    parts = F.split(F.coalesce(text, F.lit("")), SPACE_PATTERN, -1)
-    return F.filter(parts, lambda w: w != "")
-
-
 def log_gamma(x: Column) -> Column:
     """ln Gamma(x) for x > 0: recurrence up by eight, then Stirling's series (error < 1e-12)."""
     y = x + F.lit(8.0)
