@@ -98,7 +98,10 @@ def _walks(b: Bridge) -> DataFrame:
 # --- graph ---------------------------------------------------------------------------------
 
 
-@query("SELECT count(*) AS n_nodes, (SELECT count(*) FROM edges) AS n_edges, sum(pop)::BIGINT AS total_pop, round(avg(pop), 9) AS mean_pop, true AS is_connected FROM nodes")
+@query(
+    """, found AS (SELECT 0::BIGINT AS node_id UNION SELECT neighbor FROM found JOIN adj USING (node_id))
+SELECT count(*) AS n_nodes, (SELECT count(*) FROM edges) AS n_edges, sum(pop)::BIGINT AS total_pop, round(avg(pop), 9) AS mean_pop, (SELECT count(*) FROM found) = count(*) AS is_connected FROM nodes"""
+)
 def graph_summary(b):
     return r9(graph.graph_summary(b.nodes(), b.edges()), "mean_pop")
 
@@ -163,7 +166,7 @@ def components(b):
 
 
 @query(
-    "SELECT 'island' AS kind, m.node_id AS u, i.id AS v, round(sqrt((m.x - i.x) ** 2 + (m.y - i.y) ** 2), 9) AS weight FROM "
+    "SELECT 'island' AS kind, m.node_id AS u, i.id::BIGINT AS v, round(sqrt((m.x - i.x) ** 2 + (m.y - i.y) ** 2), 9) AS weight FROM "
     "(SELECT 1000000 AS id, -2.25 AS x, 1.5 AS y UNION ALL SELECT 1000001, -3.25, 2.5) i, LATERAL "
     "(SELECT node_id, x, y FROM nodes ORDER BY (nodes.x - i.x) ** 2 + (nodes.y - i.y) ** 2, node_id LIMIT 1) m"
 )
