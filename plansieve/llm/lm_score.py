@@ -73,58 +73,62 @@ class Lattice:
         machine.make_automaton()
         self.machine = machine
 
-    def edges(self, word: str) -> list[list[tuple[int, tuple[int, ...]]]]:
-        """By end position: (start, ids) of each edge; several ids are a character's bytes."""
+    def edges(self, word: str, logw: list[float]) -> list[list[tuple[int, float, int]]]:
+        """By end position: (start, log weight, piece); piece -1 is a character spelled in bytes."""
         s = MARK + word
         out: list[list] = [[] for _ in s]
-        single = [False] * len(s)
+        alone = [True] * len(s)
         for e, (n, i) in self.machine.iter(s):
-            out[e].append((e + 1 - n, (i,)))
+            out[e].append((e + 1 - n, logw[i], i))
             if n == 1:
-                single[e] = True
-        for e, ok in enumerate(single):
-            if not ok:
-                out[e].append((e, tuple(self.bytes[b] for b in s[e].encode("utf-8", "surrogatepass"))))
+                alone[e] = False
+        if True in alone:
+            for e, bare in enumerate(alone):
+                if bare:
+                    out[e].append((e, sum(logw[self.bytes[b]] for b in s[e].encode()), -1))
         return out
 
-    def forward(self, edges: list, logw: list[float]) -> list[float]:
+    @staticmethod
+    def forward(edges: list) -> list[float]:
         f = [0.0]
+        put, exp, log = f.append, math.exp, math.log
         for into in edges:
             if len(into) == 1:
-                s, ids = into[0]
-                f.append(f[s] + sum(logw[i] for i in ids))
-                continue
-            terms = [f[s] + (logw[ids[0]] if len(ids) == 1 else sum(logw[i] for i in ids)) for s, ids in into]
-            top = max(terms)
-            f.append(top + math.log(sum(math.exp(v - top) for v in terms)))
+                s, w, _ = into[0]
+                put(f[s] + w)
+            else:
+                terms = [f[s] + w for s, w, _ in into]
+                top = max(terms)
+                put(top + log(sum([exp(v - top) for v in terms])))
         return f
 
     def log_prob(self, word: str, logw: list[float]) -> float:
         """Natural log of the probability of all segmentations of a word together."""
-        return self.forward(self.edges(word), logw)[-1]
+        return self.forward(self.edges(word, logw))[-1]
 
     def expect(self, word: str, times: float, logw: list[float], into: dict[int, float]) -> None:
         """Adds the expected number of uses of each piece in `times` occurrences of a word."""
-        edges = self.edges(word)
-        f = self.forward(edges, logw)
-        total = f[-1]
-        # back[p]: log probability of what follows position p, given the word
-        back = [-math.inf] * len(f)
-        back[-1] = 0.0
+        edges = self.edges(word, logw)
+        f = self.forward(edges)
+        total, exp = f[-1], math.exp
+        # after[p]: terms of the log probability of what follows position p, given the word
+        after: list[list[float]] = [[] for _ in f]
+        after[-1].append(0.0)
         for e in range(len(edges) - 1, -1, -1):
-            b = back[e + 1]
-            if b == -math.inf:
+            terms = after[e + 1]
+            if not terms:
                 continue
-            for s, ids in edges[e]:
-                w = b + (logw[ids[0]] if len(ids) == 1 else sum(logw[i] for i in ids))
-                share = times * math.exp(f[s] + w - total)
-                for i in ids:
+            top = max(terms)
+            b = top if len(terms) == 1 else top + math.log(sum([exp(v - top) for v in terms]))
+            for s, w, i in edges[e]:
+                w += b
+                after[s].append(w)
+                share = times * exp(f[s] + w - total)
+                if i >= 0:
                     into[i] = into.get(i, 0.0) + share
-                o = back[s]
-                if o == -math.inf:
-                    back[s] = w
                 else:
-                    back[s] = (o + math.log1p(math.exp(w - o))) if o > w else (w + math.log1p(math.exp(o - w)))
+                    for byte in (MARK + word)[e].encode():
+                        into[self.bytes[byte]] = into.get(self.bytes[byte], 0.0) + share
 
 
 @lru_cache(maxsize=2)
