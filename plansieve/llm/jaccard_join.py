@@ -36,7 +36,7 @@ SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS, STEP, TOLERANCE = 32, 4, 16, 1e-9
 HASHES = BANDS * ROWS
 #: shingles (each counting once, a text at least MIN_WEIGHT) in a block of a bucket
-BLOCK_WEIGHT, MIN_WEIGHT = 50_000, 100
+BLOCK_WEIGHT, MIN_WEIGHT = 100_000, 100
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _rng = np.random.default_rng(20240229)
 _XOR = _rng.integers(0, 1 << 32, HASHES, dtype=np.uint64).astype(np.uint32)
@@ -105,7 +105,8 @@ def candidate_pairs(sigs: np.ndarray, band: int, side: np.ndarray | None, needed
         js = np.arange(i + 1, n)
         if side is not None:
             js = js[side[js] != side[i]]
-        # only pairs that share no earlier band
+        # only pairs that share this band, whatever hash brought them here, and no earlier one
+        js = js[(bands[js, band] == bands[i, band]).all(axis=1)]
         if band and len(js):
             js = js[~(bands[js, :band] == bands[i, :band]).all(axis=2).any(axis=1)]
         same = np.zeros(len(js), np.int32)
@@ -127,68 +128,75 @@ def jaccard_at_least(a: np.ndarray, b: np.ndarray, t: float = THRESHOLD) -> bool
 
 
 def _by_unit(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, list[list]]]:
-    """Rows of sorted batches, grouped by their first `keys` columns: (key, rows)."""
-    key, rows = None, []
+    """Rows of sorted batches, grouped by their first `keys` columns: (key, rows); one row a text, named by the next column."""
+    key, rows = None, {}
     for batch in batches:
         for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if row[:keys] != key:
                 if rows:
-                    yield key, rows
-                key, rows = row[:keys], []
-            rows.append(row[keys:])
+                    yield key, list(rows.values())
+                key, rows = row[:keys], {}
+            rows[row[keys]] = row[keys:]
     if rows:
-        yield key, rows
+        yield key, list(rows.values())
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, 500):
             part = batch.slice(at, 500)
-            sigs, bands, sizes = [], [], []
+            sigs, sizes = [], []
             for raw in part.column(0).to_pylist():
                 sh = shingles(raw)
                 sizes.append(len(sh))
-                if len(sh):
-                    s = signature(sh)
-                    sigs.append(s.tobytes())
-                    b = _mix(_mix(s[0::4].astype(np.uint64) << np.uint64(32) | s[1::4]) + (s[2::4].astype(np.uint64) << np.uint64(32) | s[3::4]))
-                    bands.append((_mix(b + np.arange(BANDS, dtype=np.uint64))).astype(np.int64))
-                else:
-                    sigs.append(b"")
-                    bands.append([])
+                sigs.append(signature(sh).tobytes() if len(sh) else b"")
             yield pa.record_batch(
-                {"doc_id": part.column(1), "key": part.column(2), "weight": pa.array(sizes, pa.int64()), "sig": pa.array(sigs, pa.binary()), "bands": pa.array(bands, pa.list_(pa.int64()))}
+                {"doc_id": part.column(1), "key": part.column(2), "weight": pa.array(sizes, pa.int64()), "sig": pa.array(sigs, pa.binary())}
             )
     _word_hash.clear()  # an idle worker keeps nothing
 
 
+def band_buckets(sigs: np.ndarray) -> np.ndarray:
+    """(texts, BANDS) hashes of the bands' values; the low five bits are the band itself."""
+    s = sigs.reshape(len(sigs), BANDS, ROWS).astype(np.uint64)
+    h = _mix(_mix(s[:, :, 0] << np.uint64(32) | s[:, :, 1]) + (s[:, :, 2] << np.uint64(32) | s[:, :, 3]))
+    return (h & ~np.uint64(BANDS - 1) | np.arange(BANDS, dtype=np.uint64)).view(np.int64)
+
+
+def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        if batch.num_rows:
+            sigs = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(-1, HASHES)
+            yield pa.record_batch({"short": pa.array(np.repeat(batch.column(0).to_numpy(), BANDS)), "bucket": pa.array(band_buckets(sigs).ravel())})
+
+
 def _prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (band, bucket, i, j, key, block) of texts that have a surviving pair in the unit."""
+    """Rows (bucket, i, j, key, block) of texts that have a surviving pair in the unit."""
     needed = least_matches()
-    out: list[list] = [[], [], [], [], [], []]
-    for (band, bucket, i, j), rows in _by_unit(batches, 4):
+    out: list[list] = [[], [], [], [], []]
+    for (bucket, i, j), rows in _by_unit(batches, 3):
         sigs = np.frombuffer(b"".join(r[2] for r in rows), np.uint32).reshape(len(rows), HASHES)
         side = np.array([r[1] for r in rows]) if i != j else None
-        alive = sorted({x for pair in candidate_pairs(sigs, band, side, needed) for x in pair})
+        alive = sorted({x for pair in candidate_pairs(sigs, bucket & (BANDS - 1), side, needed) for x in pair})
         for x in alive:
-            for column, v in zip(out, (band, bucket, i, j, rows[x][0], rows[x][1]), strict=True):
+            for column, v in zip(out, (bucket, i, j, rows[x][0], rows[x][1]), strict=True):
                 column.append(v)
         if len(out[0]) > 20_000:
             yield _pruned(out)
-            out = [[], [], [], [], [], []]
+            out = [[], [], [], [], []]
     yield _pruned(out)
 
 
 def _pruned(out: list[list]) -> pa.RecordBatch:
-    kinds = (pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int32())
-    return pa.record_batch({k: pa.array(x, t) for k, x, t in zip(("band", "bucket", "i", "j", "key", "block"), out, kinds, strict=True)})
+    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int32())
+    return pa.record_batch({k: pa.array(x, t) for k, x, t in zip(("bucket", "i", "j", "key", "block"), out, kinds, strict=True)})
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (key, links, parent): exact links of a text in a unit, and a tree edge to another text if it has one."""
     needed = least_matches()
     out: list[list] = [[], [], []]
-    for (band, _, i, j), rows in _by_unit(batches, 4):
+    for (bucket, i, j), rows in _by_unit(batches, 3):
         sets = [shingles(r[2]) for r in rows]
         sigs = np.stack([signature(s) for s in sets])
         side = np.array([r[1] for r in rows]) if i != j else None
@@ -200,7 +208,7 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 x = parent[x]
             return x
 
-        for a, b in candidate_pairs(sigs, band, side, needed):
+        for a, b in candidate_pairs(sigs, bucket & (BANDS - 1), side, needed):
             if jaccard_at_least(sets[a], sets[b]):
                 links[a] += 1
                 links[b] += 1
@@ -260,30 +268,36 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     ship()
     key, raw = key_of(F.col("text")), F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    kinds = "doc_id long, key binary, weight long, sig binary, bands array<long>"
+    kinds = "doc_id long, key binary, weight long, sig binary"
     rows = cut(docs.select(raw.alias("raw"), F.col("doc_id").cast("long").alias("doc_id"), key.alias("key")).mapInArrow(_sketch, kinds))
     texts = cut(
         rows.groupBy("key").agg(
-            F.min("doc_id").alias("text_id"), F.count("*").alias("n_copies"), F.first("weight").alias("weight"), F.first("sig").alias("sig"), F.first("bands").alias("bands")
+            F.min("doc_id").alias("text_id"), F.count("*").alias("n_copies"), F.first("weight").alias("weight"), F.first("sig").alias("sig")
         )
     )
-    member = texts.where("weight > 0").select("key", "weight", F.posexplode("bands").alias("band", "bucket"))
-    full = (
-        member.groupBy("band", "bucket").agg(F.count("*").alias("n"), F.sum(F.greatest("weight", F.lit(MIN_WEIGHT))).alias("w"))
-        .where("n > 1").select("band", "bucket", F.ceil(F.col("w") / BLOCK_WEIGHT).cast("int").alias("blocks"))
+    # every text has BANDS rows here, so they carry a short hash of its key; where two keys share
+    # one, both texts come back with it and their signatures tell them apart
+    short = texts.withColumn("short", F.xxhash64("key"))
+    member = short.where("weight > 0").select("short", "sig").mapInArrow(_bands, "short long, bucket long")
+    full = member.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
+    met = cut(
+        member.join(full.hint("merge"), "bucket")
+        .join(short.select("short", "key", F.greatest("weight", F.lit(MIN_WEIGHT)).alias("weight")).hint("merge"), "short").select("bucket", "key", "weight")
     )
+    blocks = met.groupBy("bucket").agg(F.ceil(F.sum("weight") / BLOCK_WEIGHT).cast("int").alias("blocks"))
     block = F.pmod(F.xxhash64("key", "bucket"), F.col("blocks")).cast("int")
     others = F.sequence(F.lit(0), F.col("blocks") - 1)
-    unit = ["band", "bucket", "i", "j"]
-    placed = cut(
-        member.join(full.hint("merge"), ["band", "bucket"]).withColumn("block", block).select("key", "band", "bucket", "block", F.explode(others).alias("other"))
-        .select("band", "bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "key", "block")
+    unit = ["bucket", "i", "j"]
+    placed = (
+        met.join(blocks.hint("merge"), "bucket").withColumn("block", block).select("key", "bucket", "block", F.explode(others).alias("other"))
+        .select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "key", "block")
     )
     with_sig = placed.join(texts.select("key", "sig").hint("merge"), "key").select(*unit, "key", "block", "sig")
-    alive = cut(_units(with_sig, unit).mapInArrow(_prune, "band int, bucket long, i int, j int, key binary, block int"))
-    # one row of each text that takes part; copies beyond the first leave their task no more
-    needed = docs.select(key.alias("key"), raw.alias("raw")).join(alive.select("key").distinct().hint("merge"), "key", "left_semi")
-    needed = needed.groupBy("key").agg(F.first("raw").alias("raw"))
+    alive = cut(_units(with_sig, unit).mapInArrow(_prune, "bucket long, i int, j int, key binary, block int"))
+    # texts are fetched at their smallest id; with the id in the join's key, copies don't meet in one task
+    wanted = alive.select("key").distinct().join(texts.select("key", F.coalesce("text_id", F.lit(-1)).alias("id")).hint("merge"), "key")
+    needed = docs.select(key.alias("key"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("id"), raw.alias("raw"))
+    needed = needed.join(wanted.hint("merge"), ["key", "id"]).groupBy("key", "id").agg(F.first("raw").alias("raw")).select("key", "raw")
     with_text = alive.join(needed.hint("merge"), "key").select(*unit, "key", "block", "raw")
     found = cut(_units(with_text, unit).mapInArrow(_verify, "key binary, links long, parent binary"))
 
