@@ -25,8 +25,8 @@ from pyspark.sql.types import BinaryType
 
 from plansieve.llm.common import ship
 
-CACHE_PIECES = 300_000
-MEMO_PAIRS = 400_000
+CACHE_PIECES = 150_000
+MEMO_PAIRS = 200_000
 
 
 def default_path() -> str:

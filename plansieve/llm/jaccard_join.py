@@ -49,24 +49,13 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-class WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= 300_000:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-_word_hash = WordHashes()
-
-
 def shingles(raw: bytes | None) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the five-word shingles; shorter texts with a word have one, of all their words."""
     words = raw.split() if raw else []
     n = len(words)
     if not n:
         return np.zeros(0, np.uint64)
-    h = np.fromiter(map(_word_hash.__getitem__, words), np.uint64, n)
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, n)
     width = min(SHINGLE, n)
     out = np.zeros(n - width + 1, np.uint64)
     for k in range(width):
@@ -153,7 +142,6 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch(
                 {"doc_id": part.column(1), "key": part.column(2), "weight": pa.array(sizes, pa.int64()), "sig": pa.array(sigs, pa.binary())}
             )
-    _word_hash.clear()  # an idle worker keeps nothing
 
 
 def band_buckets(sigs: np.ndarray) -> np.ndarray:
@@ -221,7 +209,6 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield _verified(out)
             out = [[], [], []]
     yield _verified(out)
-    _word_hash.clear()
 
 
 def _verified(out: list[list]) -> pa.RecordBatch:
@@ -294,10 +281,10 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     )
     with_sig = placed.join(texts.select("key", "sig").hint("merge"), "key").select(*unit, "key", "block", "sig")
     alive = cut(_units(with_sig, unit).mapInArrow(_prune, "bucket long, i int, j int, key binary, block int"))
-    # texts are fetched at their smallest id; with the id in the join's key, copies don't meet in one task
+    # texts stream past a hash table of keys and are not sorted; they are fetched at their smallest id: with the id in the join's key, copies don't meet in one task
     wanted = alive.select("key").distinct().join(texts.select("key", F.coalesce("text_id", F.lit(-1)).alias("id")).hint("merge"), "key")
     needed = docs.select(key.alias("key"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("id"), raw.alias("raw"))
-    needed = needed.join(wanted.hint("merge"), ["key", "id"]).groupBy("key", "id").agg(F.first("raw").alias("raw")).select("key", "raw")
+    needed = needed.join(wanted.hint("shuffle_hash"), ["key", "id"]).groupBy("key", "id").agg(F.first("raw").alias("raw")).select("key", "raw")
     with_text = alive.join(needed.hint("merge"), "key").select(*unit, "key", "block", "raw")
     found = cut(_units(with_text, unit).mapInArrow(_verify, "key binary, links long, parent binary"))
 
@@ -325,13 +312,18 @@ def join(docs: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """One row of docs for each class: of those with its smallest doc_id, one."""
-    _, named = classes(docs.select("doc_id", "text"))
+    ids, named = classes(docs.select("doc_id", "text"))
     # a class all of whose ids are null keeps one row of each of its texts
     heads = named.where("text_id <=> class_id")
     # the id is part of the join's key, so copies of a text do not meet in one task
     rows = pack(docs, key=key_of(F.col("text")), id=F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)))
-    kept = rows.join(heads.select("key", F.coalesce("class_id", F.lit(-1)).alias("id")), ["key", "id"])
-    return unpack(kept.groupBy("key", "id").agg(F.first("row").alias("row")))
+    # rows stream past a hash table of the heads' keys and are not sorted
+    heads = heads.select("key", F.coalesce("class_id", F.lit(-1)).alias("id")).hint("shuffle_hash")
+    kept = rows.join(heads, ["key", "id"], "left_semi")
+    repeated = ids.groupBy("key", F.coalesce("doc_id", F.lit(-1))).count().where("count > 1")
+    if not repeated.isEmpty():
+        kept = kept.groupBy("key", "id").agg(F.first("row").alias("row"))
+    return unpack(kept)
 
 
 def _units(df: DataFrame, unit: list[str]) -> DataFrame:
