@@ -10,6 +10,7 @@ from plansieve.plans import chain, kernels, spectral
 from plansieve.sources import loaders, synthetic
 from plansieve.sources.bridge import K, PLANS, WIDTH, Bridge
 
+# A query whose SQL names some plans only keeps them; the same operator over every plan is <name>_all_plans.
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
@@ -123,6 +124,12 @@ def shared_boundary(b):
     return r9(ed.groupBy(F.col("du").alias("district"), F.col("dv").alias("neighbor")).agg(F.sum("weight").alias("boundary")), "boundary")
 
 
+@query("SELECT plan_id, du AS district, dv AS neighbor, count(*)::DOUBLE AS boundary FROM ed WHERE du <> dv GROUP BY plan_id, du, dv")
+def shared_boundary_all_plans(b):
+    ed = partition.edge_districts(graph.shared_boundary(b.polygons()), b.assignment()).where("du <> dv")
+    return r9(ed.groupBy("plan_id", F.col("du").alias("district"), F.col("dv").alias("neighbor")).agg(F.sum("weight").alias("boundary")), "boundary")
+
+
 @query("SELECT node_id, 1.0::DOUBLE AS area, 4.0::DOUBLE AS perimeter, x + 0.5 AS cx, y + 0.5 AS cy FROM nodes", base=True)
 def polygon_measures(b):
     return r9(graph.polygon_table(b.polygons()), "area", "perimeter", "cx", "cy")
@@ -165,6 +172,16 @@ def components(b):
     return graph.components(b.nodes(), inner)
 
 
+@query()
+def components_all_plans(b):
+    """plan_id, node_id, component: a node of a plan is one vertex, numbered plan by plan."""
+    n, a = b.n(), b.assignment()
+    at = F.col("plan_id") * n
+    inner = partition.edge_districts(b.edges(), a).where("du = dv").select((at + F.col("u")).alias("u"), (at + F.col("v")).alias("v"), "weight")
+    found = graph.components(a.select((at + F.col("node_id")).alias("node_id")), inner)
+    return found.select(F.expr(f"node_id div {n}").alias("plan_id"), (F.col("node_id") % n).alias("node_id"), (F.col("component") % n).alias("component"))
+
+
 @query(
     "SELECT 'island' AS kind, m.node_id AS u, i.id::BIGINT AS v, round(sqrt((m.x - i.x) ** 2 + (m.y - i.y) ** 2), 9) AS weight FROM "
     "(SELECT 1000000 AS id, -2.25 AS x, 1.5 AS y UNION ALL SELECT 1000001, -3.25, 2.5) i, LATERAL "
@@ -202,12 +219,23 @@ def dense_relabel(b):
     return partition.dense_relabel(b.assignment(3).withColumn("district", F.col("district") * 3 + 5))
 
 
+@query("SELECT plan_id, node_id, (dense_rank() OVER (PARTITION BY plan_id ORDER BY d) - 1)::INT AS district FROM (SELECT plan_id, node_id, district * 3 + 5 AS d FROM asg)")
+def dense_relabel_all_plans(b):
+    return partition.dense_relabel(b.assignment().withColumn("district", F.col("district") * 3 + 5))
+
+
 @query("SELECT plan_id, count(*) AS n_missing FROM asg WHERE plan_id < 3 AND node_id % (plan_id + 5) = 0 AND plan_id > 0 GROUP BY plan_id")
 def plan_validate_anti(b):
     holes = b.assignment(3).where("not (plan_id > 0 and node_id % (plan_id + 5) = 0)")
     return partition.incomplete_plans(b.nodes(), holes)
 
 
+@query("SELECT plan_id, count(*) AS n_missing FROM asg WHERE node_id % (plan_id + 5) = 0 AND plan_id > 0 GROUP BY plan_id")
+def plan_validate_anti_all_plans(b):
+    holes = b.assignment().where("not (plan_id > 0 and node_id % (plan_id + 5) = 0)")
+    return partition.incomplete_plans(b.nodes(), holes)
+
+
 # --- plans ---------------------------------------------------------------------------------
 
 
@@ -236,6 +264,11 @@ def flip_plan(b):
     return partition.flip(b.assignment(3), 7, 5, 1)
 
 
+@query("SELECT plan_id, node_id, CASE WHEN plan_id = 1 AND node_id = 7 THEN 5 ELSE district END AS district FROM asg")
+def flip_plan_all_plans(b):
+    return partition.flip(b.assignment(), 7, 5, 1)
+
+
 @query("SELECT plan_id, string_agg(district::VARCHAR, ',' ORDER BY node_id) AS plan FROM asg GROUP BY plan_id")
 def plan_to_array(b):
     return partition.to_array(b.assignment()).select("plan_id", F.array_join(F.transform("plan", lambda d: d.cast("string")), ",").alias("plan"))
@@ -246,6 +279,11 @@ def plan_from_array(b):
     return partition.from_array(partition.to_array(b.assignment(2)), b.nodes()).select("plan_id", "node_id", "district")
 
 
+@query("SELECT plan_id, node_id, district FROM asg")
+def plan_from_array_all_plans(b):
+    return partition.from_array(partition.to_array(b.assignment()), b.nodes()).select("plan_id", "node_id", "district")
+
+
 @query(
     """, flips AS (SELECT 0::BIGINT AS plan_id, o_orderkey AS step, o_custkey AS node_id, (o_orderkey % 8)::INT AS district FROM orders),
 moved AS (SELECT a.plan_id, a.node_id, coalesce((SELECT arg_max(f.district, f.step) FROM flips f WHERE f.node_id = a.node_id), a.district) AS district FROM asg a WHERE a.plan_id = 0)
@@ -258,6 +296,18 @@ def flip_log_totals(b):
     return run.groupBy("district").agg(F.max_by("pop", "step").alias("pop"))
 
 
+@query(
+    """, last_ AS (SELECT o_custkey AS node_id, (max(o_orderkey) % 8)::INT AS district FROM orders GROUP BY o_custkey)
+SELECT plan_id, coalesce(last_.district, asg.district) AS district, sum(pop)::BIGINT AS pop FROM asg JOIN nodes USING (node_id) LEFT JOIN last_ USING (node_id) GROUP BY ALL"""
+)
+def flip_log_totals_all_plans(b):
+    """The log of flip_log_totals replayed on every plan."""
+    plan = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(PLANS - 1).cast("long")))
+    flips = b.table("orders").select(plan.alias("plan_id"), F.col("o_orderkey").alias("step"), F.col("o_custkey").alias("node_id"), (F.col("o_orderkey") % 8).cast("int").alias("district"))
+    run = partition.pop_deltas(b.nodes(), b.assignment(), flips)
+    return run.groupBy("plan_id", "district").agg(F.max_by("pop", "step").alias("pop"))
+
+
 @query(
     """, pos AS (SELECT node_id, ((node_id * 7919) % nn)::DOUBLE AS fiedler, pop FROM nodes, cnt),
 cum AS (SELECT *, sum(pop) OVER (ORDER BY fiedler, node_id ROWS UNBOUNDED PRECEDING) AS c, row_number() OVER (ORDER BY fiedler, node_id) - 1 AS rk FROM pos),
@@ -345,6 +395,11 @@ def diameter_two_bfs(b):
     return kernels.diameters(b.edges(), b.assignment().where("plan_id = 0")).select("district", "diameter")
 
 
+@query()
+def diameter_two_bfs_all_plans(b):
+    return kernels.diameters(b.edges(), b.assignment())
+
+
 @query()
 def mst_diameter(b):
     return r9(metrics.mst_diameter(b.edges(), b.assignment()), "mst_diameter")
@@ -364,6 +419,11 @@ def district_connected(b):
     return kernels.connectivity(b.edges(), b.assignment().where("plan_id < 3"))
 
 
+@query()
+def district_connected_all_plans(b):
+    return kernels.connectivity(b.edges(), b.assignment())
+
+
 @query("SELECT plan_id, round(cut_edge_ratio, 9) AS cut_edge_ratio, round(modularity, 9) AS modularity, round(efficiency_gap, 9) AS efficiency_gap, round(mean_median, 9) AS mean_median FROM wide")
 def all_metrics_relational(b):
     m = metrics.all_metrics(b.nodes(), b.edges(), b.assignment(), diameter=False)
