@@ -59,7 +59,7 @@ def with_features(docs: DataFrame, text_col: str = "text") -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit(""))
     trimmed = F.btrim(text, F.lit(SPACE_BYTES))
     df = docs.withColumn("_t", trimmed)
-    t = F.col("_t")
+    t = F.col("_t")  # for words only: trimming would change the first and the last line
     df = df.withColumn("_w", F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, SPACE_PATTERN, -1)))
     df = df.withColumn("_h", _zip_hash(F.col("_w"))).withColumn("_n", F.size("_w"))
     h, n = F.col("_h"), F.col("_n")
@@ -81,7 +81,7 @@ def with_features(docs: DataFrame, text_col: str = "text") -> DataFrame:
             lambda x: x["i"],
         )
     )
-    lines = F.filter(F.split(t, "\n", -1), lambda x: F.btrim(x, F.lit(SPACE_BYTES)) != "")
+    lines = F.filter(F.split(text, "\n", -1), lambda x: F.btrim(x, F.lit(SPACE_BYTES)) != "")
     df = df.withColumn("_l", lines)
     counts = F.struct(
         n.cast("long").alias("n_words"),

@@ -365,6 +365,13 @@ def test_quality_base_counts(spark, odd, none):
     assert kept.columns == odd.columns and kept.isEmpty()
 
 
+def test_lines_keep_their_outer_space(spark):
+    texts = ["A\r\nB\r\nA\r\n", "x\nfoo\nfoo ", " x\ny\nx", "\t x\n\t x\n", "\n\na \nb\na \n\n"]
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    got = {r["doc_id"]: r["n_dup_lines"] for r in quality_rules.report(docs_of(spark, texts), labels).collect()}
+    assert got == {i: base_counts(t)[3] for i, t in enumerate(texts)} == {0: 1, 1: 0, 2: 0, 3: 1, 4: 1}
+
+
 def test_levels_carry_the_guarantee(spark):
     rng = random.Random(3)
     good, bad = prose(rng, 700), [t.upper().replace(" ", "!! ") for t in prose(rng, 80)]
