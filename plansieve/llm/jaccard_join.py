@@ -292,9 +292,13 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     roots = components(found.select(F.col("key").alias("a"), F.col("parent").alias("b")))
     named = texts.select("key", "text_id", "n_copies").join(links, "key", "left").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
     named = cut(named)
-    heads = named.groupBy("root").agg(F.min("text_id").alias("class_id"))
+    # ids can be null or shared by texts, so one text stands for the class by its key as well
+    first = F.struct(F.col("text_id").isNull(), "text_id", "key")
+    heads = named.groupBy("root").agg(F.min("text_id").alias("class_id"), F.min_by("key", first).alias("head"))
     return rows.select("doc_id", "key"), cut(
-        named.join(heads, "root").select("key", "class_id", "text_id", "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+        named.join(heads, "root").select(
+            "key", "class_id", "text_id", "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links"), (F.col("key") == F.col("head")).alias("is_head")
+        )
     )
 
 
@@ -311,10 +315,9 @@ def join(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One row of docs for each class: of those with its smallest doc_id, one."""
+    """One row of docs for each class, null or shared ids or not: of its text with the smallest (doc_id, key), one row."""
     ids, named = classes(docs.select("doc_id", "text"))
-    # a class all of whose ids are null keeps one row of each of its texts
-    heads = named.where("text_id <=> class_id")
+    heads = named.where("is_head")
     # the id is part of the join's key, so copies of a text do not meet in one task
     rows = pack(docs, key=key_of(F.col("text")), id=F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)))
     # rows stream past a hash table of the heads' keys and are not sorted

@@ -265,6 +265,15 @@ def test_join_odd_rows(spark, odd, none):
     assert kept.columns == odd.columns and kept.count() == odd.select(F.coalesce("text", F.lit(""))).distinct().count()
 
 
+@pytest.mark.parametrize("ids", [(None, None, None), (7, 7, 7), (None, 7, 7)])
+def test_one_row_of_a_class_whatever_its_ids(spark, ids):
+    words = prose(random.Random(4), 1)[0].split() * 2
+    texts = [" ".join(words), " ".join([*words, "more"]), " ".join([*words, "other"])]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in zip(ids, texts, strict=True)], SCHEMA)
+    assert [r["n_links"] for r in jaccard_join.join(docs).collect()] == [2, 2, 2]
+    assert jaccard_join.keep_one(docs).count() == 1
+
+
 def test_pruning_keeps_what_can_reach_the_threshold():
     for n, least in jaccard_join.least_matches():
         assert jaccard_join.beta_tail(least, n, 0.8) >= 1e-9 and (least == 0 or jaccard_join.beta_tail(least - 1, n, 0.8) < 1e-9)
