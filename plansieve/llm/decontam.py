@@ -22,6 +22,8 @@ from plansieve.llm.common import SPACE_BYTES, SPACE_PATTERN, cut, pack, unpack
 
 #: positions looked at; found by exhaustive search; one of them fits whichever 3 of 13 positions are substituted
 MASKS = ((0, 2, 3, 4), (0, 3, 5, 6))
+#: for items shorter than WINDOW one of MASKS or these fits whatever SHARE lets differ
+SHORT_MASKS = ((0, 1, 2, 5),)
 WINDOW, SHARE, MIN_TOKENS = 13, 0.75, 8
 #: largest number of benchmark seeds to broadcast (about 100 MB as a hash table); beyond it the join shuffles
 BROADCAST_SEEDS = 1_000_000
@@ -36,33 +38,38 @@ def hashed(text: Column) -> Column:
     return F.transform(tokens(text), lambda w: F.xxhash64(w))
 
 
-def _seed_rows(df: DataFrame, h: str) -> DataFrame:
-    """df's columns but h, and pos, seed: one row for each mask at each position."""
+def _seed_rows(df: DataFrame, h: str, masks: tuple = MASKS, least: int = MIN_TOKENS) -> DataFrame:
+    """df's columns but h, and pos, seed: one row for each mask at each position of at least `least` tokens."""
     keep = [c for c in df.columns if c != h]
     col, n = F.col(h), F.size(h)
 
     def seeds(i: Column) -> Column:
         return F.struct(
             i.alias("pos"),
-            *[F.xxhash64(F.lit(k), *[F.get(col, i + o) for o in m]).alias(f"s{k}") for k, m in enumerate(MASKS)],
+            *[F.xxhash64(F.lit(k), *[F.get(col, i + o) for o in m]).alias(f"s{k}") for k, m in enumerate(masks)],
         )
 
     # where a mask runs over the end its seed is not used
-    windows = F.when(n >= MIN_TOKENS, F.transform(F.sequence(F.lit(0), n - 1), seeds))
+    windows = F.when(n >= least, F.transform(F.sequence(F.lit(0), n - 1), seeds))
     spread = df.withColumn("_n", n).select(*keep, "_n", F.inline(windows))
     each = F.explode(
-        F.array(*[F.struct((F.col("pos") + m[-1] < F.col("_n")).alias("fits"), F.col(f"s{k}").alias("seed")) for k, m in enumerate(MASKS)])
+        F.array(*[F.struct((F.col("pos") + m[-1] < F.col("_n")).alias("fits"), F.col(f"s{k}").alias("seed")) for k, m in enumerate(masks)])
     )
     return spread.select(*keep, "pos", each.alias("e")).where("e.fits").select(*keep, "pos", F.col("e.seed").alias("seed"))
 
 
 def hits(docs: DataFrame, items: DataFrame) -> DataFrame:
     """key, item_id, shift, and the smallest id: alignments of docs(key, id, h) with items(item_id, h)."""
-    theirs = _seed_rows(items, "h").withColumnRenamed("pos", "item_pos").distinct()
-    theirs = cut(theirs)
+    short, masks, least = items.where(F.size("h") < WINDOW), MASKS, MIN_TOKENS
+    theirs = _seed_rows(items, "h")
+    if not short.isEmpty():
+        # a text as short as what must agree can hold such an item
+        masks, least = MASKS + SHORT_MASKS, ceil(MIN_TOKENS * SHARE)
+        theirs = theirs.unionByName(_seed_rows(short, "h", masks))
+    theirs = cut(theirs.withColumnRenamed("pos", "item_pos").distinct())
     if theirs.count() <= BROADCAST_SEEDS:
         theirs = F.broadcast(theirs)
-    ours = _seed_rows(docs, "h")
+    ours = _seed_rows(docs, "h", masks, least)
     return ours.join(theirs, "seed").groupBy("key", "item_id", (F.col("pos") - F.col("item_pos")).alias("shift")).agg(F.min("id").alias("id"))
 
 

@@ -328,6 +328,26 @@ def test_masks_find_three_substitutions():
         assert any(not set(bad) & {i + o for o in m} for m in decontam.MASKS for i in range(decontam.WINDOW - m[-1]))
 
 
+def test_masks_find_what_short_items_allow():
+    from itertools import combinations
+
+    masks = decontam.MASKS + decontam.SHORT_MASKS
+    for n in range(decontam.MIN_TOKENS, decontam.WINDOW):
+        for bad in combinations(range(n), n - math.ceil(n * decontam.SHARE)):
+            assert any(not set(bad) & {i + o for o in m} for m in masks for i in range(n - m[-1])), (n, bad)
+
+
+def test_short_items_with_substitutions(spark):
+    rng = random.Random(6)
+    cases = [(8, {3, 4}), (8, {3, 6}), (8, {4, 5}), (8, {4, 6}), (9, {4, 5}), (12, {4, 5, 9})]
+    items = [prose(rng, 1, words=3000)[0].split()[:n] for n, _ in cases]
+    hurt = [" ".join("other" if k in bad else w for k, w in enumerate(x)) for x, (_, bad) in zip(items, cases, strict=True)]
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
+    # the last text is shorter than its item
+    got = {tuple(r) for r in decontam.report(docs_of(spark, [*hurt, " ".join(items[0][:6])]), bench).collect()}
+    assert got == {(i, i, n - len(bad)) for i, (n, bad) in enumerate(cases)} | {(len(cases), 0, 6)}
+
+
 # --- 7 -------------------------------------------------------------------------------------
 
 
