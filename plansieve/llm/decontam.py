@@ -3,11 +3,15 @@
 A fixed mask looks at some positions of a window of tokens and ignores the others, so a
 substituted token breaks only the seeds that look at it. Seeds of documents and of
 benchmark items are joined by hash; each hit fixes an alignment of the two token
-sequences, and an alignment counts if some window of `window` aligned positions (the whole
-item if that is shorter) agrees in at least `needed` of them.
+sequences, and an alignment counts if some window of WINDOW aligned positions (the whole
+item if that is shorter) agrees in at least SHARE of them, rounded up.
 
-Tokens are words without characters other than letters and digits, lower-cased. Items of
-fewer than MIN_TOKENS tokens, and null ones, match nothing.
+Items of each length have masks of their own, such that whichever positions may be
+substituted, one mask fits between them: every alignment that counts is found, of items of
+any length from one token on. Items of three tokens or fewer must agree wholly.
+
+Tokens are words without characters other than letters and digits, lower-cased. Null items,
+and items without a token, match nothing.
 Built-in functions only.
 """
 
@@ -20,13 +24,24 @@ from pyspark.sql import functions as F
 
 from plansieve.llm.common import SPACE_BYTES, SPACE_PATTERN, cut, pack, unpack
 
-#: positions looked at; found by exhaustive search; one of them fits whichever 3 of 13 positions are substituted
-MASKS = ((0, 2, 3, 4), (0, 3, 5, 6))
-#: for items shorter than WINDOW one of MASKS or these fits whatever SHARE lets differ
-SHORT_MASKS = ((0, 1, 2, 5),)
-WINDOW, SHARE, MIN_TOKENS = 13, 0.75, 8
-#: largest number of benchmark seeds to broadcast (about 100 MB as a hash table); beyond it the join shuffles
-BROADCAST_SEEDS = 1_000_000
+WINDOW, SHARE = 13, 0.75
+#: length of an item (WINDOW stands for all longer ones) -> masks; found by exhaustive search, see the tests
+MASKS: dict[int, tuple[tuple[int, ...], ...]] = {
+    1: ((0,),),
+    2: ((0, 1),),
+    3: ((0, 1, 2),),
+    4: ((0, 1, 2), (0, 1, 3), (0, 2, 3)),
+    5: ((0, 1, 2), (0, 1, 3)),
+    6: ((0, 1, 2),),
+    7: ((0, 1, 2),),
+    **dict.fromkeys(range(8, 13), ((0, 2, 3, 4), (0, 3, 5, 6), (0, 1, 2, 5))),
+    WINDOW: ((0, 2, 3, 4), (0, 3, 5, 6)),
+}
+#: largest number of benchmark seeds to broadcast (about 100 MB as a hash table); beyond it the join shuffles,
+#: with the places of a hot seed's documents dealt over SEED_PARTS tasks
+BROADCAST_SEEDS, SEED_PARTS = 1_000_000, 16
+#: item tokens that one row of the verification holds, but for a single longer item
+VERIFY_TOKENS = 20_000
 
 
 def tokens(text: Column) -> Column:
@@ -38,39 +53,49 @@ def hashed(text: Column) -> Column:
     return F.transform(tokens(text), lambda w: F.xxhash64(w))
 
 
-def _seed_rows(df: DataFrame, h: str, masks: tuple = MASKS, least: int = MIN_TOKENS) -> DataFrame:
-    """df's columns but h, and pos, seed: one row for each mask at each position of at least `least` tokens."""
+def needed(n: int) -> int:
+    """Tokens that must agree in the best window of an item of n."""
+    return ceil(min(n, WINDOW) * SHARE)
+
+
+def _seed_rows(df: DataFrame, h: str, masks: list[tuple[int, ...]]) -> DataFrame:
+    """df's columns but h, and pos, seed: one row for each mask at each position of h where it fits."""
     keep = [c for c in df.columns if c != h]
     col, n = F.col(h), F.size(h)
 
     def seeds(i: Column) -> Column:
-        return F.struct(
-            i.alias("pos"),
-            *[F.xxhash64(F.lit(k), *[F.get(col, i + o) for o in m]).alias(f"s{k}") for k, m in enumerate(masks)],
-        )
+        # the offsets are part of the hash, so only equal masks meet
+        return F.struct(i.alias("pos"), *[F.xxhash64(F.lit(",".join(map(str, m))), *[F.get(col, i + o) for o in m]).alias(f"s{k}") for k, m in enumerate(masks)])
 
-    # where a mask runs over the end its seed is not used
-    windows = F.when(n >= least, F.transform(F.sequence(F.lit(0), n - 1), seeds))
+    windows = F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), seeds))
     spread = df.withColumn("_n", n).select(*keep, "_n", F.inline(windows))
-    each = F.explode(
-        F.array(*[F.struct((F.col("pos") + m[-1] < F.col("_n")).alias("fits"), F.col(f"s{k}").alias("seed")) for k, m in enumerate(masks)])
-    )
+    # where a mask runs over the end its seed is not used
+    each = F.explode(F.array(*[F.struct((F.col("pos") + m[-1] < F.col("_n")).alias("fits"), F.col(f"s{k}").alias("seed")) for k, m in enumerate(masks)]))
     return spread.select(*keep, "pos", each.alias("e")).where("e.fits").select(*keep, "pos", F.col("e.seed").alias("seed"))
 
 
 def hits(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """key, item_id, shift, and the smallest id: alignments of docs(key, id, h) with items(item_id, h)."""
-    short, masks, least = items.where(F.size("h") < WINDOW), MASKS, MIN_TOKENS
-    theirs = _seed_rows(items, "h")
-    if not short.isEmpty():
-        # a text as short as what must agree can hold such an item
-        masks, least = MASKS + SHORT_MASKS, ceil(MIN_TOKENS * SHARE)
-        theirs = theirs.unionByName(_seed_rows(short, "h", masks))
+    """key, item, shift, and the smallest id: alignments of docs(key, id, h) with items(item, h), h not empty."""
+    length = F.least(F.size("h"), F.lit(WINDOW)).alias("n")
+    lengths = [r["n"] for r in items.select(length).distinct().collect()]  # WINDOW rows at most
+    by_masks: dict[tuple, list[int]] = {}
+    for n in lengths:
+        by_masks.setdefault(MASKS[n], []).append(n)
+    used = sorted({m for masks in by_masks for m in masks}) or [MASKS[WINDOW][0]]
+    theirs = None
+    for masks, some in by_masks.items():
+        rows = _seed_rows(items.where(F.least(F.size("h"), F.lit(WINDOW)).isin(some)), "h", list(masks))
+        theirs = rows if theirs is None else theirs.unionByName(rows)
+    if theirs is None:
+        theirs = _seed_rows(items, "h", used)
     theirs = cut(theirs.withColumnRenamed("pos", "item_pos").distinct())
+    ours = _seed_rows(docs, "h", used)
     if theirs.count() <= BROADCAST_SEEDS:
-        theirs = F.broadcast(theirs)
-    ours = _seed_rows(docs, "h", masks, least)
-    return ours.join(theirs, "seed").groupBy("key", "item_id", (F.col("pos") - F.col("item_pos")).alias("shift")).agg(F.min("id").alias("id"))
+        both = ours.join(F.broadcast(theirs), "seed")
+    else:
+        parts = F.explode(F.array(*map(F.lit, range(SEED_PARTS)))).alias("part")
+        both = ours.withColumn("part", F.col("pos") % SEED_PARTS).join(theirs.select("*", parts), ["seed", "part"])
+    return both.groupBy("key", "item", (F.col("pos") - F.col("item_pos")).alias("shift")).agg(F.min("id").alias("id"))
 
 
 def _agreement(h: Column, item: Column, shift: Column, window: int) -> Column:
@@ -89,39 +114,46 @@ def key_of(text: Column) -> Column:
     return F.sha2(F.coalesce(text, F.lit("")), 256)
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: float = SHARE) -> DataFrame:
-    """key, items: for each distinct text with verified overlaps, struct(item_id, agreed) a matched item.
+def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """key, item_id, agreed: a row for each distinct text and item whose passage it holds.
 
     key is key_of(text), so copies are verified once (at their smallest id; null ids count as -1).
+    Items go by their tokens, so equal items are verified once and ids may be null or repeated.
+    Alignments of a text are verified in rows of about VERIFY_TOKENS item tokens, however many it has.
     """
-    items = cut(benchmark.select("item_id", hashed(F.col("text")).alias("h")).where(F.size("h") >= MIN_TOKENS))
+    listed = cut(benchmark.select("item_id", hashed(F.col("text")).alias("h")).where(F.size("h") > 0).withColumn("item", F.xxhash64("h")))
+    items = cut(listed.groupBy("item").agg(F.first("h").alias("h"), F.collect_set(F.struct("item_id")).alias("ids")))
     id_ = F.coalesce(F.col("doc_id").cast("long"), F.lit(-1))
     texts = docs.select(key_of(F.col("text")).alias("key"), id_.alias("id"), F.col("text"))
-    found = cut(hits(texts.select("key", "id", hashed(F.col("text")).alias("h")), items))
+    found = cut(hits(texts.select("key", "id", hashed(F.col("text")).alias("h")), items.select("item", "h")))
     # one row stands for the copies of a text; with its id in the key the copies don't meet in one task
-    wanted = found.join(items.withColumnRenamed("h", "item"), "item_id").groupBy("key").agg(
-        F.min("id").alias("id"), F.collect_list(F.struct("item_id", "shift", "item")).alias("found")
+    whole = found.groupBy("key").agg(F.min("id").alias("id"), F.count("*").alias("n"))
+    longest = items.agg(F.max(F.size("h"))).first()[0] or 1
+    part = F.pmod(F.xxhash64("item", "shift"), F.ceil(F.col("n") * longest / VERIFY_TOKENS))
+    wanted = (
+        found.select("key", "item", "shift").join(whole, "key").withColumn("part", part).join(items.select("item", "h"), "item")
+        .groupBy("key", "id", "part").agg(F.collect_list(F.struct("item", "shift", "h")).alias("found"))
     )
     near = texts.join(wanted, ["key", "id"])
 
     def judged(h: Column, x: Column) -> Column:
-        need = F.ceil(F.least(F.size(x["item"]), F.lit(window)) * share)
-        return F.struct(x["item_id"].alias("item_id"), _agreement(h, x["item"], x["shift"], window).alias("agreed"), need.alias("need"))
+        need = F.ceil(F.least(F.size(x["h"]), F.lit(WINDOW)) * SHARE)
+        return F.struct(x["item"].alias("item"), _agreement(h, x["h"], x["shift"], WINDOW).alias("agreed"), need.alias("need"))
 
     # h is bound once a text; as a plain column it could be put into the lambda and be made anew for each position
     tried = F.transform(F.array(hashed(F.col("text"))), lambda h: F.transform("found", lambda x: judged(h, x)))[0]
-    good = F.transform(F.filter(tried, lambda x: x["agreed"] >= x["need"]), lambda x: F.struct(x["item_id"], x["agreed"]))
-    return cut(near.select("key", good.alias("items"))).where(F.size("items") > 0)
+    good = F.transform(F.filter(tried, lambda x: x["agreed"] >= x["need"]), lambda x: F.struct(x["item"], x["agreed"]))
+    sure = cut(near.select("key", F.explode(good).alias("x")).groupBy("key", "x.item").agg(F.max("x.agreed").alias("agreed")))
+    return sure.join(items.select("item", F.explode("ids").alias("i")), "item").select("key", "i.item_id", "agreed")
 
 
 def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, agreed: a row for each document and item whose passage it holds."""
-    bad = overlaps(docs, benchmark)
-    pairs = bad.select("key", F.explode("items").alias("x")).groupBy("key", "x.item_id").agg(F.max("x.agreed").alias("agreed"))
+    pairs = overlaps(docs, benchmark).groupBy("key", "item_id").agg(F.max("agreed").alias("agreed"))
     return docs.select("doc_id", key_of(F.col("text")).alias("key")).join(pairs, "key").select("doc_id", "item_id", "agreed")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs without any verified overlap."""
-    bad = overlaps(docs, benchmark).select("key")
+    bad = overlaps(docs, benchmark).select("key").distinct()
     return unpack(pack(docs, key=key_of(F.col("text"))).join(bad, "key", "left_anti"))

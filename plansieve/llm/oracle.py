@@ -100,20 +100,15 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 
 
 def _decontamination() -> str:
-    seeds = " UNION ALL ".join(
-        f"SELECT id, p, {m} AS mask, " + " || ' ' || ".join(f"w[p + {o}]" for o in mask) + f" AS seed FROM {{0}}, unnest(range(1, len(w) - {mask[-1]} + 1)) AS u(p)" for m, mask in enumerate(decontam.MASKS)
-    )
+    """By all alignments that share a token, without seeds."""
     toks = r"regexp_extract_all(regexp_replace(lower(coalesce(text, '')), '[^\p{L}\p{N}\x20\x09-\x0D]+', '', 'g'), '" + _WORD + "')"
     width, share = decontam.WINDOW, decontam.SHARE
     return f"""
-WITH d AS (SELECT doc_id AS id, {toks} AS w FROM documents WHERE text IS NOT NULL),
-b AS (SELECT * FROM (SELECT item_id AS id, {toks} AS w FROM benchmark) WHERE len(w) >= {decontam.MIN_TOKENS}),
-ds AS ({seeds.format("(SELECT * FROM d WHERE len(w) >= " + str(decontam.MIN_TOKENS) + ") x")}),
-bs AS ({seeds.format("b")}),
-al AS (SELECT DISTINCT ds.id AS doc_id, bs.id AS item_id, ds.p - bs.p AS shift FROM ds JOIN bs USING (mask, seed)),
-same AS (SELECT doc_id, item_id, len(b.w) AS n, [CASE WHEN shift + k >= 1 AND d.w[shift + k] = b.w[k] THEN 1 ELSE 0 END FOR k IN range(1, len(b.w) + 1)] AS m FROM al JOIN d ON d.id = doc_id JOIN b ON b.id = item_id),
-best AS (SELECT doc_id, item_id, n, list_max([list_sum(m[k:k + {width - 1}]) FOR k IN range(1, greatest(n - {width}, 0) + 2)]) AS agreed FROM same)
-SELECT doc_id, item_id, max(agreed)::INT AS agreed FROM best WHERE agreed >= ceil(least(n, {width}) * {share}) GROUP BY doc_id, item_id"""
+WITH d AS (SELECT doc_id, p, w[p] AS tok FROM (SELECT doc_id, {toks} AS w FROM documents), unnest(range(1, len(w) + 1)) AS u(p)),
+b AS (SELECT item_id, k, w[k] AS tok, ceil(least(len(w), {width}) * {share}) AS need FROM (SELECT item_id, {toks} AS w FROM benchmark), unnest(range(1, len(w) + 1)) AS u(k)),
+al AS (SELECT doc_id, item_id, p - k AS shift, list(k) AS ks, any_value(need) AS need FROM d JOIN b USING (tok) GROUP BY doc_id, item_id, p - k HAVING count(*) >= any_value(need)),
+best AS (SELECT doc_id, item_id, need, list_max([len(list_filter(ks, lambda k: k >= a AND k < a + {width})) FOR a IN ks]) AS agreed FROM al)
+SELECT doc_id, item_id, max(agreed)::INT AS agreed FROM best WHERE agreed >= need GROUP BY doc_id, item_id"""
 
 
 # --- similarity join ------------------------------------------------------------------------

@@ -289,14 +289,14 @@ def test_pruning_keeps_what_can_reach_the_threshold():
 
 def test_decontamination(spark, odd, none):
     rng = random.Random(9)
-    items = prose(rng, 6) + ["too short to match", None, ""]
+    items = prose(rng, 6) + ["few words to match", "zyzzyva", "one two three", None, ""]
     bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
     filler = prose(rng, 12, words=3000)
     long_item = items[0].split()
     hurt = [w if i % 5 else "other" for i, w in enumerate(long_item)]
     texts = [
         filler[0] + " " + items[0] + " " + filler[1], filler[2] + "\n" + items[1].upper().replace(" ", ", "), " ".join(hurt), filler[3] + " " + " ".join(long_item[:13]),
-        " ".join(long_item[:6]) + " " + filler[4], *filler[5:], items[2], items[2], *ODD,
+        " ".join(long_item[:6]) + " " + filler[4], *filler[5:], items[2], items[2], *ODD, f"{filler[5]} Zyzzyva!", "one, two three", "one two four", "few other words to match", "few words or match",
     ]
     got = {(r["doc_id"], r["item_id"]) for r in decontam.report(docs_of(spark, texts), bench).collect()}
 
@@ -307,7 +307,7 @@ def test_decontamination(spark, odd, none):
     for i, t in enumerate(texts):
         for j, x in enumerate(items):
             a, b = tokens(t), tokens(x)
-            if len(b) < 8:
+            if not b:
                 continue
             width = min(13, len(b))
             for shift in range(-len(b), len(a)):
@@ -321,20 +321,31 @@ def test_decontamination(spark, odd, none):
     assert decontam.report(none, bench).isEmpty() and decontam.report(odd, bench.limit(0)).isEmpty()
 
 
-def test_masks_find_three_substitutions():
+@pytest.mark.parametrize("n", range(1, decontam.WINDOW + 1))
+def test_masks_find_whatever_may_be_substituted(n):
     from itertools import combinations
 
-    for bad in combinations(range(decontam.WINDOW), 3):
-        assert any(not set(bad) & {i + o for o in m} for m in decontam.MASKS for i in range(decontam.WINDOW - m[-1]))
+    for bad in combinations(range(n), n - decontam.needed(n)):
+        assert any(not set(bad) & {i + o for o in m} for m in decontam.MASKS[n] for i in range(n - m[-1])), bad
 
 
-def test_masks_find_what_short_items_allow():
-    from itertools import combinations
+def test_items_without_an_id_or_with_a_shared_one(spark):
+    item, other = prose(random.Random(3), 2)
+    bench = spark.createDataFrame([(None, item), (5, item), (5, other), (5, other)], "item_id long, text string")
+    docs = docs_of(spark, [f"x {item}", other, "y"])
+    assert sorted((r["doc_id"], r["item_id"] or -1) for r in decontam.report(docs, bench).collect()) == [(0, -1), (0, 5), (1, 5)]
+    assert [r["doc_id"] for r in decontam.clean(docs, bench).collect()] == [2]
+
 
-    masks = decontam.MASKS + decontam.SHORT_MASKS
-    for n in range(decontam.MIN_TOKENS, decontam.WINDOW):
-        for bad in combinations(range(n), n - math.ceil(n * decontam.SHARE)):
-            assert any(not set(bad) & {i + o for o in m} for m in masks for i in range(n - m[-1])), (n, bad)
+def test_many_alignments_and_seeds_beyond_the_broadcast(spark, monkeypatch):
+    """Texts of few different words have many alignments; both ways of joining give the same."""
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice("ab") for _ in range(n)) for n in (5, 40, 300)]
+    bench = spark.createDataFrame([(i, " ".join(rng.choice("ab") for _ in range(n))) for i, n in enumerate((1, 3, 5, 9, 13, 30))], "item_id long, text string")
+    monkeypatch.setattr(decontam, "VERIFY_TOKENS", 50)
+    one = sorted(tuple(r) for r in decontam.report(docs_of(spark, texts), bench).collect())
+    monkeypatch.setattr(decontam, "BROADCAST_SEEDS", 0)
+    assert one == sorted(tuple(r) for r in decontam.report(docs_of(spark, texts), bench).collect()) and len(one) > 10
 
 
 def test_short_items_with_substitutions(spark):
