@@ -1,24 +1,23 @@
 """Language-model scores from a subword lattice.
 
-The vocabulary is an existing model file; its scores rank the pieces, and a Zipf law over
-those ranks is the prior weight of each piece. One expectation step weighs all segmentations
-of every distinct training word by that prior and adds the expected piece counts to it (the
-prior counts as PRIOR_MASS pieces). The lattice probability of a word is the sum over all its
-segmentations, by forward recursion in log space; a training word is one more edge over the
-whole word, weighted by its count. So a word w has the probability
-P(w) = (c(w) + k * lattice(w)) / (N + k), where k, the number of words seen once (1 at least),
-gives the lattice the mass of words not seen yet. A word's pieces are those of the mark U+2581
-and the word; a character without a piece of its own is spelled in the vocabulary's bytes.
-
-Texts come from several kinds (their `lang`, the PARTS - 1 most frequent and the rest). Each
-kind z has its own counts on top of P: P_z(w) = (c_z(w) + k_z * P(w)) / (N_z + k_z). A text's
-score is the log10 of its marginal probability: the kinds' shares times the products over its
-words and the end, summed over kinds. The text's own lang is not looked at.
-
-Beside it stands the smoothed word unigram score of the contract. Word counts of the
-corpus are combined before they are shuffled. The COMMON most frequent words go to every
-task (a bounded table); all other words of a text meet their counts in an equi-join on
-the word, where no key is hot because the hot ones are common.
+A text is a sequence of pieces of an existing vocabulary and one end. Its score is the log10
+of its marginal probability: the sum, over all ways to cut it into pieces, of the product of
+the pieces' probabilities and the end's, by forward recursion in log space. A word starts with
+the mark U+2581 and no piece crosses words, so the recursion runs once for each distinct word.
+A character without a piece of its own is spelled in the vocabulary's bytes.
+
+Piece probabilities come from the vocabulary's scores and the training texts. The scores are
+ranks, so a Zipf law over them is the first guess; ROUNDS expectation steps weigh all
+segmentations of every training word, as often as it occurs, and add the expected piece counts
+to the guess (which counts as PRIOR_MASS pieces). The end counts once a training text.
+
+Beside it stand the smoothed word unigram score of the contract, and `word_score`, where a
+training word is one more way to make a word: P(w) = (c(w) + k * lattice(w)) / (N + k), k the
+number of words seen once, so the lattice holds the mass of words not seen yet.
+
+Word counts of the corpus are combined before they are shuffled. The COMMON most frequent words
+go to every task (a bounded table); all other words of a text meet their counts in an equi-join
+on the word, where no key is hot because the hot ones are common.
 """
 
 from __future__ import annotations
@@ -31,15 +30,15 @@ from functools import lru_cache
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plansieve.llm.common import cut, ship
 from plansieve.llm.token_count import MARK
 
-COMMON, PARTS = 100_000, 5
+COMMON = 100_000
 FLUSH_WORDS = 400_000
-PRIOR_MASS = 1000.0
+PRIOR_MASS, ROUNDS = 1000.0, 2
 ZIPF_SHIFT = 2.7
 KNOWN_SHARE, ADD = 10, 0.1
 
@@ -141,64 +140,56 @@ def _words(raw: bytes | None) -> list[bytes]:
     return raw.lower().split() if raw else []
 
 
-def kinds_of(docs: DataFrame) -> Column:
-    """0..PARTS-1 for each row: the rank of its lang among the most frequent ones, the last for all others."""
-    if "lang" not in docs.columns:
-        return F.lit(0)
-    top = [r["lang"] for r in docs.where("lang is not null").groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(PARTS - 1).collect()]
-    return F.coalesce(*[F.when(F.col("lang") == v, i) for i, v in enumerate(top)], F.lit(PARTS - 1))
-
-
 def word_counts(docs: DataFrame) -> DataFrame:
-    """word binary, c long, c0.. long: occurrences in training rows, in all and by kind; words of other rows alone have 0.
+    """word binary, c long: occurrences in training rows; words of other rows alone have 0.
 
-    docs(raw binary, held boolean, kind int). Rows leave a task combined, at most FLUSH_WORDS
-    distinct words being held at once.
+    docs(raw binary, held boolean). Rows leave a task combined, at most FLUSH_WORDS distinct
+    words being held at once.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: list[Counter] = [Counter() for _ in range(PARTS)]
+        seen: Counter = Counter()
         other: set[bytes] = set()
 
         def flush() -> Iterator[pa.RecordBatch]:
-            for z, c in enumerate(seen):
-                yield pa.record_batch({"word": pa.array(list(c), pa.binary()), "kind": pa.array([z] * len(c), pa.int32()), "n": pa.array(list(c.values()), pa.int64())})
-                c.clear()
-            yield pa.record_batch({"word": pa.array(list(other), pa.binary()), "kind": pa.array([0] * len(other), pa.int32()), "n": pa.array([0] * len(other), pa.int64())})
+            yield pa.record_batch({"word": pa.array(list(seen), pa.binary()), "n": pa.array(list(seen.values()), pa.int64())})
+            yield pa.record_batch({"word": pa.array(list(other), pa.binary()), "n": pa.array([0] * len(other), pa.int64())})
+            seen.clear()
             other.clear()
 
         for batch in batches:
-            for raw, held, kind in zip(*(x.to_pylist() for x in batch.columns), strict=True):
-                if held:
-                    other.update(_words(raw))
-                else:
-                    seen[kind].update(_words(raw))
-                if len(other) + sum(map(len, seen)) >= FLUSH_WORDS:
+            for raw, held in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                (other if held else seen).update(_words(raw))
+                if len(other) + len(seen) >= FLUSH_WORDS:
                     yield from flush()
         yield from flush()
 
-    rows = docs.mapInArrow(run, "word binary, kind int, n long")
-    return rows.groupBy("word").agg(F.sum("n").alias("c"), *[F.sum(F.when(F.col("kind") == z, F.col("n")).otherwise(0)).alias(f"c{z}") for z in range(PARTS)])
+    return docs.mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("c"))
 
 
-def fit_pieces(counts: DataFrame, path: str) -> list[float]:
-    """Log weight of each piece after one expectation step over all distinct training words."""
+def fit_pieces(counts: DataFrame, ends: int, path: str, rounds: int = ROUNDS) -> tuple[list[float], float]:
+    """Log probabilities of the pieces, and of the end, from all training words and the number of training texts."""
     prior = lattice(path).prior
+    least = min(p for p in prior if p)  # of the end, before any text is seen
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, into = lattice(path), {}
-        logw = [math.log(p) if p else -math.inf for p in prior]
-        for batch in batches:
-            for w in batch.column(0).to_pylist():
-                m.expect(w.decode(), 1.0, logw, into)
-        yield pa.record_batch({"piece": pa.array(list(into), pa.int32()), "n": pa.array(list(into.values()), pa.float64())})
+    def steps(logw: list[float]) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            m, into = lattice(path), {}
+            for batch in batches:
+                for w, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    m.expect(w.decode(), c, logw, into)
+            yield pa.record_batch({"piece": pa.array(list(into), pa.int32()), "n": pa.array(list(into.values()), pa.float64())})
+
+        return counts.where("c > 0").select("word", "c").mapInArrow(run, "piece int, n double").groupBy("piece").agg(F.sum("n").alias("n"))
 
-    sums = counts.where("c > 0").select("word").mapInArrow(run, "piece int, n double").groupBy("piece").agg(F.sum("n").alias("n"))
-    weight = [PRIOR_MASS * p for p in prior]
-    for piece, n in sums.collect():  # one row for each piece of the vocabulary at most
-        weight[piece] += n
-    total = sum(weight)
-    return [math.log(w / total) if w else -math.inf for w in weight]
+    logw = [math.log(p) if p else -math.inf for p in prior]
+    for _ in range(rounds):
+        weight = [PRIOR_MASS * p for p in prior]
+        for piece, n in steps(logw).collect():  # one row for each piece of the vocabulary at most
+            weight[piece] += n
+        total = sum(weight) + ends + PRIOR_MASS * least
+        logw = [math.log(w / total) if w else -math.inf for w in weight]
+    return logw, math.log((ends + PRIOR_MASS * least) / total)
 
 
 def common_from(counts: DataFrame) -> int:
@@ -215,66 +206,51 @@ def common_from(counts: DataFrame) -> int:
 
 
 def score(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row of docs.
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, word_score for each row of docs.
 
     Null and empty texts have the end token only. A null doc_id counts as the empty text
     for the fold. Repeated rows are scored, and learned from, as often as they occur. With
-    no training row N, V and every c are 0. Without a lang column there is one kind.
+    no training row N, V and every c are 0. Nothing is learned from held-out rows.
     """
     from plansieve.llm.token_count import default_path
 
     ship()
     path = path or default_path()
     fold = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % KNOWN_SHARE
-    rows = docs.select("doc_id", F.col("text").cast("binary").alias("raw"), (fold == 0).alias("held"), kinds_of(docs).alias("kind"))
-    counts = cut(word_counts(rows.select("raw", "held", "kind")))
-    by_kind = dict(rows.where(~F.col("held")).groupBy("kind").count().collect())
-    ends = [by_kind.get(z, 0) for z in range(PARTS)]
-    got = counts.agg(
-        F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0), F.count_if(F.col("c") == 1),
-        *[F.coalesce(F.sum(f"c{z}"), F.lit(0)) for z in range(PARTS)], *[F.count_if(F.col(f"c{z}") == 1) for z in range(PARTS)],
-    ).first()
-    total, kinds, once = got[:3]
-    n, v, k = total + sum(ends), kinds + (sum(ends) > 0), max(1, once)
-    part_n = np.array([got[3 + z] + ends[z] for z in range(PARTS)], float)
-    part_k = np.maximum(np.array(got[3 + PARTS :], float), 1.0)
+    rows = docs.select("doc_id", F.col("text").cast("binary").alias("raw"), (fold == 0).alias("held"))
+    counts = cut(word_counts(rows.select("raw", "held")))
+    ends = rows.where(~F.col("held")).count()
+    total, kinds, once = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0), F.count_if(F.col("c") == 1)).first()
+    n, v, k = total + ends, kinds + (ends > 0), max(1, once)
     log_all = math.log10(n + ADD * (v + 1))
-    logw = fit_pieces(counts, path)
+    logw, log_end = fit_pieces(counts, ends, path)
     ten = math.log(10)
 
     def lattice_scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """lp: log10 of the lattice's probability of a word; wp: that of the word score."""
         m = lattice(path)
         for batch in batches:
-            lp = []
+            lp, wp = [], []
             for w, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                x = math.log(k) + m.log_prob(w.decode(), logw)
-                # log10 P(w); where exp(x) vanishes, the sum is the count
-                lp.append((math.log(c + math.exp(x)) if c else x) / ten - math.log10(n + k))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lp, pa.float64())], names=[*names, "lp"])
-
-    names = ["word", "c", *[f"c{z}" for z in range(PARTS)]]
-    known = cut(counts.select(*names).mapInArrow(lattice_scores, f"word binary, {', '.join(f'{x} long' for x in names[1:])}, lp double"))
+                ln = m.log_prob(w.decode(), logw)
+                x = math.log(k) + ln
+                lp.append(ln / ten)
+                # where exp(x) vanishes, the sum is the count
+                wp.append((math.log(c + math.exp(x)) if c else x) / ten - math.log10(n + k))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lp, pa.float64()), pa.array(wp, pa.float64())], names=["word", "c", "lp", "wp"])
+
+    known = cut(counts.select("word", "c").mapInArrow(lattice_scores, "word binary, c long, lp double, wp double"))
     common = known.where(F.col("c") >= common_from(known)).toArrow()  # COMMON rows at most
-    shared = docs.sparkSession.sparkContext.broadcast((common["word"].to_pylist(), np.stack([common[x].to_numpy() for x in [*names[1:], "lp"]], axis=1).astype(float)))
-
-    def by_parts(c: np.ndarray, lp: np.ndarray) -> np.ndarray:
-        """log10 P_z(w) from counts by kind (rows: words) and log10 P(w)."""
-        base = np.log10(part_k)[None, :] + lp[:, None]
-        with np.errstate(divide="ignore"):
-            return np.maximum(np.log10(c + 10.0**base), np.where(c > 0, -np.inf, base)) - np.log10(part_n + part_k)[None, :]
-
-    end_lp = np.array([math.log10(max(sum(ends), ADD)) - math.log10(n + k)])
-    end_parts = by_parts(np.array([ends], float), end_lp)[0]
-    end_base = math.log10(sum(ends) + ADD) - log_all
-    share = np.log10((np.array(ends) + 1.0) / (sum(ends) + PARTS))
+    shared = docs.sparkSession.sparkContext.broadcast((common["word"].to_pylist(), np.stack([common[x].to_numpy() for x in ("c", "lp", "wp")], axis=1).astype(float)))
+    # what the end token adds: base score, known tokens, score, word score
+    first = np.array([math.log10(ends + ADD) - log_all, 1.0 if ends else 0.0, log_end / ten, math.log10(max(ends, ADD)) - math.log10(n + k)])
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A row for each text with the sums over its common words, and one for each other word of it."""
         words_, table = shared.value
         place = {w: i for i, w in enumerate(words_)}
-        # columns: the base score, whether known, the kinds' scores
-        values = np.concatenate([np.log10(table[:, :1] + ADD) - log_all, table[:, :1] > 0, by_parts(table[:, 1 : 1 + PARTS], table[:, -1])], axis=1) if len(words_) else np.zeros((0, 2 + PARTS))
-        first = np.array([end_base, 1.0 if sum(ends) else 0.0, *end_parts])
+        c = table[:, 0] if len(words_) else np.zeros(0)
+        values = np.stack([np.log10(c + ADD) - log_all, c > 0, table[:, 1], table[:, 2]], axis=1) if len(words_) else np.zeros((0, 4))
         for batch in batches:
             own, rest = [], []
             for rid, doc, held, raw in zip(*(x.to_pylist() for x in batch.columns), strict=True):
@@ -295,36 +271,30 @@ def score(docs: DataFrame, path: str | None = None) -> DataFrame:
                     own, rest = [], []
             yield batch_of(own, rest)
 
-    sums = ["base", "hits", *[f"s{z}" for z in range(PARTS)]]
-    kinds_ = pa.schema([("rid", pa.int64()), ("word", pa.binary()), ("times", pa.int64()), ("doc_id", pa.int64()), ("held", pa.bool_()), ("n_tokens", pa.int64()), *[(x, pa.float64()) for x in sums]])
+    sums = ["base", "hits", "lat", "word_lat"]
+    types = pa.schema([("rid", pa.int64()), ("word", pa.binary()), ("times", pa.int64()), ("doc_id", pa.int64()), ("held", pa.bool_()), ("n_tokens", pa.int64()), *[(x, pa.float64()) for x in sums]])
 
     def batch_of(own: list, rest: list) -> pa.RecordBatch:
         blank = (None,) * (3 + len(sums))
-        columns = [list(x) for x in zip(*own, *(r + blank for r in rest), strict=True)] or [[] for _ in kinds_]
-        return pa.record_batch([pa.array(x, f.type) for x, f in zip(columns, kinds_, strict=True)], schema=kinds_)
+        columns = [list(x) for x in zip(*own, *(r + blank for r in rest), strict=True)] or [[] for _ in types]
+        return pa.record_batch([pa.array(x, f.type) for x, f in zip(columns, types, strict=True)], schema=types)
 
     # rid tells rows apart within this one pass over docs
     spread = rows.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "held", "raw").mapInArrow(
         parts, f"rid long, word binary, times long, doc_id long, held boolean, n_tokens long, {', '.join(f'{x} double' for x in sums)}"
     )
     c, times = F.coalesce(F.col("c"), F.lit(0)), F.col("times")
-
-    def other(z: int) -> Column:
-        cz, base = F.coalesce(F.col(f"c{z}"), F.lit(0)), F.col("lp") + float(np.log10(part_k[z]))
-        return F.when(cz > 0, F.log10(cz + F.pow(F.lit(10.0), base))).otherwise(base) - float(np.log10(part_n[z] + part_k[z]))
-
     out = spread.join(known, "word", "left").groupBy("rid").agg(
         F.max("doc_id").alias("doc_id"),
         F.max("held").alias("held_out"),
         F.max("n_tokens").alias("n_tokens"),
         F.sum(F.coalesce("hits", F.when(c > 0, times).otherwise(0))).cast("long").alias("n_known"),
         F.sum(F.coalesce("base", times * (F.log10(c + ADD) - log_all))).alias("base_score"),
-        *[(F.sum(F.coalesce(f"s{z}", times * other(z))) + float(share[z])).alias(f"s{z}") for z in range(PARTS)],
+        F.sum(F.coalesce("lat", times * F.col("lp"))).alias("score"),
+        F.sum(F.coalesce("word_lat", times * F.col("wp"))).alias("word_score"),
     )
-    top = F.greatest(*[f"s{z}" for z in range(PARTS)])
-    marginal = top + F.log10(sum((F.pow(F.lit(10.0), F.col(f"s{z}") - top) for z in range(PARTS)), F.lit(0.0)))
-    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", marginal.alias("score"))
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score", "word_score")
 
 
 def report(docs: DataFrame) -> DataFrame:
-    return score(docs.select("doc_id", "text", "lang"))
+    return score(docs.select("doc_id", "text"))

@@ -148,6 +148,63 @@ def test_lm_base_and_folds(spark, odd, none):
     assert lm_score.score(odd).count() == odd.count() and lm_score.score(none).isEmpty()
 
 
+def segmentations(m, s):
+    """Every way to cut s into pieces, as lists of piece ids; a character without a piece is its bytes."""
+    ids = {p: i for i, p in enumerate(m.pieces) if p}
+
+    def cut(rest):
+        if not rest:
+            yield []
+            return
+        for n in range(1, len(rest) + 1):
+            if rest[:n] in ids:
+                for tail in cut(rest[n:]):
+                    yield [ids[rest[:n]], *tail]
+        if rest[0] not in ids:
+            for tail in cut(rest[1:]):
+                yield [*(m.bytes[b] for b in rest[0].encode()), *tail]
+
+    return list(cut(s))
+
+
+def test_score_equals_brute_force(spark):
+    """Every segmentation is listed, weighed and counted by itself."""
+    m = lm_score.lattice(token_count.default_path())
+    texts = ["The then zq", "in the ing", "", "tion 🙂a the", None, "ing", "zq zq zq", "other words", "is the", "a", "new unseen", "the zq"]
+    df = docs_of(spark, texts)
+    held = [zlib.crc32(str(i).encode()) % 10 == 0 for i in range(len(texts))]
+    words = [(t or "").lower().split() for t in texts]
+    counts = Counter(w for ws, h in zip(words, held, strict=True) if not h for w in ws)
+    ends = held.count(False)
+    every = {w: segmentations(m, lm_score.MARK + w) for ws in words for w in ws}
+    p, least = list(m.prior), min(x for x in m.prior if x)
+    for _ in range(lm_score.ROUNDS):
+        mass = [1000.0 * x for x in m.prior]
+        for w, c in counts.items():
+            odds = [math.prod(p[i] for i in cut) for cut in every[w]]
+            for cut, odd in zip(every[w], odds, strict=True):
+                for i in cut:
+                    mass[i] += c * odd / sum(odds)
+        total = sum(mass) + ends + 1000.0 * least
+        p, end = [x / total for x in mass], (ends + 1000.0 * least) / total
+    chance = {w: sum(math.prod(p[i] for i in cut) for cut in cuts) for w, cuts in every.items()}
+    n, k = sum(counts.values()) + ends, max(1, sum(c == 1 for c in counts.values()))
+    assert any(held) and sum(p) + end == pytest.approx(1.0)
+    for r in lm_score.score(df).collect():
+        ws = words[r["doc_id"]]
+        assert r["score"] == pytest.approx(math.log10(end) + sum(math.log10(chance[w]) for w in ws))
+        known = math.log10(ends / (n + k)) + sum(math.log10((counts[w] + k * chance[w]) / (n + k)) for w in ws)
+        assert r["word_score"] == pytest.approx(known)
+
+
+def test_nothing_is_learned_from_held_out_rows(spark):
+    texts = prose(random.Random(5), 60)
+    held = {i for i in range(60) if zlib.crc32(str(i).encode()) % 10 == 0}
+    other = [t if i not in held else "unheard of " * 50 for i, t in enumerate(texts)]
+    one, two = ({r["doc_id"]: tuple(r)[3:] for r in lm_score.score(docs_of(spark, x).withColumn("lang", F.lit(v))).collect()} for x, v in ((texts, "en"), (other, "fr")))
+    assert held and all(one[i] == pytest.approx(two[i]) for i in one.keys() - held)
+
+
 def test_common_and_other_words_score_alike(spark, monkeypatch):
     df = docs_of(spark, prose(random.Random(2), 40))
     one = {r["doc_id"]: tuple(r)[2:] for r in lm_score.score(df).collect()}
