@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plansieve.storage import ship
+from plansieve.storage import cut, row_numbers
 
 #: fixed sets of the direction labels
 COMPACTNESS_HIGH_IS_LESS = ("cut_edge_ratio", "mst_diameter")
@@ -30,9 +29,18 @@ def percentile_weak(ensemble: DataFrame, enacted: DataFrame) -> DataFrame:
     return _joined(ensemble, enacted).groupBy("metric").agg((F.avg((F.col("value") <= F.col("v")).cast("int")) * 100).alias("percentile"))
 
 
+def medians(rows: DataFrame, key: str = "metric", value: str = "value") -> DataFrame:
+    """key, m: exact medians by place in the order, so no task or buffer holds all values of a key."""
+    placed = row_numbers(rows.where(F.col(value).isNotNull()).select(key, value), [key, value], "_at")
+    ends = placed.groupBy(key).agg(F.min("_at").alias("_a"), F.count("*").alias("_n"))
+    at = F.col("_at") - F.col("_a")
+    middle = (at == F.expr("(_n - 1) div 2")) | (at == F.expr("_n div 2"))
+    return placed.join(ends, key).where(middle).groupBy(key).agg(F.avg(value).alias("m"))
+
+
 def two_sided_p_value(ensemble: DataFrame, enacted: DataFrame) -> DataFrame:
     """Share of the ensemble at least as far from its median as the enacted value; may be 0."""
-    mid = ensemble.groupBy("metric").agg(F.median("value").alias("m"))
+    mid = medians(ensemble)
     far = F.abs(F.col("value") - F.col("m")) >= F.abs(F.col("v") - F.col("m"))
     return _joined(ensemble, enacted).join(mid, "metric").groupBy("metric").agg(F.avg(far.cast("int")).alias("p_value_two_sided"))
 
@@ -55,7 +63,7 @@ def direction(metric: Column, percentile: Column) -> Column:
 
 def outlier_analysis(ensemble: DataFrame, enacted: DataFrame) -> DataFrame:
     """metric, enacted_value, ensemble_mean, ensemble_std (population), percentile, p_value_two_sided, direction."""
-    mid = ensemble.groupBy("metric").agg(F.median("value").alias("m"))
+    mid = medians(ensemble)
     x, v = F.col("value"), F.col("v")
     far = F.abs(x - F.col("m")) >= F.abs(v - F.col("m"))
     out = _joined(ensemble, enacted).join(mid, "metric").groupBy("metric").agg(
@@ -89,7 +97,7 @@ def with_severity_row(summary: DataFrame, outliers: DataFrame, state: str) -> Da
 
 
 def bootstrap_interval(value: float, sample: np.ndarray, n_boot: int = 1000, ci: float = 0.95, seed: int = 0) -> tuple[float, float, float]:
-    """(p, lo, hi): p-value and its percentile interval over resamples, each about its own median."""
+    """(p, lo, hi) of one local sample, with numpy's generator; NaN for an empty one."""
     x = np.asarray(sample, dtype=float)
     n = len(x)
     if n == 0:
@@ -109,15 +117,26 @@ def bootstrap_interval(value: float, sample: np.ndarray, n_boot: int = 1000, ci:
 
 
 def bootstrap_p_value(ensemble: DataFrame, enacted: DataFrame, n_boot: int = 1000, ci: float = 0.95, seed: int = 0, order: str = "plan_id") -> DataFrame:
-    """metric, p, lo, hi. A metric's values, an ensemble's size of numbers, are one task's unit."""
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable")
-        p, lo, hi = bootstrap_interval(float(pdf["v"].iloc[0]), pdf["value"].to_numpy(), n_boot, ci, seed)
-        return pd.DataFrame({"metric": [pdf["metric"].iloc[0]], "p": [p], "lo": [lo], "hi": [hi]})
-
-    ship()
-    return _joined(ensemble, enacted).select("metric", order, "value", "v").groupBy("metric").applyInPandas(one, "metric string, p double, lo double, hi double")
+    """metric, p, lo, hi: p-value and its percentile interval over resamples, each about its own median.
+
+    Draw j of resample r takes the value whose place in `order` is the first eight hexadecimal
+    digits of md5("seed:r:j") modulo the sample's size, so resamples are rows of a join, dealt over
+    all tasks and the same wherever they are computed; a task's unit is one resample.
+    """
+    rows = cut(row_numbers(_joined(ensemble, enacted).select("metric", order, "value", "v"), ["metric", order], "_at"))
+    sizes = rows.groupBy("metric").agg(F.min("_at").alias("_a"), F.count("*").alias("n"), F.max("v").alias("v"))
+    placed = rows.join(sizes.select("metric", "_a"), "metric").select("metric", (F.col("_at") - F.col("_a")).alias("i"), "value")
+    resamples = sizes.select("metric", "n", "v", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("r")).repartition("metric", "r")
+    draw = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("r"), F.col("j")).cast("binary"))
+    drawn = resamples.select("metric", "n", "v", "r", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("j")).withColumn("i", F.conv(F.substring(draw, 1, 8), 16, 10).cast("long") % F.col("n"))
+    drawn = cut(drawn.join(placed, ["metric", "i"]).select("metric", "r", "v", "value"))
+    mid = drawn.groupBy("metric", "r").agg(F.median("value").alias("m"))
+    far = F.abs(F.col("value") - F.col("m")) >= F.abs(F.col("v") - F.col("m"))
+    each = drawn.join(mid, ["metric", "r"]).groupBy("metric", "r").agg(F.avg(far.cast("int")).alias("p"))
+    edges = F.percentile("p", F.array(F.lit((1 - ci) / 2), F.lit(1 - (1 - ci) / 2)))
+    interval = each.groupBy("metric").agg(edges.alias("e")).select("metric", F.col("e")[0].alias("lo"), F.col("e")[1].alias("hi"))
+    p = two_sided_p_value(rows.select("metric", "value"), enacted).withColumnRenamed("p_value_two_sided", "p")
+    return p.join(interval, "metric").select("metric", "p", "lo", "hi")
 
 
 def histogram(ensemble: DataFrame, bins: int = 30) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plansieve.functions.geometry import area, centroid, contains, segments
-from plansieve.storage import cut, ship
+from plansieve.storage import cut, row_numbers, ship
 
 
 def adjacency(edges: DataFrame) -> DataFrame:
@@ -133,32 +133,54 @@ def _components_in_rounds(nodes: DataFrame, edges: DataFrame, rounds: int = 60)
 
 
 def stitched(nodes: DataFrame, edges: DataFrame, per_node: bool = True) -> DataFrame:
-    """edges plus synthetic ones that tie every smaller component to the growing main one.
+    """edges plus synthetic ones that tie every smaller component to larger ones.
 
-    Components go by size, largest first. per_node: each node of a component gets an edge to its
-    nearest main node; otherwise only the component's smallest node. Equal distances go to the
-    smaller id. Components of a map are few; a loop takes them one by one, as each may attach to
-    an earlier one.
+    Components go by size, largest first, equal ones by smallest node. per_node: each node of a
+    component but the first gets an edge to the nearest node of the components before its own;
+    otherwise only the component's smallest node does. Equal distances go to the smaller id.
+    Labels, sizes and points stay distributed; the number of components is not looked at.
     """
-    label = components(nodes, edges)
-    sizes = label.groupBy("component").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "component").collect()
-    if len(sizes) < 2:
+    label = cut(components(nodes, edges))
+    sizes = label.groupBy("component").agg(F.count("*").alias("n"))
+    if sizes.limit(2).count() < 2:
         return edges
-    points = cut(nodes.select("node_id", "x", "y").join(label, "node_id"))
-    main, out = [sizes[0]["component"]], edges.withColumn("synthetic", F.coalesce("synthetic", F.lit(False)))
-    for row in sizes[1:]:
-        part = points.where(F.col("component") == row["component"])
-        if not per_node:
-            part = part.where(F.col("node_id") == row["component"])
-        base = points.where(F.col("component").isin(main)).select(F.col("node_id").alias("m"), F.col("x").alias("mx"), F.col("y").alias("my"))
+    ranks = row_numbers(sizes.withColumn("less", -F.col("n")), ["less", "component"], "rank").select("component", "rank")
+    points = cut(nodes.select("node_id", "x", "y").join(label, "node_id").join(ranks, "component"))
+    asking = points.where("rank > 0")
+    if not per_node:
+        asking = asking.where("node_id = component")
+    near = nearest_before(asking, points)
+    return edges.withColumn("synthetic", F.coalesce("synthetic", F.lit(False))).unionByName(
+        near.select(F.least("node_id", "near").alias("u"), F.greatest("node_id", "near").alias("v"), F.col("distance").alias("weight"), F.lit(True).alias("synthetic"))
+    )
+
+
+def nearest_before(asking: DataFrame, points: DataFrame) -> DataFrame:
+    """node_id, near, distance: for rows of asking the nearest of points with a smaller rank, the smallest id of equals.
+
+    Both have (node_id, x, y, rank). A square grid over the points: a node is compared with those of
+    its own and the eight cells around, by an equi-join; what it finds within a cell's width is the
+    nearest. Nodes without such a find go on to a grid of twice the width, so dense surroundings are
+    settled on small cells and the number of rounds is logarithmic in the map's extent.
+    """
+    box = points.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y"), F.count("*")).first()
+    span = max(box[1] - box[0], box[3] - box[2])
+    cell = max(2.0 * ((box[1] - box[0]) * (box[3] - box[2]) / box[4]) ** 0.5, span / max(1, box[4]), 1e-12)
+    left, done = cut(asking), None
+    while True:
+        place = lambda c, w=cell: F.floor(F.col(c) / w)
+        base = points.select(place("x").alias("cx"), place("y").alias("cy"), F.col("node_id").alias("m"), F.col("x").alias("mx"), F.col("y").alias("my"), F.col("rank").alias("mr"))
+        steps = F.array(*map(F.lit, (-1, 0, 1)))
+        around = left.select("node_id", "x", "y", "rank", F.explode(steps).alias("i"), place("y").alias("cy0")).select("*", F.explode(steps).alias("j"))
+        around = around.select("node_id", "x", "y", "rank", (place("x") + F.col("i")).alias("cx"), (F.col("cy0") + F.col("j")).alias("cy"))
         d = F.hypot(F.col("x") - F.col("mx"), F.col("y") - F.col("my"))
-        # an island has few nodes: each is compared with the main component's, keeping one row a node
-        best = part.join(base, F.lit(True)).groupBy("node_id").agg(F.min(F.struct(d.alias("d"), F.col("m"))).alias("b"))
-        out = out.unionByName(
-            best.select(F.least("node_id", "b.m").alias("u"), F.greatest("node_id", "b.m").alias("v"), F.col("b.d").alias("weight"), F.lit(True).alias("synthetic"))
-        )
-        main.append(row["component"])
-    return out
+        found = around.join(base, ["cx", "cy"]).where("mr < rank").groupBy("node_id").agg(F.min(F.struct(d.alias("d"), F.col("m"))).alias("b"))
+        found = cut(found.where(F.lit(cell > 2 * span) | (F.col("b.d") <= cell)).select("node_id", F.col("b.m").alias("near"), F.col("b.d").alias("distance")))
+        done = found if done is None else done.unionByName(found)
+        left = cut(left.join(found.select("node_id"), "node_id", "left_anti"))
+        if cell > 2 * span or left.isEmpty():
+            return done
+        cell *= 2
 
 
 def graph_summary(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plansieve.operators import diagnostics, ensemble, graph, metrics, partition
@@ -10,7 +10,6 @@ from plansieve.plans import chain, kernels, spectral
 from plansieve.sources import loaders, synthetic
 from plansieve.sources.bridge import K, PLANS, WIDTH, Bridge
 
-# A query whose SQL names some plans only keeps them; the same operator over every plan is <name>_all_plans.
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
@@ -117,15 +116,8 @@ def adjacency_from_segments(b):
     return r9(graph.shared_boundary(b.polygons()), "weight")
 
 
-@query("SELECT du AS district, dv AS neighbor, count(*)::DOUBLE AS boundary FROM ed WHERE plan_id = 0 AND du <> dv GROUP BY du, dv")
-def shared_boundary(b):
-    shared = graph.shared_boundary(b.polygons())
-    ed = partition.edge_districts(shared, b.assignment().where("plan_id = 0")).where("du <> dv")
-    return r9(ed.groupBy(F.col("du").alias("district"), F.col("dv").alias("neighbor")).agg(F.sum("weight").alias("boundary")), "boundary")
-
-
 @query("SELECT plan_id, du AS district, dv AS neighbor, count(*)::DOUBLE AS boundary FROM ed WHERE du <> dv GROUP BY plan_id, du, dv")
-def shared_boundary_all_plans(b):
+def shared_boundary(b):
     ed = partition.edge_districts(graph.shared_boundary(b.polygons()), b.assignment()).where("du <> dv")
     return r9(ed.groupBy("plan_id", F.col("du").alias("district"), F.col("dv").alias("neighbor")).agg(F.sum("weight").alias("boundary")), "boundary")
 
@@ -160,20 +152,16 @@ def dedupe_keep_first(b):
     return graph.keep_first(o, "node_id", "o_orderkey")
 
 
-@query(
-    """, comp AS (SELECT node_id, node_id AS root FROM asg WHERE plan_id = 0 UNION
-  SELECT adj.neighbor, comp.root FROM comp JOIN adj USING (node_id) JOIN asg a ON a.plan_id = 0 AND a.node_id = comp.node_id JOIN asg c ON c.plan_id = 0 AND c.node_id = adj.neighbor
-  WHERE a.district = c.district AND comp.root < adj.neighbor)
-SELECT node_id, min(root) AS component FROM comp GROUP BY node_id"""
-)
-def components(b):
-    a = b.assignment().where("plan_id = 0")
-    inner = partition.edge_districts(b.edges(), a).where("du = dv").select("u", "v", "weight")
-    return graph.components(b.nodes(), inner)
+#: edges inside districts, both ways; the smallest node that each node reaches along them
+_COMP = """, inner_ AS (SELECT a.plan_id, a.district, a.node_id, neighbor FROM adj JOIN asg a ON a.node_id = adj.node_id JOIN asg c ON c.plan_id = a.plan_id AND c.node_id = neighbor AND c.district = a.district),
+comp(plan_id, node_id, root) USING KEY (plan_id, node_id) AS (SELECT plan_id, node_id, node_id FROM asg UNION
+  SELECT i.plan_id, neighbor, min(comp.root) FROM comp JOIN inner_ i ON i.plan_id = comp.plan_id AND i.node_id = comp.node_id
+  JOIN recurring.comp s ON s.plan_id = i.plan_id AND s.node_id = neighbor WHERE comp.root < s.root GROUP BY i.plan_id, neighbor)
+"""
 
 
-@query()
-def components_all_plans(b):
+@query(_COMP + "SELECT plan_id, node_id, root AS component FROM comp")
+def components(b):
     """plan_id, node_id, component: a node of a plan is one vertex, numbered plan by plan."""
     n, a = b.n(), b.assignment()
     at = F.col("plan_id") * n
@@ -214,24 +202,13 @@ def pop_filter(b):
     return loaders.load_mggg(raw, loaders.MGGG["nc"]).select("node_id", "pop", "votes_d", "votes_r", "district")
 
 
-@query("SELECT plan_id, node_id, (dense_rank() OVER (PARTITION BY plan_id ORDER BY d) - 1)::INT AS district FROM (SELECT plan_id, node_id, district * 3 + 5 AS d FROM asg WHERE plan_id < 3)")
-def dense_relabel(b):
-    return partition.dense_relabel(b.assignment(3).withColumn("district", F.col("district") * 3 + 5))
-
-
 @query("SELECT plan_id, node_id, (dense_rank() OVER (PARTITION BY plan_id ORDER BY d) - 1)::INT AS district FROM (SELECT plan_id, node_id, district * 3 + 5 AS d FROM asg)")
-def dense_relabel_all_plans(b):
+def dense_relabel(b):
     return partition.dense_relabel(b.assignment().withColumn("district", F.col("district") * 3 + 5))
 
 
-@query("SELECT plan_id, count(*) AS n_missing FROM asg WHERE plan_id < 3 AND node_id % (plan_id + 5) = 0 AND plan_id > 0 GROUP BY plan_id")
-def plan_validate_anti(b):
-    holes = b.assignment(3).where("not (plan_id > 0 and node_id % (plan_id + 5) = 0)")
-    return partition.incomplete_plans(b.nodes(), holes)
-
-
 @query("SELECT plan_id, count(*) AS n_missing FROM asg WHERE node_id % (plan_id + 5) = 0 AND plan_id > 0 GROUP BY plan_id")
-def plan_validate_anti_all_plans(b):
+def plan_validate_anti(b):
     holes = b.assignment().where("not (plan_id > 0 and node_id % (plan_id + 5) = 0)")
     return partition.incomplete_plans(b.nodes(), holes)
 
@@ -259,13 +236,8 @@ def boundary_edges(b):
     return partition.boundary_edges(b.edges(), b.assignment())
 
 
-@query("SELECT plan_id, node_id, CASE WHEN plan_id = 1 AND node_id = 7 THEN 5 ELSE district END AS district FROM asg WHERE plan_id < 3")
-def flip_plan(b):
-    return partition.flip(b.assignment(3), 7, 5, 1)
-
-
 @query("SELECT plan_id, node_id, CASE WHEN plan_id = 1 AND node_id = 7 THEN 5 ELSE district END AS district FROM asg")
-def flip_plan_all_plans(b):
+def flip_plan(b):
     return partition.flip(b.assignment(), 7, 5, 1)
 
 
@@ -274,34 +246,17 @@ def plan_to_array(b):
     return partition.to_array(b.assignment()).select("plan_id", F.array_join(F.transform("plan", lambda d: d.cast("string")), ",").alias("plan"))
 
 
-@query("SELECT plan_id, node_id, district FROM asg WHERE plan_id < 2")
-def plan_from_array(b):
-    return partition.from_array(partition.to_array(b.assignment(2)), b.nodes()).select("plan_id", "node_id", "district")
-
-
 @query("SELECT plan_id, node_id, district FROM asg")
-def plan_from_array_all_plans(b):
+def plan_from_array(b):
     return partition.from_array(partition.to_array(b.assignment()), b.nodes()).select("plan_id", "node_id", "district")
 
 
-@query(
-    """, flips AS (SELECT 0::BIGINT AS plan_id, o_orderkey AS step, o_custkey AS node_id, (o_orderkey % 8)::INT AS district FROM orders),
-moved AS (SELECT a.plan_id, a.node_id, coalesce((SELECT arg_max(f.district, f.step) FROM flips f WHERE f.node_id = a.node_id), a.district) AS district FROM asg a WHERE a.plan_id = 0)
-SELECT district, sum(pop)::BIGINT AS pop FROM moved JOIN nodes USING (node_id) GROUP BY district"""
-)
-def flip_log_totals(b):
-    """Populations after a log of flips, from the signed deltas' running sums."""
-    flips = b.table("orders").select(F.lit(0).cast("long").alias("plan_id"), F.col("o_orderkey").alias("step"), F.col("o_custkey").alias("node_id"), (F.col("o_orderkey") % 8).cast("int").alias("district"))
-    run = partition.pop_deltas(b.nodes(), b.assignment(1), flips)
-    return run.groupBy("district").agg(F.max_by("pop", "step").alias("pop"))
-
-
 @query(
     """, last_ AS (SELECT o_custkey AS node_id, (max(o_orderkey) % 8)::INT AS district FROM orders GROUP BY o_custkey)
 SELECT plan_id, coalesce(last_.district, asg.district) AS district, sum(pop)::BIGINT AS pop FROM asg JOIN nodes USING (node_id) LEFT JOIN last_ USING (node_id) GROUP BY ALL"""
 )
-def flip_log_totals_all_plans(b):
-    """The log of flip_log_totals replayed on every plan."""
+def flip_log_totals(b):
+    """Populations after a log of flips replayed on every plan, from the signed deltas' running sums."""
     plan = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(PLANS - 1).cast("long")))
     flips = b.table("orders").select(plan.alias("plan_id"), F.col("o_orderkey").alias("step"), F.col("o_custkey").alias("node_id"), (F.col("o_orderkey") % 8).cast("int").alias("district"))
     run = partition.pop_deltas(b.nodes(), b.assignment(), flips)
@@ -375,53 +330,95 @@ def polsby_popper(b):
     return r9(metrics.polsby_popper(b.polygons(), None, b.assignment()), "polsby_popper")
 
 
-@query()
+#: a smallest enclosing circle goes through two or three of the outermost corners: the least of all such circles that hold every corner
+_REOCK = """, cor AS (SELECT DISTINCT plan_id, district, cx, cy FROM (SELECT plan_id, district, x + dx AS cx, y + dy AS cy FROM asg JOIN nodes USING (node_id), (VALUES (0, 0), (1, 0), (0, 1), (1, 1)) c(dx, dy))),
+ext AS (SELECT DISTINCT plan_id, district, cx::DOUBLE AS x, cy::DOUBLE AS y FROM (SELECT plan_id, district, cy, unnest([min(cx), max(cx)]) AS cx FROM cor GROUP BY plan_id, district, cy)),
+num AS (SELECT *, row_number() OVER (PARTITION BY plan_id, district ORDER BY x, y) AS i FROM ext),
+two AS (SELECT plan_id, district, (a.x + b.x) / 2 AS x, (a.y + b.y) / 2 AS y, ((a.x - b.x) ** 2 + (a.y - b.y) ** 2) / 4 AS r2 FROM num a JOIN num b USING (plan_id, district) WHERE a.i < b.i),
+tri AS (SELECT plan_id, district, a.x AS ax, a.y AS ay, b.x - a.x AS bx, b.y - a.y AS by_, c.x - a.x AS cx, c.y - a.y AS cy FROM num a JOIN num b USING (plan_id, district) JOIN num c USING (plan_id, district) WHERE a.i < b.i AND b.i < c.i),
+cen AS (SELECT plan_id, district, ax, ay, (cy * (bx * bx + by_ * by_) - by_ * (cx * cx + cy * cy)) / (2 * (bx * cy - by_ * cx)) AS ux, (bx * (cx * cx + cy * cy) - cx * (bx * bx + by_ * by_)) / (2 * (bx * cy - by_ * cx)) AS uy
+  FROM tri WHERE bx * cy <> by_ * cx),
+cir AS (SELECT plan_id, district, x, y, r2 FROM two UNION SELECT plan_id, district, ax + ux, ay + uy, ux * ux + uy * uy FROM cen),
+mec AS (SELECT c.plan_id, c.district, min(r2) AS r2 FROM cir c WHERE NOT EXISTS (FROM ext e WHERE e.plan_id = c.plan_id AND e.district = c.district AND (e.x - c.x) ** 2 + (e.y - c.y) ** 2 > c.r2 * (1 + 1e-9)) GROUP BY c.plan_id, c.district),
+reo AS (SELECT plan_id, avg(n_nodes / (pi() * r2)) AS reock FROM mec JOIN tot USING (plan_id, district) GROUP BY plan_id)
+"""
+
+
+@query(_REOCK + "SELECT plan_id, round(reock, 9) AS reock FROM reo")
 def reock(b):
     return r9(metrics.reock(b.polygons(), b.assignment()), "reock")
 
 
-_FAR = """, d0 AS (SELECT plan_id, district, min(node_id) AS root FROM asg WHERE plan_id = 0 GROUP BY plan_id, district),
-inner_ AS (SELECT a.node_id, neighbor FROM adj JOIN asg a ON a.plan_id = 0 AND a.node_id = adj.node_id JOIN asg c ON c.plan_id = 0 AND c.node_id = neighbor AND c.district = a.district),
-b1(node, d) USING KEY (node) AS (SELECT root, 0 FROM d0 UNION
-  SELECT neighbor, min(b1.d) + 1 FROM b1 JOIN inner_ ON inner_.node_id = b1.node LEFT JOIN recurring.b1 s ON s.node = neighbor WHERE s.node IS NULL GROUP BY neighbor),
-far AS (SELECT a.district, arg_min(b1.node, (-b1.d, b1.node)) AS root FROM b1 JOIN asg a ON a.plan_id = 0 AND a.node_id = b1.node GROUP BY a.district),
-b2(node, d) USING KEY (node) AS (SELECT root, 0 FROM far UNION
-  SELECT neighbor, min(b2.d) + 1 FROM b2 JOIN inner_ ON inner_.node_id = b2.node LEFT JOIN recurring.b2 s ON s.node = neighbor WHERE s.node IS NULL GROUP BY neighbor)
-"""
+def _sweeps(start: str, along: str, name: str) -> str:
+    """Hops from (plan_id, node) rows of `start` along (plan_id, node_id, neighbor) rows of `along`, as {name}(plan_id, node, d)."""
+    return f"""{name}(plan_id, node, d) USING KEY (plan_id, node) AS (SELECT plan_id, node, 0 FROM {start} UNION
+  SELECT i.plan_id, neighbor, min({name}.d) + 1 FROM {name} JOIN {along} i ON i.plan_id = {name}.plan_id AND i.node_id = {name}.node
+  LEFT JOIN recurring.{name} s ON s.plan_id = i.plan_id AND s.node = neighbor WHERE s.node IS NULL GROUP BY i.plan_id, neighbor)"""
 
 
-@query(_FAR + "SELECT a.district, max(b2.d)::INT AS diameter FROM b2 JOIN asg a ON a.plan_id = 0 AND a.node_id = b2.node GROUP BY a.district")
-def diameter_two_bfs(b):
-    return kernels.diameters(b.edges(), b.assignment().where("plan_id = 0")).select("district", "diameter")
+_FAR = f""", inner_ AS (SELECT a.plan_id, a.district, a.node_id, neighbor FROM adj JOIN asg a ON a.node_id = adj.node_id JOIN asg c ON c.plan_id = a.plan_id AND c.node_id = neighbor AND c.district = a.district),
+d0 AS (SELECT plan_id, min(node_id) AS node FROM asg GROUP BY plan_id, district),
+{_sweeps("d0", "inner_", "b1")},
+far AS (SELECT plan_id, arg_min(b1.node, (-b1.d, b1.node)) AS node FROM b1 JOIN asg a USING (plan_id) WHERE a.node_id = b1.node GROUP BY plan_id, a.district),
+{_sweeps("far", "inner_", "b2")},
+dia AS (SELECT plan_id, a.district, max(b2.d)::INT AS diameter FROM b2 JOIN asg a USING (plan_id) WHERE a.node_id = b2.node GROUP BY plan_id, a.district)
+"""
 
 
-@query()
-def diameter_two_bfs_all_plans(b):
+@query(_FAR + "SELECT plan_id, district, diameter FROM dia")
+def diameter_two_bfs(b):
     return kernels.diameters(b.edges(), b.assignment())
 
 
-@query()
+@query(_FAR + "SELECT plan_id, round(avg(diameter), 9) AS mst_diameter FROM dia GROUP BY plan_id")
 def mst_diameter(b):
     return r9(metrics.mst_diameter(b.edges(), b.assignment()), "mst_diameter")
 
 
-@query()
+#: on a lattice whose districts are intervals of ids, every cycle bounds unit squares, and a square's greatest edge is its upper one:
+#: the spanning tree is what is left without the upper edges of whole squares
+_TREE = f"""{_COMP}, tre AS (SELECT i.* FROM inner_ i WHERE abs(i.node_id - neighbor) <> 1 OR NOT EXISTS (FROM asg p JOIN asg q ON q.plan_id = p.plan_id AND q.district = p.district AND q.node_id = p.node_id + 1
+    WHERE p.plan_id = i.plan_id AND p.district = i.district AND p.node_id = least(i.node_id, neighbor) - {WIDTH})),
+d0 AS (SELECT DISTINCT plan_id, root AS node FROM comp),
+{_sweeps("d0", "tre", "b1")},
+far AS (SELECT c.plan_id, arg_max(b1.node, b1.d) AS node FROM b1 JOIN comp c ON c.plan_id = b1.plan_id AND c.node_id = b1.node GROUP BY c.plan_id, c.root),
+{_sweeps("far", "tre", "b2")},
+dia AS (SELECT b2.plan_id, a.district, max(b2.d) AS diameter FROM b2 JOIN asg a ON a.plan_id = b2.plan_id AND a.node_id = b2.node GROUP BY b2.plan_id, a.district)
+"""
+
+
+@query(_TREE + "SELECT plan_id, round(avg(diameter), 9) AS mst_tree_diameter FROM dia GROUP BY plan_id")
 def mst_tree_diameter(b):
     return r9(metrics.mst_tree_diameter(b.edges(), b.assignment()), "mst_tree_diameter")
 
 
 @query(
-    """, reach AS (SELECT plan_id, district, min(node_id) AS node_id FROM asg WHERE plan_id < 3 GROUP BY plan_id, district UNION
+    """, reach AS (SELECT plan_id, district, min(node_id) AS node_id FROM asg GROUP BY plan_id, district UNION
   SELECT r.plan_id, r.district, neighbor FROM reach r JOIN adj USING (node_id) JOIN asg c ON c.plan_id = r.plan_id AND c.node_id = neighbor AND c.district = r.district)
-SELECT plan_id, district, (SELECT count(*) FROM reach r WHERE r.plan_id = tot.plan_id AND r.district = tot.district) = n_nodes AS connected FROM tot WHERE plan_id < 3"""
+SELECT plan_id, district, (SELECT count(*) FROM reach r WHERE r.plan_id = tot.plan_id AND r.district = tot.district) = n_nodes AS connected FROM tot"""
 )
 def district_connected(b):
-    return kernels.connectivity(b.edges(), b.assignment().where("plan_id < 3"))
+    return kernels.connectivity(b.edges(), b.assignment())
 
 
-@query()
-def district_connected_all_plans(b):
-    return kernels.connectivity(b.edges(), b.assignment())
+_WIDE = _FAR + _REOCK + """, pol AS (SELECT plan_id, avg(4 * pi() * n_nodes / (4.0 * n_nodes - 2 * coalesce(inside, 0)) ** 2) AS polsby_popper FROM tot LEFT JOIN ins USING (plan_id, district) GROUP BY plan_id),
+mst AS (SELECT plan_id, avg(diameter) AS mst_diameter FROM dia GROUP BY plan_id),
+wide7 AS (SELECT * FROM wide JOIN mst USING (plan_id) JOIN pol USING (plan_id) JOIN reo USING (plan_id)),
+long7 AS (UNPIVOT wide7 ON cut_edge_ratio, mst_diameter, modularity, efficiency_gap, mean_median, polsby_popper, reock INTO NAME metric VALUE value),
+ens7 AS (SELECT l.metric, round(l.value, 9) AS value, round(e.value, 9) AS v, median(round(l.value, 9)) OVER (PARTITION BY l.metric) AS m FROM long7 l JOIN long7 e ON e.metric = l.metric AND e.plan_id = 0),
+out7 AS (SELECT metric, max(v) AS enacted_value, avg(value) AS ensemble_mean, stddev_pop(value) AS ensemble_std, (count(*) FILTER (value < v) + 0.5 * count(*) FILTER (value = v)) / count(*) * 100 AS percentile,
+  avg((abs(value - m) >= abs(v - m))::INT) AS p_value_two_sided FROM ens7 GROUP BY metric)
+"""
+
+
+@query(
+    _WIDE + """SELECT plan_id, round(cut_edge_ratio, 9) AS cut_edge_ratio, round(mst_diameter, 9) AS mst_diameter, round(modularity, 9) AS modularity, round(efficiency_gap, 9) AS efficiency_gap, round(mean_median, 9) AS mean_median,
+  round(polsby_popper, 9) AS polsby_popper, round(reock, 9) AS reock FROM wide7"""
+)
+def all_metrics(b):
+    """The whole bundle."""
+    m = metrics.all_metrics(b.nodes(), b.edges(), b.assignment(), b.polygons())
+    return r9(m, *[c for c in m.columns if c != "plan_id"])
 
 
 @query("SELECT plan_id, round(cut_edge_ratio, 9) AS cut_edge_ratio, round(modularity, 9) AS modularity, round(efficiency_gap, 9) AS efficiency_gap, round(mean_median, 9) AS mean_median FROM wide")
@@ -494,7 +491,14 @@ def mean_and_std(b):
     return r9(ensemble.spread(_long(b)), "mean", "std")
 
 
-@query()
+@query(
+    """, vals AS (SELECT metric, value, row_number() OVER (PARTITION BY metric ORDER BY plan_id) - 1 AS i FROM ens),
+size_ AS (SELECT metric, count(*) AS n, max(v) AS v FROM ens JOIN ena USING (metric) GROUP BY metric),
+drawn AS (SELECT metric, r, v, ('0x' || md5('42:' || r || ':' || j)[1:8])::BIGINT % n AS i FROM size_, unnest(range(500)) AS a(r), unnest(range(n)) AS b(j)),
+got AS (SELECT metric, r, v, value FROM drawn JOIN vals USING (metric, i)),
+each_ AS (SELECT metric, r, avg((abs(value - m) >= abs(v - m))::INT) AS p FROM got JOIN (SELECT metric, r, median(value) AS m FROM got GROUP BY metric, r) USING (metric, r) GROUP BY metric, r)
+SELECT metric, round(any_value(p_value_two_sided), 9) AS p, round(quantile_cont(p, (1 - 0.95) / 2), 9) AS lo, round(quantile_cont(p, 1 - (1 - 0.95) / 2), 9) AS hi FROM each_ JOIN outl USING (metric) GROUP BY metric"""
+)
 def bootstrap_ci(b):
     return r9(ensemble.bootstrap_p_value(*_split(b), n_boot=500, seed=42), "p", "lo", "hi")
 
@@ -548,50 +552,96 @@ def burnin_thin(b):
 
 
 # --- generators ----------------------------------------------------------------------------
+# Random draws have no SQL; each query says of every plan that it makes what must hold of it, and SQL says the same of the tables.
 
 
-def _grid(b: Bridge) -> tuple[DataFrame, DataFrame]:
-    return synthetic.grid_state(b.spark, 14, 14, 7, tilt=0.6)
+def _facts(nodes: DataFrame, edges: DataFrame, plans: DataFrame, tol: float) -> DataFrame:
+    """plan_id, n_nodes, pop, n_districts, connected, within: of every plan, over all its districts."""
+    pops = partition.pop_balance(nodes, plans, tol).groupBy("plan_id").agg(F.sum("pop").cast("long").alias("pop"), F.min("within").alias("within"))
+    whole = kernels.connectivity(edges, plans).groupBy("plan_id").agg(F.min("connected").alias("connected"), F.count("*").alias("n_districts"))
+    count = plans.groupBy("plan_id").agg(F.countDistinct("node_id").alias("n_nodes"))
+    return count.join(pops, "plan_id").join(whole, "plan_id").select("plan_id", "n_nodes", "pop", "n_districts", "connected", "within")
 
 
-@query()
-def synthetic_state(b):
-    nodes, _, _ = synthetic.make_synthetic_state(b.spark, 400, 8, 5)
-    return r9(nodes, "pop", "votes_d", "votes_r", "x", "y")
+def _plan_facts(plans: str) -> str:
+    return f"SELECT plan_id, nn AS n_nodes, (SELECT sum(pop) FROM nodes)::BIGINT AS pop, {K}::BIGINT AS n_districts, true AS connected, true AS within FROM cnt, ({plans})"
+
 
+def _start(b: Bridge) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The tables' map and a plan of it to walk from."""
+    from plansieve.storage import cut
+
+    nodes, edges = cut(b.nodes()), cut(b.edges())
+    return nodes, edges, cut(spectral.recursive_bisect(nodes, edges, K))
 
-@query()
+
+@query("SELECT 400::BIGINT AS n_nodes, 0::BIGINT AS n_bad_pops, 0::BIGINT AS n_bad_votes, 0::BIGINT AS n_outside, true AS is_connected, true AS is_planar, true AS cities_lean_d", base=False)
+def synthetic_state(b):
+    """What must hold of a generated state: sizes, ranges, one connected piece, and more D votes where people live densely."""
+    nodes, edges, _ = synthetic.make_synthetic_state(b.spark, 400, 8, 5)
+    one = graph.graph_summary(nodes, edges)
+    votes = F.col("votes_d") + F.col("votes_r")
+    rank = F.percent_rank().over(Window.orderBy("pop"))  # a state of 400 rows
+    lean = lambda low, high: F.sum(F.when(F.col("rank").between(low, high), F.col("votes_d"))) / F.sum(F.when(F.col("rank").between(low, high), votes))
+    checks = nodes.withColumn("rank", rank).agg(
+        F.count_if(~(F.col("pop") > 0)).alias("n_bad_pops"), F.count_if(~((F.col("votes_d") >= 0) & (F.col("votes_r") >= 0) & (votes <= F.col("pop")))).alias("n_bad_votes"),
+        F.count_if(~(F.col("y").between(0, synthetic.HEIGHT) & (F.col("x") <= synthetic.WIDTH))).alias("n_outside"), (lean(0.8, 1.0) > lean(0.0, 0.2)).alias("cities_lean_d"),
+    )
+    return one.join(checks).select("n_nodes", "n_bad_pops", "n_bad_votes", "n_outside", "is_connected", (F.col("n_edges") <= 3 * F.col("n_nodes") - 6).alias("is_planar"), "cities_lean_d")
+
+
+@query(_plan_facts("SELECT 0::BIGINT AS plan_id"))
 def spectral_bisect(b):
-    return spectral.recursive_bisect(b.nodes(), b.edges(), K)
+    nodes, edges, plan = _start(b)
+    return _facts(nodes, edges, plan, 0.1)
 
 
-@query()
-def mcmc_samples(b):
-    nodes, edges = _grid(b)
-    samples, _ = chain.run(nodes, edges, spectral.recursive_bisect(nodes, edges, 4), 50, 0.1, 10, 200, 42)
-    return samples
+#: steps, tolerance, lag, burn-in of the walks below
+_WALK = (50, 0.15, 10, 200)
 
 
-@query()
-def multichain(b):
-    nodes, edges = _grid(b)
-    _, stats = chain.run_multichain(nodes, edges, spectral.recursive_bisect(nodes, edges, 4), 4, 50, 0.1, 10, 200)
-    return chain.acceptance(stats)
+@query(_plan_facts(f"SELECT unnest(range({_WALK[0]}))::BIGINT AS plan_id"))
+def mcmc_samples(b):
+    """Facts of all samples of a chain on the tables' map."""
+    nodes, edges, plan = _start(b)
+    samples, _ = chain.run(nodes, edges, plan, *_WALK, 42)
+    return _facts(nodes, edges, chain.pooled(samples).select("plan_id", "node_id", "district"), _WALK[1])
 
 
-@query()
+@query(
+    f"""SELECT unnest(range(4))::INT AS chain_id, {_WALK[0]}::BIGINT AS n_samples, {_WALK[3] + (_WALK[0] - 1) * _WALK[2] + 1}::BIGINT AS proposed, true AS adds_up, true AS moved, true AS rate_fits,
+  true AS of_its_own, nn AS n_nodes FROM cnt"""
+)
+def multichain(b):
+    """Facts of four chains: their samples, counts of proposals, and that no two end alike."""
+    nodes, edges, plan = _start(b)
+    samples, stats = chain.run_multichain(nodes, edges, plan, 4, *_WALK)
+    each = samples.groupBy("chain_id").agg(F.countDistinct("sample_idx").alias("n_samples"), F.countDistinct("node_id").alias("n_nodes"), F.sum(F.xxhash64("sample_idx", "node_id", "district") % 1_000_003).alias("print"))
+    own = each.groupBy("print").agg(F.count("*").alias("alike"))
+    s = chain.acceptance(stats).select(
+        "chain_id", "proposed", (F.col("proposed") == F.col("accepted") + F.col("rejected_pop") + F.col("rejected_contig")).alias("adds_up"), (F.col("accepted") > 0).alias("moved"),
+        (F.abs(F.col("acceptance_rate") * F.col("proposed") - F.col("accepted")) < 1e-6).alias("rate_fits"),
+    )
+    return s.join(each, "chain_id").join(own, "print").select("chain_id", "n_samples", "proposed", "adds_up", "moved", "rate_fits", (F.col("alike") == 1).alias("of_its_own"), "n_nodes")
+
+
+@query(_plan_facts("SELECT 0::BIGINT AS plan_id").replace("true AS within", "true AS within, true AS packs_more"))
 def gerrymander_walk(b):
-    nodes, edges = _grid(b)
-    return chain.gerrymandered_plan(nodes, edges, spectral.recursive_bisect(nodes, edges, 4), "r")
+    """Facts of the packed plan, and that its favoured party's safest district is as safe as before or safer."""
+    nodes, edges, plan = _start(b)
+    packed = chain.gerrymandered_plan(nodes, edges, plan, "r")
+    top = lambda p: metrics.d_share(partition.district_totals(nodes, p)).agg(F.max("share")).first()[0]
+    return _facts(nodes, edges, packed, 0.15).withColumn("packs_more", F.lit(top(packed) >= top(plan)))
 
 
 @query(
-    f"""SELECT metric, {_ROUNDED}, direction FROM dir WHERE metric IN ('cut_edge_ratio', 'efficiency_gap', 'mean_median')"""
+    _WIDE + f"""SELECT metric, {_ROUNDED}, CASE WHEN percentile BETWEEN 5 AND 95 THEN 'neutral' WHEN metric IN ('cut_edge_ratio', 'mst_diameter') THEN CASE WHEN percentile > 95 THEN 'less_compact' ELSE 'more_compact' END
+  WHEN metric IN ('modularity', 'polsby_popper', 'reock') THEN CASE WHEN percentile > 95 THEN 'more_compact' ELSE 'less_compact' END ELSE CASE WHEN percentile > 95 THEN 'republican_favoring' ELSE 'democratic_favoring' END END AS direction FROM out7"""
 )
 def plan_outliers(b):
-    """The flagship: is plan 0 an outlier among the plans?"""
-    rows, mine = _split(b)
-    three = F.col("metric").isin("cut_edge_ratio", "efficiency_gap", "mean_median")
-    return r9(ensemble.outlier_analysis(rows.where(three), mine.where(three)), "enacted_value", "ensemble_mean", "ensemble_std", "percentile", "p_value_two_sided")
-
+    """The flagship: is plan 0 an outlier among the plans, by any metric of the bundle?"""
+    from plansieve.storage import cut
 
+    wide = metrics.all_metrics(b.nodes(), b.edges(), b.assignment(), b.polygons())
+    rows = r9(cut(metrics.long_metrics(wide)), "value")
+    return r9(ensemble.outlier_analysis(rows, rows.where("plan_id = 0").select("metric", "value")), "enacted_value", "ensemble_mean", "ensemble_std", "percentile", "p_value_two_sided")

@@ -24,16 +24,17 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def row_numbers(df: DataFrame, order: str, name: str) -> DataFrame:
-    """Adds `name`, 0..n-1 in the order of a column, without sorting all rows in one task.
+def row_numbers(df: DataFrame, order: str | list[str], name: str) -> DataFrame:
+    """Adds `name`, 0..n-1 in the order of one or more columns, without sorting all rows in one task.
 
-    Rows are dealt by ranges of the column; each range is numbered by itself and moved up by the
+    Rows are dealt by ranges of the columns; each range is numbered by itself and moved up by the
     sizes of the ranges before it, a table of one row a range.
     """
-    dealt = cut(df.repartitionByRange(F.col(order)).withColumn("_range", F.spark_partition_id()))
+    order = [order] if isinstance(order, str) else order
+    dealt = cut(df.repartitionByRange(*map(F.col, order)).withColumn("_range", F.spark_partition_id()))
     sizes = dealt.groupBy("_range").agg(F.count("*").alias("_n"))
     before = sizes.withColumn("_before", F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).drop("_n")
-    within = F.row_number().over(Window.partitionBy("_range").orderBy(order)) - 1
+    within = F.row_number().over(Window.partitionBy("_range").orderBy(*order)) - 1
     return dealt.join(before, "_range").withColumn(name, (F.col("_before") + within).cast("long")).drop("_range", "_before")
 
 
