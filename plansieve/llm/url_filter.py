@@ -26,8 +26,14 @@ RULES = [
     ("allow", "com/fr/"),
     ("block", "com/de/"),
 ]
-#: public suffixes of two labels; others are taken to have one
-TWO_LABEL_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "com.au", "com.br", "co.jp", "co.in", "co.nz", "com.cn", "co.za")
+#: a public suffix has two labels if it is one of these before a country's two letters, or a platform that hosts
+#: sites of many owners; else one. Fixed values, both parameters of `reputations`.
+SECOND_LEVEL = ("ac", "co", "com", "edu", "go", "gob", "gouv", "gov", "ltd", "mil", "ne", "net", "nom", "or", "org", "plc", "sch")
+PLATFORMS = (
+    "blogspot.com", "github.io", "gitlab.io", "herokuapp.com", "netlify.app", "pages.dev", "tumblr.com", "vercel.app", "web.app", "weebly.com", "wixsite.com", "wordpress.com",
+)
+#: suffixes of at most so many rows are sent to every task
+BROADCAST_SUFFIXES = 100_000
 LIMIT, SURE = 0.2, 0.95
 RHO_RANGE = (1e-4, 0.5)
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -44,8 +50,9 @@ def path_of(url: Column) -> Column:
 
 def suffix_of(host: Column) -> Column:
     name = F.regexp_replace(host, r":[0-9]*$", "")
-    two = F.substring_index(name, ".", -2)
-    return F.when(two.isin(*TWO_LABEL_SUFFIXES), two).otherwise(F.substring_index(name, ".", -1))
+    two, one = F.substring_index(name, ".", -2), F.substring_index(name, ".", -1)
+    country = one.rlike("^[a-z]{2}$") & F.substring_index(two, ".", 1).isin(*SECOND_LEVEL)
+    return F.when((two != one) & (country | two.isin(*PLATFORMS)), two).otherwise(one)
 
 
 def domain_of(host: Column, suffix: Column) -> Column:
@@ -69,7 +76,9 @@ def reputations(outcomes: DataFrame) -> DataFrame:
 
     outcomes(host, bad): a row a page; bad is 1, 0 or null (not labelled). A hot host costs
     one row a task in the shuffle. The tables of hosts and domains stay distributed; four
-    scalars reach the driver.
+    scalars reach the driver. A suffix with most domains is no hot key, as suffixes are sent to
+    every task while they are few; the join of hosts with their domains is a plain equi-join that
+    may split a platform's hosts.
     """
     hosts = outcomes.groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("y"))
     hosts = hosts.withColumn("suffix", suffix_of(F.col("host")))
@@ -92,7 +101,9 @@ def reputations(outcomes: DataFrame) -> DataFrame:
     def mean(level: DataFrame, key: str) -> DataFrame:
         return level.select(key, (F.col("a") / (F.col("a") + F.col("b"))).alias("m"))
 
-    by_suffix = mean(shrunk(suffixes.withColumn("m", F.lit(top))), "suffix")
+    by_suffix = cut(mean(shrunk(suffixes.withColumn("m", F.lit(top))), "suffix"))
+    if by_suffix.count() <= BROADCAST_SUFFIXES:
+        by_suffix = F.broadcast(by_suffix)
     by_domain = mean(shrunk(cut(domains.join(by_suffix, "suffix"))), "domain")
     return shrunk(cut(hosts.join(by_domain, "domain"))).select("host", "n", F.col("y").alias("bad"), "a", "b")
 
@@ -132,7 +143,10 @@ def page_outcomes(pages: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def report(pages: DataFrame, labels: DataFrame) -> DataFrame:
-    return filter_urls(pages, page_outcomes(pages, labels)).select("page_id", "host", "path", "rule", "verdict")
+    """The contract's columns, and the method's: the host's labelled pages, bad ones, and posterior probability that its bad rate exceeds LIMIT."""
+    return filter_urls(pages, page_outcomes(pages, labels)).select(
+        "page_id", "host", "path", "rule", "verdict", F.col("n").cast("long").alias("n"), F.col("bad").cast("long").alias("bad"), (F.round("p_bad", 6) + 0.0).alias("p_bad")
+    )
 
 
 _BETA_SQL = """
@@ -161,7 +175,10 @@ _BETA_SQL = """
 
 
 def _sql() -> str:
-    two = ", ".join(f"'{s}'" for s in TWO_LABEL_SUFFIXES)
+    quoted = lambda values: ", ".join(f"'{s}'" for s in values)
+    two = "array_to_string(string_split(name, '.')[-2:], '.')"
+    one = "string_split(name, '.')[-1]"
+    both = f"{two} <> {one} AND (regexp_matches({one}, '^[a-z]{{2}}$') AND string_split({two}, '.')[1] IN ({quoted(SECOND_LEVEL)}) OR {two} IN ({quoted(PLATFORMS)}))"
     ordered = sorted(RULES, key=lambda r: -len(r[1]))
 
     def fits(rule: str) -> str:
@@ -185,8 +202,7 @@ WITH RECURSIVE rows_ AS (
   , outcomes AS (SELECT page_id, max(bad) AS bad FROM rows_ JOIN marks ON ref = doc_id GROUP BY page_id)
   , h0 AS (SELECT host, count(bad) AS n, coalesce(sum(bad), 0)::DOUBLE AS y, regexp_replace(host, ':[0-9]*$', '') AS name
     FROM rows_ LEFT JOIN outcomes USING (page_id) GROUP BY host)
-  , h1 AS (SELECT *, CASE WHEN array_to_string(string_split(name, '.')[-2:], '.') IN ({two})
-      THEN array_to_string(string_split(name, '.')[-2:], '.') ELSE string_split(name, '.')[-1] END AS sfx FROM h0)
+  , h1 AS (SELECT *, CASE WHEN {both} THEN {two} ELSE {one} END AS sfx FROM h0)
   , h2 AS (SELECT *, CASE WHEN length(name) > length(sfx) + 1
       THEN string_split(left(name, length(name) - length(sfx) - 1), '.')[-1] || '.' || sfx ELSE sfx END AS domain FROM h1)
   , s1 AS (SELECT sfx, sum(n) AS n, sum(y) AS y, (SELECT (sum(y) + 0.5) / (sum(n) + 1.0) FROM h2) AS m FROM h2 GROUP BY sfx)
@@ -197,9 +213,9 @@ WITH RECURSIVE rows_ AS (
   , posterior AS (SELECT host, k * m + y AS a, k * (1 - m) + n - y AS b FROM (SELECT *, {strength("hh")} AS k FROM hh))
 {_BETA_SQL.format(x=LIMIT)}
 SELECT page_id, host, path, rule, CASE {" ".join(f"WHEN rule = '{r}' THEN '{v}'" for v, r in RULES)}
-    WHEN below <= {1.0 - SURE} THEN 'block' ELSE 'allow' END AS verdict
-FROM (SELECT page_id, host, path, CASE {" ".join(f"WHEN {fits(r)} THEN '{r}'" for _, r in ordered)} END AS rule, below
-  FROM rows_ JOIN tail USING (host))
+    WHEN below <= {1.0 - SURE} THEN 'block' ELSE 'allow' END AS verdict, n::BIGINT AS n, y::BIGINT AS bad, round(1 - below, 6) AS p_bad
+FROM (SELECT page_id, host, path, CASE {" ".join(f"WHEN {fits(r)} THEN '{r}'" for _, r in ordered)} END AS rule, below, n, y
+  FROM rows_ JOIN tail USING (host) JOIN hh USING (host))
 """
 
 
