@@ -1,8 +1,9 @@
 """Personal data: patterns propose spans, checksums confirm, context words adjust scores.
 
 Base kinds (email, ip, card, phone) follow fixed patterns and checks, and always stay.
-Further kinds need evidence: an IBAN its country form and the mod-97 checksum, numbers
-written like a social security or a local telephone number a context word nearby. Each
+Further kinds need evidence: an IBAN its country's length and the mod-97 checksum, numbers
+written like a social security or a local telephone number a context word nearby, and so a
+secret, a long run of letters and digits. Each
 span has a score: the kind's prior, plus a checksum's weight, plus the context's; further
 kinds count from THRESHOLD on.
 
@@ -23,6 +24,24 @@ THRESHOLD = 0.6
 CONTEXT_CHARS = 40
 LUHN_DIGITS = (13, 19)
 PHONE_DIGITS = (9, 15)
+# fixed values: characters of an IBAN by country (ISO 13616 registry)
+IBAN_LENGTHS = {
+    "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BI": 27, "BR": 29, "BY": 28, "CH": 21, "CR": 22, "CY": 28, "CZ": 24, "DE": 22, "DJ": 27,
+    "DK": 18, "DO": 28, "EE": 20, "EG": 29, "ES": 24, "FI": 18, "FK": 18, "FO": 18, "FR": 27, "GB": 22, "GE": 22, "GI": 23, "GL": 18, "GR": 27, "GT": 28, "HR": 21, "HU": 28, "IE": 22,
+    "IL": 23, "IQ": 23, "IS": 26, "IT": 27, "JO": 30, "KW": 30, "KZ": 20, "LB": 28, "LC": 32, "LI": 21, "LT": 20, "LU": 20, "LV": 21, "LY": 25, "MC": 27, "MD": 24, "ME": 22, "MK": 19,
+    "MN": 20, "MR": 27, "MT": 31, "MU": 30, "NI": 28, "NL": 18, "NO": 15, "OM": 23, "PK": 24, "PL": 28, "PS": 29, "PT": 25, "QA": 29, "RO": 24, "RS": 22, "RU": 33, "SA": 24, "SC": 31,
+    "SD": 18, "SE": 24, "SI": 19, "SK": 24, "SM": 27, "SO": 23, "ST": 25, "SV": 28, "TL": 23, "TN": 24, "TR": 26, "UA": 29, "VA": 22, "VG": 24, "XK": 20,
+}
+
+
+def iban_pattern() -> str:
+    """Countries of one length together; single spaces may part any characters."""
+    by_length: dict[int, list[str]] = {}
+    for country, n in IBAN_LENGTHS.items():
+        by_length.setdefault(n, []).append(country)
+    return "|".join(rf"(?:{'|'.join(names)})[0-9]{{2}}(?:\x20?[A-Z0-9]){{{n - 4}}}" for n, names in sorted(by_length.items()))
+
+
 BYTE = "0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9]|)"
 #: kind -> pattern; equal in matches to the plain forms, see the tests.
 #: \G lets a match start where the one before ended within a run of local-part characters.
@@ -31,12 +50,13 @@ PATTERNS = {
     "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "iban": r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?",
+    "iban": iban_pattern(),
     "ssn": r"[0-9]{3}-[0-9]{2}-[0-9]{4}",
     "local_phone": r"(?:\([0-9]{3}\)\x20?|[0-9]{3}[\x20.-])[0-9]{3}[\x20.-][0-9]{4}",
+    "secret": r"[A-Za-z0-9_+/=-]{24,}",
 }
 #: further kinds must not touch these characters, before and after
-BORDERS = {"iban": ("[A-Za-z0-9]", "[A-Za-z0-9]"), "ssn": ("[0-9-]", "[0-9-]"), "local_phone": ("[0-9+(.-]", "[0-9-]")}
+BORDERS = {"iban": ("[A-Za-z0-9]", "[A-Za-z0-9]"), "ssn": ("[0-9-]", "[0-9-]"), "local_phone": ("[0-9+(.-]", "[0-9-]"), "secret": ("[A-Za-z0-9_+/=.@-]", "[A-Za-z0-9_+/=@-]")}
 #: what a text must hold for a pattern to be worth trying
 HINTS = {
     "email": lambda t: F.contains(t, F.lit("@")),
@@ -46,9 +66,10 @@ HINTS = {
     "iban": lambda t: t.rlike(r"[A-Z]{2}[0-9]{2}[\x20A-Z0-9]{11}"),
     "ssn": lambda t: t.rlike(r"[0-9]{3}-[0-9]{2}-[0-9]{4}"),
     "local_phone": lambda t: t.rlike(r"[0-9]{3}[\x20.-][0-9]{4}"),
+    "secret": lambda t: t.rlike(r"[A-Za-z0-9_+/=-]{24}"),
 }
 BASE = ("email", "ip", "card", "phone")
-PRIOR = {"email": 0.9, "ip": 0.6, "card": 0.3, "phone": 0.6, "iban": 0.3, "ssn": 0.4, "local_phone": 0.4}
+PRIOR = {"email": 0.9, "ip": 0.6, "card": 0.3, "phone": 0.6, "iban": 0.3, "ssn": 0.4, "local_phone": 0.4, "secret": 0.4}
 CHECKSUM_WEIGHT, CONTEXT_WEIGHT = 0.4, 0.3
 CONTEXT = {
     "email": "e-?mail|contact|write|reply",
@@ -58,6 +79,7 @@ CONTEXT = {
     "iban": "iban|account|bank|konto|compte|cuenta",
     "ssn": "ssn|social security",
     "local_phone": "phone|tel|telephone|call|mobile|cell|fax",
+    "secret": "token|secret|password|passwd|pwd|api[_-]?key|access[_-]?key|private[_-]?key|key|credential|auth|bearer",
 }
 SPAN = "array<struct<kind:string,start:int,end:int,score:double>>"
 
@@ -103,6 +125,7 @@ CHECKS = {
     "phone": lambda m: F.length(digits_of(m)).between(*PHONE_DIGITS),
     "iban": mod97,
     "ssn": lambda m: ~m.rlike("^(?:000|666|9)|-00-|-0000$"),
+    "secret": lambda m: m.rlike("[0-9]") & m.rlike("[A-Za-z]"),
 }
 
 
