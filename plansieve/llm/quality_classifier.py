@@ -6,11 +6,13 @@ whatever the word), plus a mark for a word said three times in a row. Each indic
 scaled by its class log-count ratio r = ln((p / |p|) / (q / |q|)), p and q being smoothed
 counts of labelled texts of either class that hold the n-gram; vectors are scaled to unit
 length, and an L2-regularised hinge loss is minimised by dual coordinate descent. A logistic
-curve fitted on rows the descent has not seen turns margins into probabilities.
+curve turns margins into probabilities; it is fitted on rows that the descent has not seen, with
+their own counts taken out of the ratios, so their margins are as those of unseen texts.
 
 The counts cover every labelled training row. The descent and the curve use a sample of at
-most FIT_ROWS labelled training rows, chosen by the hash of doc_id: the bound that keeps
-the driver's work constant. Labels, lang, source and doc_id are no inputs of a score.
+most FIT_ROWS labelled training rows, the first by the hash of doc_id: the bound that keeps
+the driver's work constant, and the same sample however the rows are dealt over partitions.
+Labels, lang, source and doc_id are no inputs of a score.
 """
 
 from __future__ import annotations
@@ -29,8 +31,8 @@ from plansieve.llm.common import cut, ship
 
 BITS = 18
 FIT_ROWS = 6_000
-#: labels of at most so many rows go to every task; more are joined by a shuffle
-BROADCAST_LABELS = 2_000_000
+#: labels of at most so many rows (about 60 bytes each, so 60 MB) go to every task; more are joined by a shuffle
+BROADCAST_LABELS = 1_000_000
 SMOOTH, COST, EPOCHS, CUTOFF = 1.0, 1.0, 15, 0.7
 
 _SHAPES = bytes(
@@ -101,20 +103,22 @@ def class_counts(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fit_sample(rows: DataFrame, size: int = FIT_ROWS) -> list[tuple[np.ndarray, int]]:
-    """Features and class (1, -1) of at most `size` rows, the same for the same rows."""
+    """Features and class (1, -1) of at most `size` rows: the first by the hash of doc_id, its value and the text's hash."""
     n = rows.count()
-    part = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, size / max(n, 1)))
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
+    # a tenth more than is asked for, so that the order decides and not the share
+    part = place < int((1 << 30) * min(1.0, 1.1 * size / max(n, 1)))
+    order = ["place", "doc_id", "digest"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [features(r).astype(np.int32) for r in batch.column(1).to_pylist()]
-            yield pa.record_batch({"doc_id": batch.column(0), "f": pa.array(found, pa.list_(pa.int32())), "good": batch.column(2)})
+            found = [features(r).astype(np.int32) for r in batch.column(3).to_pylist()]
+            yield pa.record_batch([*batch.columns[:3], pa.array(found, pa.list_(pa.int32())), batch.column(4)], names=[*order, "f", "good"])
 
-    got = rows.where(part).select("doc_id", "raw", F.col("good").cast("int").alias("good")).mapInArrow(run, "doc_id long, f array<int>, good int")
-    table = got.limit(size).toArrow()
-    order = np.argsort(table["doc_id"].to_numpy(), kind="stable")
+    asked = rows.where(part).select(place.alias("place"), "doc_id", F.xxhash64("raw").alias("digest"), "raw", F.col("good").cast("int").alias("good"))
+    table = asked.mapInArrow(run, "place long, doc_id long, digest long, f array<int>, good int").orderBy(*order, "good").limit(size).toArrow()
     f, good = table["f"].combine_chunks(), table["good"].to_pylist()
-    return [(f[int(i)].values.to_numpy(), 1 if good[int(i)] == 1 else -1) for i in order]
+    return [(f[i].values.to_numpy(), 1 if good[i] == 1 else -1) for i in range(len(good))]
 
 
 def dual_descent(xs: list[tuple[np.ndarray, np.ndarray]], ys: list[int], size: int, cost: float = COST, epochs: int = EPOCHS) -> np.ndarray:
@@ -179,6 +183,7 @@ class Model:
 
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     """Without labels of both classes the model says the smoothed share of label 1 for all texts."""
+    ship()
     rows = labelled(docs, labels)
     good, bad = class_counts(rows)
     p, q = good + SMOOTH, bad + SMOOTH
@@ -191,15 +196,22 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
         r = ratio[f]
         return f, r / (float(np.sqrt(r @ r)) or 1.0)
 
-    xs, ys = [vector(f) for f, _ in sample], [y for _, y in sample]
+    def unseen(f: np.ndarray, y: int) -> tuple[np.ndarray, np.ndarray]:
+        """The vector if the row had not been counted."""
+        own = (len(f), 0) if y > 0 else (0, len(f))
+        pf, qf = good[f] - (y > 0), bad[f] - (y < 0)
+        r = np.log(((pf + SMOOTH) / (p.sum() - own[0])) / ((qf + SMOOTH) / (q.sum() - own[1])))
+        r[(pf + qf) == 0] = 0.0
+        return f, r / (float(np.sqrt(r @ r)) or 1.0)
+
+    ys = [y for _, y in sample]
     if len(set(ys)) < 2:
         share = (sum(y > 0 for y in ys) + 1) / (len(ys) + 2)
         return Model(np.zeros(size), ratio, 0.0, 0.0, float(np.log(share / (1 - share))))
-    # every fifth row shows margins as unseen rows have them
-    seen = [i for i in range(len(ys)) if i % 5]
-    w = dual_descent([xs[i] for i in seen], [ys[i] for i in seen], size)
-    other = [i for i in range(len(ys)) if i % 5 == 0]
-    margins = np.array([float(w[xs[i][0]] @ xs[i][1]) + w[-1] for i in other])
+    seen, other = [i for i in range(len(ys)) if i % 5], [i for i in range(len(ys)) if i % 5 == 0]
+    w = dual_descent([vector(sample[i][0]) for i in seen], [ys[i] for i in seen], size)
+    xs = [unseen(*sample[i]) for i in other]
+    margins = np.array([float(w[at] @ v) + w[-1] for at, v in xs])
     a, b = logistic(margins, np.array([ys[i] for i in other]))
     return Model(w[:-1], ratio, float(w[-1]), a, b)
 
@@ -215,7 +227,6 @@ def score(model: Model, text: Column) -> Column:
 
 
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    ship()
     model = fit(docs.select("doc_id", "text"), labels)
     fold = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 4
     scored = docs.select("doc_id", (fold == 2).alias("held_out"), score(model, F.col("text")).alias("score"))
