@@ -1,13 +1,15 @@
 """Minimax contiguous partition of documents into shards.
 
-Groups of equal texts are atomic. Ordered by the smallest row key in each, they are cut
-into `shards` contiguous runs such that the largest run is as small as possible: binary
-search over the capacity, each capacity checked greedily, then cut there.
-
-The groups themselves never reach the driver. It sees sums over nested ranges of the key
-(at most `fan` times the open ranges at once): the search over range borders brackets the
-best capacity, the bracket says in which ranges the cuts of any capacity within it can
-fall, and only those are split further, until a range holds one group.
+Groups of equal texts are atomic. Ordered by the smallest row key in each, then by the text's
+digest, they are cut into contiguous runs such that the largest run is as small as possible:
+binary search over the capacity, each capacity checked greedily, then cut there. Groups that
+exceed an even share of what is left (fewer than `shards`) come first in the order and fill
+shards of their own, so that one giant group does not set the capacity of all other shards.
+
+The groups themselves never reach the driver. It sees sums over nested ranges of their numbers
+in the order (at most `fan` times the open ranges at once): the search over range borders
+brackets the best capacity, the bracket says in which ranges the cuts of any capacity within it
+can fall, and only those are split further, until a range holds one group.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plansieve.llm.common import cut
+from plansieve.storage import row_numbers
 
 
 def greedy(prefix: list[int], shards: int, cap: int) -> list[int] | None:
@@ -96,15 +99,27 @@ def _split(groups: DataFrame, key: str, size: str, ranges: list[tuple[int, int,
     return [(r["lo"], r["hi"], int(r["s"])) for r in found.collect()]
 
 
+def giants(groups: DataFrame, order: str, size: str, shards: int) -> list[int]:
+    """Numbers of the groups, largest first, that fill a shard of their own: each holds an even share of what it and smaller ones leave to the shards left, or more."""
+    total = groups.agg(F.sum(size)).first()[0]
+    out: list[int] = []
+    for at, s in groups.select(order, size).orderBy(F.desc(size), order).limit(shards - 1).collect():
+        if s * (shards - len(out)) < total:
+            break
+        out.append(at)
+        total -= s
+    return out
+
+
 def shard(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: str = "text", slots_per_bin: int = 20_000) -> DataFrame:
     """doc_id, size, text_crc32, shard, slot for every row; equal texts share a shard.
 
     size: UTF-8 bytes plus 1 (null text: 1, equal to no empty text but to other null texts).
-    Rows of a null id form keys of their own at -1; groups that have the same smallest id stay
-    together. slot numbers the rows of a shard from 0 without gaps, in an order fixed by the
-    rows. A group of a third of all rows is one unit by definition; nothing gathers it:
-    group sums are combined before the shuffle, the join back is a plain equi-join that may
-    split hot keys, and slots are counted per (shard, bin of id) and then offset.
+    Groups are ordered by their smallest id, null first, and by digest, so groups whose ids are
+    shared or null are told apart. slot numbers the rows of a shard from 0 without gaps, in an
+    order fixed by the rows. A group of a third of all rows is one unit by definition; nothing
+    gathers it: group sums are combined before the shuffle, the join back is a plain equi-join
+    that may split hot keys, and slots are counted per (shard, bin of id) and then offset.
     """
     text = F.col(text_col)
     rows = cut(
@@ -115,14 +130,16 @@ def shard(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: s
             F.coalesce(F.sha2(text, 256), F.lit("null")).alias("_text"),
         )
     )
-    groups = cut(
-        rows.groupBy("_text").agg(
-            F.min(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1))).alias("_key"), F.sum("size").alias("_size"), F.count("*").alias("_rows")
-        )
-    )
-    cuts = find_cuts(groups.groupBy("_key").agg(F.sum("_size").alias("_size")), "_key", "_size", shards)
-    at = sum((F.when(F.col("_key") > c, 1).otherwise(0) for c in cuts), F.lit(0)).cast("int")
-    placed = rows.join(groups.select("_text", at.alias("shard")), "_text")
+    first = F.when(F.count_if(F.col("doc_id").isNull()) == 0, F.min(F.col("doc_id").cast("long")))
+    groups = rows.groupBy("_text").agg(first.alias("_first"), F.sum("size").alias("_size"))
+    groups = cut(row_numbers(groups, ["_first", "_text"], "_at"))
+    alone = giants(groups, "_at", "_size", shards) if shards > 1 else []
+    rest = groups.where(~F.col("_at").isin(alone)) if alone else groups
+    cuts = find_cuts(rest, "_at", "_size", shards - len(alone))
+    at = sum((F.when(F.col("_at") > c, 1).otherwise(0) for c in cuts), F.lit(len(alone)))
+    for i, g in enumerate(alone):
+        at = F.when(F.col("_at") == g, i).otherwise(at)
+    placed = rows.join(groups.select("_text", at.cast("int").alias("shard")), "_text")
     return number(placed.select("doc_id", "size", "text_crc32", "shard"), slots_per_bin)
 
 
