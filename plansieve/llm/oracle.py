@@ -48,6 +48,7 @@ def _pii() -> str:
         "iban": f"list_reduce({moved}, lambda r, c: CASE WHEN c < 65 THEN (r * 10 + c - 48) % 97 ELSE (r * 100 + c - 55) % 97 END, 0) = 1",
         "ssn": f"NOT regexp_matches(m, '^(?:000|666|9)|-00-|-0000$') AND regexp_matches({near}, '{pii.near_words('ssn')}')",
         "local_phone": f"regexp_matches({near}, '{pii.near_words('local_phone')}')",
+        "secret": f"regexp_matches(m, '[0-9]') AND regexp_matches(m, '[A-Za-z]') AND regexp_matches({near}, '{pii.near_words('secret')}')",
     }
     for rank, (kind, check) in enumerate(evidence.items(), len(parts)):
         before, after = pii.BORDERS[kind]
@@ -68,7 +69,7 @@ SELECT doc_id, {zero}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans
 # --- quality rules --------------------------------------------------------------------------
 
 
-def _quality(alpha: float = 0.01, delta: float = 0.05) -> str:
+def _quality(alpha: float = quality_rules.ALPHA, delta: float = quality_rules.DELTA) -> str:
     ratios = {
         "symbols": "n_symbols / n_words", "dup_lines": "n_dup_lines / n_lines", "repeats": "n_repeat_words / n_words",
         "same_next": "n_same / n_words", "capitals": "n_capitals / word_chars", "exclaims": "n_exclaims / n_words",
@@ -82,18 +83,19 @@ win AS (SELECT doc_id, i, array_to_string(w[i:i + 7], ' ') AS s FROM d, unnest(r
 rep AS (SELECT doc_id, i FROM win QUALIFY count(*) OVER (PARTITION BY doc_id, s) > 1),
 cov AS (SELECT doc_id, sum(least(8, coalesce(nxt - i, 8)))::BIGINT AS n FROM (SELECT doc_id, i, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS nxt FROM rep) GROUP BY doc_id),
 lines AS (SELECT doc_id, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{_WORD}')) AS l FROM d),
-c AS (SELECT d.doc_id, stratum, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols,
+c AS (SELECT d.doc_id, stratum, t, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols,
   (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(cov.n, 0) AS n_repeat_words, len(l) AS n_lines, len([1 FOR i IN range(2, len(w) + 1) IF w[i] = w[i - 1]]) AS n_same,
   length(regexp_replace(t, '[^\p{{Lu}}]+', '', 'g')) AS n_capitals, length(regexp_replace(t, '[^!]+', '', 'g')) AS n_exclaims
   FROM d JOIN lines ON lines.doc_id = d.doc_id LEFT JOIN cov ON cov.doc_id = d.doc_id),
 q AS (SELECT *, {strict} AS s, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM c),
 marks AS (SELECT doc_id, max(quality) AS good FROM labels WHERE quality IS NOT NULL GROUP BY doc_id),
-seen AS (SELECT stratum, s, good FROM q JOIN marks USING (doc_id)),
+seen AS (SELECT stratum, any_value(s) AS s, max(good) AS good FROM q JOIN marks USING (doc_id) GROUP BY stratum, t),
 lv(step, level) AS (VALUES {levels}),
 grid AS (SELECT stratum, step, level, count(*) FILTER (good = 1) AS n, count(*) FILTER (good = 1 AND s > level) AS k, count(*) FILTER (good <> 1 AND s > level) AS caught FROM seen, lv GROUP BY ALL),
 ok AS (SELECT *, bool_and({tail} <= {delta} / (SELECT count(DISTINCT stratum) FROM seen)) OVER (PARTITION BY stratum ORDER BY step) AS ok FROM grid),
-pick AS (SELECT stratum, arg_max(level, (caught, level)) AS level FROM ok WHERE ok GROUP BY stratum)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(s <= level, true) AS kept FROM q LEFT JOIN pick USING (stratum)"""
+pick AS (SELECT stratum, max(level) AS level FROM (SELECT *, max(caught) OVER (PARTITION BY stratum) AS most FROM ok WHERE ok) WHERE caught * 100 >= most * {quality_rules.ENOUGH} GROUP BY stratum)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(s <= level, true) AS kept,
+  round(s, 9) AS strictness, level FROM q LEFT JOIN pick USING (stratum)"""
 
 
 # --- decontamination ------------------------------------------------------------------------
@@ -132,15 +134,20 @@ FROM documents JOIN t ON t.t = coalesce(documents.text, '') JOIN cls USING (text
 _FIT = "list_reduce(range({n}), lambda x, i: coalesce(list_max(list_filter(p, lambda q: q <= x + {cap})), x), 0::BIGINT)"
 _SHARDS = f"""
 WITH RECURSIVE r AS (SELECT doc_id, text IS NULL AS gone, coalesce(text, '') AS t, coalesce(octet_length(encode(text)), 0)::BIGINT + 1 AS size FROM documents),
-g AS (SELECT gone, t, min(coalesce(doc_id, -1)) AS k, sum(size)::BIGINT AS s FROM r GROUP BY gone, t),
-keys AS (SELECT k, sum(sum(s)) OVER (ORDER BY k)::BIGINT AS upto, sum(s)::BIGINT AS s FROM g GROUP BY k),
-all_ AS (SELECT list(upto ORDER BY k) AS p, max(upto) AS total, max(s) AS top FROM keys),
-look AS (SELECT greatest(top, (total + 15) // 16) AS lo, total AS hi FROM all_ UNION ALL
+g0 AS (SELECT gone, t, CASE WHEN count(*) = count(doc_id) THEN min(doc_id) END AS k, CASE WHEN gone THEN 'null' ELSE sha256(t) END AS dg, sum(size)::BIGINT AS s FROM r GROUP BY gone, t),
+g AS (SELECT *, row_number() OVER (ORDER BY k NULLS FIRST, dg) - 1 AS at_ FROM g0),
+big AS (SELECT at_, s, row_number() OVER w - 1 AS i, sum(s) OVER () - sum(s) OVER w + s AS left_ FROM g WINDOW w AS (ORDER BY s DESC, at_)),
+alone AS (SELECT at_, i FROM (SELECT at_, i, bool_and(i < 15 AND s * (16 - i) >= left_) OVER (ORDER BY i) AS ok FROM big) WHERE ok),
+parts AS (SELECT 16 - count(*) AS n FROM alone),
+keys AS (SELECT at_, s, sum(s) OVER (ORDER BY at_)::BIGINT AS upto FROM g WHERE at_ NOT IN (SELECT at_ FROM alone)),
+all_ AS (SELECT list(upto ORDER BY at_) AS p, max(upto) AS total, max(s) AS top FROM keys),
+look AS (SELECT greatest(top, (total + n - 1) // n) AS lo, total AS hi FROM all_, parts UNION ALL
   SELECT CASE WHEN full_ THEN lo ELSE (lo + hi) // 2 + 1 END, CASE WHEN full_ THEN (lo + hi) // 2 ELSE hi END
-  FROM (SELECT lo, hi, {_FIT.format(n=16, cap="((lo + hi) // 2)")} = total AS full_ FROM look, all_ WHERE lo < hi)),
+  FROM (SELECT lo, hi, {_FIT.format(n="n", cap="((lo + hi) // 2)")} = total AS full_ FROM look, all_, parts WHERE lo < hi)),
 cap AS (SELECT lo FROM look WHERE lo = hi LIMIT 1),
-cuts AS (SELECT i, {_FIT.format(n="i", cap="lo")} AS ends FROM unnest(range(1, 16)) AS u(i), cap, all_),
-place AS (SELECT gone, t, (SELECT count(*) FROM cuts WHERE ends < upto AND ends < total)::INT AS shard FROM g JOIN keys USING (k), all_),
+cuts AS (SELECT i, {_FIT.format(n="i", cap="lo")} AS ends FROM unnest(range(1, 16)) AS u(i), cap, all_, parts WHERE i < n),
+place AS (SELECT gone, t, coalesce((SELECT i FROM alone WHERE alone.at_ = g.at_), (SELECT 16 - n FROM parts) + (SELECT count(*) FROM cuts, all_ WHERE ends < upto AND ends < total))::INT AS shard
+  FROM g LEFT JOIN keys USING (at_)),
 tab AS (SELECT [list_reduce(range(8), lambda c, j: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i::BIGINT) FOR i IN range(256)] AS crc),
 hx AS (SELECT DISTINCT t, hex(encode(t)) AS h FROM r),
 sums AS (SELECT t, xor(list_reduce([('0x' || h[2 * i + 1:2 * i + 2])::BIGINT FOR i IN range(len(h) // 2)], lambda c, b: xor(c >> 8, crc[(xor(c, b) & 255) + 1]), 4294967295::BIGINT), 4294967295) AS text_crc32 FROM hx, tab)

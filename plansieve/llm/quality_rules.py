@@ -5,10 +5,11 @@ values and reject a text if any ratio exceeds `level` times its reference. One l
 each stratum (language) is chosen on labelled rows: levels are tested from loose to
 strict, and a level is certified if the exact binomial bound says that, at confidence
 1 - delta / number of strata, at most `alpha` of the stratum's good texts are rejected
-(P(Bin(n, alpha) <= rejected) <= delta / strata). Testing in this fixed order and stopping
+(P(Bin(n, alpha) <= rejected) <= delta / strata). Trials are the different labelled texts of
+the stratum, however often each is repeated. Testing in this fixed order and stopping
 at the first level that fails needs no further correction within a stratum; Bonferroni
-covers the strata. Among the certified levels the one that rejects most labelled bad
-texts is taken, the loosest of equals. A stratum without enough labels rejects nothing.
+covers the strata. Of the certified levels the loosest is taken that rejects ENOUGH percent of
+the labelled bad texts that any of them does. A stratum without enough labels rejects nothing.
 
 Everything here is built-in column functions: no Python runs on the executors.
 """
@@ -32,6 +33,7 @@ REFERENCES = {
 }
 #: levels from loose to strict
 LEVELS = [round(8.0 * 0.9**i, 6) for i in range(36)]
+ALPHA, DELTA, ENOUGH = 0.03, 0.05, 98
 
 
 def _zip_hash(words: Column) -> Column:
@@ -119,18 +121,19 @@ def strictness(q: Column) -> Column:
     return F.greatest(*[ratios[k] / F.lit(REFERENCES[k]) for k in REFERENCES])
 
 
-def choose_levels(scored: DataFrame, labels: DataFrame, alpha: float = 0.01, delta: float = 0.05) -> DataFrame:
+def choose_levels(scored: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
     """stratum, level: the chosen level of each stratum that has a certified one.
 
-    scored(doc_id, stratum, s). labels(doc_id, quality): rows without a quality or an id are
-    left out; an id with several labels counts as good if any says so (the cautious side).
+    scored(doc_id, stratum, digest, s). labels(doc_id, quality): rows without a quality or an id
+    are left out. Rows of one digest are one trial; it, or an id with several labels, counts as
+    good if any label says so (the cautious side).
     """
     marks = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("good"))
     # place: how many levels are below the text's strictness, hence reject it
     place = F.size(F.filter(F.array(*map(F.lit, LEVELS)), lambda v: v < F.col("s")))
+    trials = scored.join(marks, "doc_id").groupBy("stratum", "digest").agg(F.max("good").alias("good"), F.first("s").alias("s"))
     seen = (
-        scored.join(marks, "doc_id")
-        .groupBy("stratum", place.alias("place"))
+        trials.groupBy("stratum", place.alias("place"))
         .agg(F.count_if(F.col("good") == 1).alias("good"), F.count_if(F.col("good") != 1).alias("bad"))
     )
     # a text with `place` levels below is rejected by the strictest `place` of them
@@ -155,17 +158,23 @@ def choose_levels(scored: DataFrame, labels: DataFrame, alpha: float = 0.01, del
     tested = tested.withColumn("ok", binom_cdf(F.col("k"), F.col("n"), F.lit(alpha)) <= delta / strata)
     run = Window.partitionBy("stratum").orderBy("step")
     certified = tested.withColumn("ok", F.min("ok").over(run)).where("ok")
-    return certified.groupBy("stratum").agg(F.max_by("level", F.struct("caught", "level")).alias("level"))
+    most = F.max("caught").over(Window.partitionBy("stratum"))
+    return certified.withColumn("most", most).where(F.col("caught") * 100 >= F.col("most") * ENOUGH).groupBy("stratum").agg(F.max("level").alias("level"))
 
 
 def stratum_of(df: DataFrame) -> Column:
     return F.coalesce(F.col("lang"), F.lit("")) if "lang" in df.columns else F.lit("")
 
 
+def digest_of(df: DataFrame) -> Column:
+    """64 bits stand for a text; where two texts share them, they are one trial."""
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
 def levels_for(docs: DataFrame, labels: DataFrame, **risk: float) -> DataFrame:
     """Levels chosen over all labelled rows of docs."""
-    scored = with_features(docs.select("doc_id", stratum_of(docs).alias("stratum"), "text"))
-    return choose_levels(scored.select("doc_id", "stratum", strictness(F.col("_q")).alias("s")), labels, **risk)
+    scored = with_features(docs.select("doc_id", stratum_of(docs).alias("stratum"), "text", digest_of(docs).alias("digest")))
+    return choose_levels(scored.select("doc_id", "stratum", "digest", strictness(F.col("_q")).alias("s")), labels, **risk)
 
 
 def judge(df: DataFrame, levels: DataFrame) -> DataFrame:
@@ -179,19 +188,24 @@ def judge(df: DataFrame, levels: DataFrame) -> DataFrame:
 
 
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The contract's columns, and the method's: strictness, and level, null where no level of the stratum is certified."""
     # counts of all texts are a small table, so they are written once and used twice
-    known = cut(with_features(docs.select("doc_id", stratum_of(docs).alias("_stratum"), "text")).drop("text"))
-    scored = known.select("doc_id", F.col("_stratum").alias("stratum"), strictness(F.col("_q")).alias("s"))
+    known = cut(with_features(docs.select("doc_id", stratum_of(docs).alias("_stratum"), "text", digest_of(docs).alias("_digest"))).drop("text"))
+    scored = known.select("doc_id", F.col("_stratum").alias("stratum"), F.col("_digest").alias("digest"), strictness(F.col("_q")).alias("s"))
     return judge(known, cut(choose_levels(scored, labels))).select(
         "doc_id",
         *[F.col(f"_q.{c}").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")],
         "base_failed",
         "kept",
+        F.round(strictness(F.col("_q")), 9).alias("strictness"),
+        F.col("_level").alias("level"),
     )
 
 
 def filter_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that pass, with their own columns whatever their names."""
-    levels = cut(levels_for(docs, labels))
-    rows = pack(docs, text=F.col("text"), _stratum=stratum_of(docs))
-    return unpack(judge(with_features(rows), levels).where("kept and _stop >= 0"))
+    # rows are written once with their counts: cheaper than counting twice, for the levels and for the verdicts
+    rows = pack(docs, text=F.col("text"), _stratum=stratum_of(docs), _digest=digest_of(docs))
+    known = cut(with_features(rows).drop("text", "_stop"))
+    scored = known.select(F.col("row.doc_id").alias("doc_id"), F.col("_stratum").alias("stratum"), F.col("_digest").alias("digest"), strictness(F.col("_q")).alias("s"))
+    return unpack(judge(known, cut(choose_levels(scored, labels))).where("kept"))
