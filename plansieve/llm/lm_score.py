@@ -26,6 +26,7 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -62,15 +63,96 @@ def read_vocabulary(path: str) -> tuple[list[str], list[int], list[float]]:
     return pieces, bytes_, [w / total for w in raw]
 
 
+class Edges:
+    """All edges of many words' lattices: from node start to node end (both along one line of all words' characters), by a piece."""
+
+    def __init__(self, first: np.ndarray, last: np.ndarray, owner: np.ndarray, start: np.ndarray, end: np.ndarray, piece: np.ndarray, logw: np.ndarray, spelled: list[bytes]):
+        self.first, self.last, self.owner, self.start, self.end, self.piece, self.logw, self.spelled = first, last, owner, start, end, piece, logw, spelled
+
+    def sweep(self, back: bool = False) -> np.ndarray:
+        """Log of the sum over all ways from a word's first node to each node, or from each node to its last.
+
+        Nodes at equal distance from their word's border have all their edges' other ends done, so
+        they are done together.
+        """
+        into, from_ = (self.start, self.end) if back else (self.end, self.start)
+        far = (self.last[self.owner] - into) if back else (into - self.first[self.owner])
+        order = np.lexsort((into, far))
+        into, from_, w, far = into[order], from_[order], self.logw[order], far[order]
+        f = np.full(int(self.last[-1]) + 1, -np.inf)
+        f[self.last if back else self.first] = 0.0
+        steps = np.flatnonzero(np.diff(far, prepend=-1)).tolist() + [len(far)]
+        for a, b in zip(steps, steps[1:], strict=False):
+            v, at = f[from_[a:b]] + w[a:b], into[a:b]
+            runs = np.flatnonzero(np.diff(at, prepend=-1))
+            top = np.maximum.reduceat(v, runs)
+            top = np.where(np.isfinite(top), top, 0.0)  # where no way comes through
+            sizes = np.diff(runs, append=len(v))
+            with np.errstate(divide="ignore"):
+                f[at[runs]] = top + np.log(np.add.reduceat(np.exp(v - np.repeat(top, sizes)), runs))
+        return f
+
+
 class Lattice:
     def __init__(self, path: str):
         self.pieces, self.bytes, self.prior = read_vocabulary(path)
-        machine = ahocorasick.Automaton()
+        machine, packed = ahocorasick.Automaton(), ahocorasick.Automaton()
         for i, p in enumerate(self.pieces):
             if p:
                 machine.add_word(p, (len(p), i))
+                packed.add_word(p, len(p) << 32 | i)
         machine.make_automaton()
-        self.machine = machine
+        packed.make_automaton()
+        self.machine, self.packed = machine, packed
+
+    def edges_of(self, words: list[str], logw: np.ndarray) -> Edges:
+        """Edges of many words, found in one pass; a character without a piece is an edge with the id -1 - its place in `spelled`."""
+        sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
+        # words stand apart by a character that is in no piece
+        line = "\0".join([MARK + w for w in words])
+        first = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]])
+        found = np.fromiter(chain.from_iterable(self.packed.iter(line)), np.int64).reshape(-1, 2)
+        end, long, piece = found[:, 0] + 1, found[:, 1] >> 32, found[:, 1] & 0xFFFFFFFF
+        bare = np.ones(len(line), bool)
+        bare[end[long == 1] - 1] = False
+        bare[(first + sizes)[:-1]] = False  # what stands between words
+        alone = np.flatnonzero(bare)
+        spelled = [line[p].encode() for p in alone.tolist()]
+        costs = np.array([sum(logw[self.bytes[b]] for b in x) for x in spelled], float)
+        start = np.concatenate([end - long, alone])
+        end = np.concatenate([end, alone + 1])
+        owner = np.searchsorted(first, start, "right") - 1
+        return Edges(first, first + sizes, owner, start, end, np.concatenate([piece, -1 - np.arange(len(alone))]), np.concatenate([logw[piece], costs]), spelled)
+
+    def log_probs(self, words: list[str], logw: np.ndarray) -> np.ndarray:
+        """log_prob of many words."""
+        out = np.zeros(len(words))
+        for part in _parts(words):
+            if len(part) == 1:
+                out[part[0]] = self.log_prob(words[part[0]], logw)
+            else:
+                e = self.edges_of([words[i] for i in part], logw)
+                out[part] = e.sweep()[e.last]
+        return out
+
+    def expect_all(self, words: list[str], counts: list[int], logw: np.ndarray, into: np.ndarray) -> None:
+        """expect() for many words; sums by piece go to `into`."""
+        for part in _parts(words):
+            if len(part) == 1:
+                one: dict[int, float] = {}
+                self.expect(words[part[0]], counts[part[0]], logw, one)
+                for i, n in one.items():
+                    into[i] += n
+                continue
+            e = self.edges_of([words[i] for i in part], logw)
+            ahead, after = e.sweep(), e.sweep(back=True)
+            times = np.array([counts[i] for i in part], float)[e.owner]
+            share = times * np.exp(ahead[e.start] + e.logw + after[e.end] - ahead[e.last][e.owner])
+            whole = e.piece >= 0
+            into += np.bincount(e.piece[whole], share[whole], len(into))
+            for x, n in zip(e.spelled, share[~whole].tolist(), strict=True):
+                for b in x:
+                    into[self.bytes[b]] += n
 
     def edges(self, word: str, logw: list[float]) -> list[list[tuple[int, float, int]]]:
         """By end position: (start, log weight, piece); piece -1 is a character spelled in bytes."""
@@ -130,6 +212,28 @@ class Lattice:
                         into[self.bytes[byte]] = into.get(self.bytes[byte], 0.0) + share
 
 
+#: words of one sweep, and characters from which on a word is done by itself
+SWEEP_WORDS, LONG_WORD = 8000, 48
+
+
+def _parts(words: list[str]) -> list[list[int]]:
+    """Places of words that are done together: long ones alone, others by SWEEP_WORDS."""
+    short = [i for i, w in enumerate(words) if len(w) < LONG_WORD]
+    return [short[i : i + SWEEP_WORDS] for i in range(0, len(short), SWEEP_WORDS)] + [[i] for i, w in enumerate(words) if len(w) >= LONG_WORD]
+
+
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Small batches put together until they fill a sweep."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= SWEEP_WORDS:
+            yield pa.Table.from_batches(held).combine_chunks()
+            held = []
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
 @lru_cache(maxsize=2)
 def lattice(path: str) -> Lattice:
     return Lattice(path)
@@ -167,28 +271,31 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("c"))
 
 
-def fit_pieces(counts: DataFrame, ends: int, path: str, rounds: int = ROUNDS) -> tuple[list[float], float]:
+def fit_pieces(counts: DataFrame, ends: int, path: str, rounds: int = ROUNDS) -> tuple[np.ndarray, float]:
     """Log probabilities of the pieces, and of the end, from all training words and the number of training texts."""
     prior = lattice(path).prior
     least = min(p for p in prior if p)  # of the end, before any text is seen
 
-    def steps(logw: list[float]) -> DataFrame:
+    def steps(logw: np.ndarray) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            m, into = lattice(path), {}
-            for batch in batches:
-                for w, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    m.expect(w.decode(), c, logw, into)
-            yield pa.record_batch({"piece": pa.array(list(into), pa.int32()), "n": pa.array(list(into.values()), pa.float64())})
+            m = lattice(path)
+            into = np.zeros(len(prior))
+            for batch in _gathered(batches):
+                m.expect_all([w.decode() for w in batch.column(0).to_pylist()], batch.column(1).to_pylist(), logw, into)
+            at = np.flatnonzero(into)
+            yield pa.record_batch({"piece": pa.array(at, pa.int32()), "n": pa.array(into[at])})
 
         return counts.where("c > 0").select("word", "c").mapInArrow(run, "piece int, n double").groupBy("piece").agg(F.sum("n").alias("n"))
 
-    logw = [math.log(p) if p else -math.inf for p in prior]
-    for _ in range(rounds):
-        weight = [PRIOR_MASS * p for p in prior]
-        for piece, n in steps(logw).collect():  # one row for each piece of the vocabulary at most
-            weight[piece] += n
-        total = sum(weight) + ends + PRIOR_MASS * least
-        logw = [math.log(w / total) if w else -math.inf for w in weight]
+    guess = np.array(prior)
+    with np.errstate(divide="ignore"):
+        logw = np.log(guess)
+        for _ in range(rounds):
+            weight = PRIOR_MASS * guess
+            for piece, n in steps(logw).collect():  # one row for each piece of the vocabulary at most
+                weight[piece] += n
+            total = float(weight.sum()) + ends + PRIOR_MASS * least
+            logw = np.log(weight / total)
     return logw, math.log((ends + PRIOR_MASS * least) / total)
 
 
@@ -229,15 +336,12 @@ def score(docs: DataFrame, path: str | None = None) -> DataFrame:
     def lattice_scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """lp: log10 of the lattice's probability of a word; wp: that of the word score."""
         m = lattice(path)
-        for batch in batches:
-            lp, wp = [], []
-            for w, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ln = m.log_prob(w.decode(), logw)
-                x = math.log(k) + ln
-                lp.append(ln / ten)
-                # where exp(x) vanishes, the sum is the count
-                wp.append((math.log(c + math.exp(x)) if c else x) / ten - math.log10(n + k))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lp, pa.float64()), pa.array(wp, pa.float64())], names=["word", "c", "lp", "wp"])
+        for batch in _gathered(batches):
+            ln, c = m.log_probs([w.decode() for w in batch.column(0).to_pylist()], logw), batch.column(1).to_numpy()
+            x = math.log(k) + ln
+            # where exp(x) vanishes, the sum is the count
+            wp = np.where(c > 0, np.log(np.maximum(c, 1) + np.exp(x)), x) / ten - math.log10(n + k)
+            yield from pa.table([*batch.columns, pa.array(ln / ten), pa.array(wp)], names=["word", "c", "lp", "wp"]).to_batches()
 
     known = cut(counts.select("word", "c").mapInArrow(lattice_scores, "word binary, c long, lp double, wp double"))
     common = known.where(F.col("c") >= common_from(known)).toArrow()  # COMMON rows at most

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import os
 import random
 import re
 import struct
@@ -13,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plansieve.llm import bpe, decontam, jaccard_join, lm_score, pii, quality_classifier, quality_rules, sharding, token_count, url_filter
-from plansieve.llm.common import binom_cdf
+from plansieve.llm.common import beta_cdf, binom_cdf
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -73,9 +74,21 @@ def test_bad_hosts_are_blocked_and_small_ones_shrunk(spark):
     df = spark.createDataFrame(rows, "page_id long, url string, bad int")
     got = {r["host"]: r for r in url_filter.filter_urls(df.drop("bad"), df.select("page_id", "bad")).collect()}
     assert got["x.spam.net"]["verdict"] == "block" and got["s1.good.net"]["verdict"] == "allow" and got["tiny.good.net"]["verdict"] == "allow"
-    suffixes = spark.createDataFrame([("a.b.co.uk",), ("b.co.uk",), ("co.uk",), ("x",), ("a.b.com:8",), ("",)], "h string")
+    suffixes = spark.createDataFrame([("a.b.co.uk",), ("b.co.uk",), ("co.uk",), ("x",), ("a.b.com:8",), ("",), ("a.b.com.mx",), ("me.github.io",), ("co",)], "h string")
     s = url_filter.suffix_of(F.col("h"))
-    assert [tuple(r) for r in suffixes.select(s, url_filter.domain_of(F.col("h"), s)).collect()] == [("co.uk", "b.co.uk"), ("co.uk", "b.co.uk"), ("co.uk", "co.uk"), ("x", "x"), ("com", "b.com"), ("", "")]
+    assert [tuple(r) for r in suffixes.select(s, url_filter.domain_of(F.col("h"), s)).collect()] == [("co.uk", "b.co.uk"), ("co.uk", "b.co.uk"), ("co.uk", "co.uk"), ("x", "x"), ("com", "b.com"), ("", ""), ("com.mx", "b.com.mx"), ("github.io", "me.github.io"), ("co", "co")]
+
+
+def test_beta_tail_of_large_parameters(spark):
+    """Beside the median, and on both sides of where the way of computing changes."""
+    rows = [(2e7, 8e7, 0.2, 0.5), (3e6, 3e6, 0.5, 0.5), (2999.0, 12000.0, 0.2, None), (3001.0, 12004.0, 0.2, None), (4000.0, 16000.0, 0.21, None), (4000.0, 16000.0, 0.195, None), (5e8, 5e8, 0.1, 0.0), (5e8, 5e8, 0.9, 1.0)]
+    for r in spark.createDataFrame(rows, "a double, b double, x double, want double").withColumn("got", beta_cdf(F.col("x"), F.col("a"), F.col("b"))).collect():
+        if r.want is not None:
+            assert r.got == pytest.approx(r.want, abs=2e-5)
+            continue
+        t = np.linspace(max(0, r.x - 0.06), r.x, 400_001)
+        y = np.exp((r.a - 1) * np.log(t) + (r.b - 1) * np.log1p(-t) + math.lgamma(r.a + r.b) - math.lgamma(r.a) - math.lgamma(r.b))
+        assert r.got == pytest.approx(float(((y[1:] + y[:-1]) / 2).sum() * (t[1] - t[0])), abs=1e-7)
 
 
 def test_binomial_tail(spark):
@@ -122,6 +135,10 @@ def test_pii_evidence_and_masks(spark, odd):
     df = docs_of(spark, ["IBAN DE89370400440532013000 and GB82 WEST 1234 5698 7654 32, not DE88370400440532013000", "ssn 123-45-6789", "number 123-45-6789", "call 555-123-4567 now a@b.co 4111111111111111 +4111111111111111", None])
     got = [r["spans"] for r in pii.report(df).orderBy("doc_id").collect()]
     assert got[0] == "iban:5:27,iban:32:59" and got[1] == "ssn:4:15" and got[2] == "" and got[4] == ""
+    more = ["ES91 2100 0418 4502 0005 1332 BANK", "ES91 2100 0418 4502 0005 1332 I paid", "ES9121000418450200051332", "ES91210004184502000513321", "XES9121000418450200051332", "NO93 8601 1117 947."]
+    more += ['token = "9742a250774262d69ad6a86100194ed53da5a0ef"', "9742a250774262d69ad6a86100194ed53da5a0ef", "token " + "a" * 40, "api_key: AbC-1234567890123456789012", "z" * 20000 + " token"]
+    got = [r["spans"] for r in pii.report(docs_of(spark, more)).orderBy("doc_id").collect()]
+    assert got == ["iban:0:29", "iban:0:29", "iban:0:24", "", "", "iban:0:18", "secret:9:49", "", "", "secret:9:35", ""]
     texts = [r["text"] for r in pii.redact(df).orderBy("doc_id").collect()]
     assert texts[1] == "ssn [SSN]" and texts[4] is None and texts[3] == "call [LOCAL_PHONE] now [EMAIL] [CARD] +[CARD]"  # 16 digits are no phone
     assert pii.redact(odd).columns == odd.columns and pii.redact(odd).exceptAll(odd).isEmpty()
@@ -238,6 +255,20 @@ def test_lattice_sums_all_segmentations():
     assert math.isfinite(m.log_prob("x" * 3000, logw))
 
 
+def test_many_words_at_once_equal_one_by_one():
+    m = lm_score.lattice(token_count.default_path())
+    rng = random.Random(3)
+    words = ["".join(rng.choice("aeinrst\0🙂éż▁1x") for _ in range(rng.randint(1, 30))) for _ in range(500)] + ["x" * 300, "the" * 40, "a"]
+    logw = np.array([math.log(p) if p else -math.inf for p in m.prior])
+    assert m.log_probs(words, logw) == pytest.approx([m.log_prob(w, logw) for w in words])
+    one: dict = {}
+    for i, w in enumerate(words):
+        m.expect(w, i % 7, logw, one)
+    many = np.zeros(len(m.prior))
+    m.expect_all(words, [i % 7 for i in range(len(words))], logw, many)
+    assert many == pytest.approx(np.array([one.get(i, 0.0) for i in range(len(many))]), abs=1e-9)
+
+
 # --- 4 -------------------------------------------------------------------------------------
 
 
@@ -485,6 +516,14 @@ def test_levels_carry_the_guarantee(spark):
     assert quality_rules.levels_for(df, mixed).count() == 1
 
 
+def test_copies_are_one_trial(spark):
+    """Repeating rows certifies nothing that the different texts don't."""
+    good = prose(random.Random(4), 60)
+    df = docs_of(spark, good * 20)
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(60 * 20)], "doc_id long, quality int, toxic int")
+    assert quality_rules.levels_for(df, labels).isEmpty() and quality_rules.levels_for(df, labels, alpha=0.1).count() == 1
+
+
 # --- 9 -------------------------------------------------------------------------------------
 
 
@@ -504,6 +543,62 @@ def test_classifier_learns(spark, odd, none):
     assert quality_classifier.report(odd, labels.limit(0)).agg(F.max("score")).first()[0] == pytest.approx(0.5)
 
 
+def test_classifier_equals_brute_force(spark):
+    """The whole query again by counting in plain Python; descent and curve are tested by themselves."""
+    rng = random.Random(11)
+    texts = [t if rng.random() < 0.7 else t.replace(" ", "*** ") for t in prose(rng, 120)]
+    marks = {i: int("***" not in texts[i]) if rng.random() < 0.9 else rng.randint(0, 1) for i in range(0, 120, 1) if i % 3}
+    df = docs_of(spark, texts)
+    labels = spark.createDataFrame([(i, q, 0) for i, q in marks.items()], "doc_id long, quality int, toxic int")
+    fold = {i: zlib.crc32(str(i).encode()) % 4 for i in range(120)}
+    place = {r["doc_id"]: r["h"] for r in df.select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)).alias("h")).collect()}
+    rows = sorted((i for i in marks if fold[i] != 2), key=lambda i: (place[i], i))
+    grams = [set(quality_classifier.features(t.encode()).tolist()) for t in texts]
+    held = {1: Counter(g for i in rows if marks[i] for g in grams[i]), 0: Counter(g for i in rows if not marks[i] for g in grams[i])}
+    size, smooth = 1 << quality_classifier.BITS, quality_classifier.SMOOTH
+
+    def ratio(g, out=None):
+        """Log-count ratio of an n-gram, as if the row `out` were not labelled."""
+        n = {y: held[y][g] - (out is not None and marks[out] == y and g in grams[out]) for y in (0, 1)}
+        if not n[0] + n[1]:
+            return 0.0
+        all_ = {y: sum(held[y].values()) + size * smooth - (len(grams[out]) if out is not None and marks[out] == y else 0) for y in (0, 1)}
+        return math.log((n[1] + smooth) / all_[1]) - math.log((n[0] + smooth) / all_[0])
+
+    def vector(i, out=None):
+        at = sorted(grams[i])
+        r = np.array([ratio(g, out) for g in at])
+        return np.array(at), r / (math.sqrt(float(r @ r)) or 1.0)
+
+    ys = [1 if marks[i] else -1 for i in rows]
+    seen, other = [k for k in range(len(rows)) if k % 5], [k for k in range(len(rows)) if k % 5 == 0]
+    w = quality_classifier.dual_descent([vector(rows[k]) for k in seen], [ys[k] for k in seen], size)
+    margin = lambda at, v: float(w[at] @ v) + w[-1]
+    a, b = quality_classifier.logistic(np.array([margin(*vector(rows[k], rows[k])) for k in other]), np.array([ys[k] for k in other]))
+    for r in quality_classifier.report(df, labels).collect():
+        want = 1 / (1 + math.exp(-(a * margin(*vector(r["doc_id"])) + b)))
+        assert r["score"] == pytest.approx(want, abs=1e-5) and r["held_out"] == (fold[r["doc_id"]] == 2)
+        assert r["predicted"] == int(want >= 0.7) or abs(want - 0.7) < 1e-5
+
+
+def test_the_fit_does_not_depend_on_partitions(spark):
+    rng = random.Random(12)
+    texts = [t if rng.random() < 0.7 else t.replace(" ", "!! ") for t in prose(rng, 200)]
+    labels = spark.createDataFrame([(i % 190, int("!!" not in t), 0) for i, t in enumerate(texts)], "doc_id long, quality int, toxic int")
+    df = docs_of(spark, texts).withColumn("doc_id", F.col("doc_id") % 190)  # some ids are shared
+    one, two = (quality_classifier.fit(x, labels, 60) for x in (df.repartition(7), df.coalesce(1)))
+    assert (one.weights == two.weights).all() and (one.a, one.b, one.bias) == (two.a, two.b, two.bias)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="the driver's tables are absent")
+def test_held_out_quality(spark):
+    """Area under the curve over labelled rows that were not learned from."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    rows = quality_classifier.report(docs, labels).where("held_out").join(labels, "doc_id").select("score", "quality").collect()
+    good, bad = ([r["score"] for r in rows if r["quality"] == q] for q in (1, 0))
+    assert len(good) > 50 and np.mean([(g > x) + 0.5 * (g == x) for g in good for x in bad]) > 0.95
+
+
 def test_dual_descent_reaches_the_primal():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(80, 5))
@@ -573,6 +668,41 @@ def test_shards(spark, odd, none):
     assert sharding.report(odd).count() == odd.count() and sharding.report(none).isEmpty()
 
 
+def brute_bytes(sizes, shards=16):
+    """Largest shard among giants and the best contiguous partition of the rest."""
+    rest, top = list(sizes), 0
+    while shards > 1 and rest and max(rest) * shards >= sum(rest):
+        top = max(top, max(rest))
+        rest.remove(max(rest))
+        shards -= 1
+    return max(top, brute_capacity(rest, shards)) if rest else top
+
+
+def test_a_giant_group_leaves_other_shards_even(spark):
+    rng = random.Random(6)
+    texts = prose(rng, 150)
+    texts += ["giant " * 40] * 150
+    by = Counter()
+    for r in sharding.report(docs_of(spark, texts)).collect():
+        by[r["shard"]] += r["size"]
+    giant = 150 * 241
+    others = sorted(v for v in by.values() if v != giant)
+    assert giant in by.values() and len(by) == 16 and others[0] > 0.5 * others[-1]
+    groups = [len(t) + 1 for t in texts[:150]] + [giant]
+    assert max(others) == brute_bytes(groups[:-1], 15)
+
+
+@pytest.mark.parametrize("same", [None, 7])
+def test_groups_without_ids_of_their_own(spark, same):
+    """Null or shared ids don't glue texts together."""
+    texts = prose(random.Random(7), 200)
+    rows = [(same, t, "en", "s", 1) for t in texts] + [(i, t + " x", "en", "s", 1) for i, t in enumerate(texts)]
+    by = Counter()
+    for r in sharding.report(spark.createDataFrame(rows, SCHEMA)).collect():
+        by[r["shard"]] += r["size"]
+    assert len(by) == 16 and min(by.values()) > 0.6 * max(by.values())
+
+
 # --- pipeline ------------------------------------------------------------------------------
 
 
