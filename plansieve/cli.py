@@ -33,6 +33,7 @@ def main(argv: list[str] | None = None) -> None:
     a.add_argument("folder")
     r = sub.add_parser("all")
     r.add_argument("out")
+    r.add_argument("--real", nargs="*", metavar="STATE=FOLDER", help="states read from folders of public files instead of generated ones")
     args = p.parse_args(argv)
     spark = SparkSession.builder.getOrCreate()
     if args.stage == "build":
@@ -57,6 +58,8 @@ def main(argv: list[str] | None = None) -> None:
         mine = spark.createDataFrame(list(sinks.baseline_metrics(spark, f"{args.folder}/baselines").items()), "metric string, value double")
         out = ensemble.outlier_analysis(sampled, mine)
         sinks.write_csv(ensemble.with_severity_row(ensemble.summary_table(out, args.state), out, args.state), f"{args.folder}/{args.state}_summary")
+    elif args.real:
+        pipeline.run_all_real(spark, args.out, dict(x.split("=", 1) for x in args.real))
     else:
         pipeline.run_all(spark, args.out)
 

@@ -17,6 +17,7 @@ from plansieve.functions.geometry import area, perimeter
 from plansieve.operators.graph import shared_boundary
 from plansieve.operators.partition import district_totals, edge_districts
 from plansieve.plans.kernels import diameters, enclosing_areas, tree_diameters
+from plansieve.storage import cut
 
 MetricFn = Callable[[DataFrame, DataFrame, DataFrame], DataFrame]
 _registered: dict[str, MetricFn] = {}
@@ -46,21 +47,21 @@ def _all_plans(assignment: DataFrame, part: DataFrame, name: str) -> DataFrame:
     return assignment.select("plan_id").distinct().join(part, "plan_id", "left").select("plan_id", F.coalesce(name, F.lit(0.0)).alias(name))
 
 
-def cut_edge_ratio(edges: DataFrame, assignment: DataFrame) -> DataFrame:
-    cut = edge_districts(edges, assignment).groupBy("plan_id").agg(F.avg((F.col("du") != F.col("dv")).cast("int")).alias("cut_edge_ratio"))
-    return _all_plans(assignment, cut, "cut_edge_ratio")
+def cut_edge_ratio(edges: DataFrame, assignment: DataFrame, ends: DataFrame | None = None) -> DataFrame:
+    """ends: edge_districts of both, if it is at hand."""
+    ed = edge_districts(edges, assignment) if ends is None else ends
+    got = ed.groupBy("plan_id").agg(F.avg((F.col("du") != F.col("dv")).cast("int")).alias("cut_edge_ratio"))
+    return _all_plans(assignment, got, "cut_edge_ratio")
 
 
-def modularity(edges: DataFrame, assignment: DataFrame) -> DataFrame:
-    """Unweighted; a district without inner edges still pays its degree term."""
-    ed = edge_districts(edges, assignment)
-    inner = ed.where("du = dv").groupBy("plan_id", F.col("du").alias("district")).agg(F.count("*").alias("inside"))
-    ends = ed.select("plan_id", F.explode(F.array("du", "dv")).alias("district")).groupBy("plan_id", "district").agg(F.count("*").alias("deg"))
-    total = ends.groupBy("plan_id").agg((F.sum("deg") / 2).alias("m"))
-    q = (
-        ends.join(inner, ["plan_id", "district"], "left").join(total, "plan_id")
-        .groupBy("plan_id").agg(F.sum(F.coalesce("inside", F.lit(0)) / F.col("m") - F.pow(F.col("deg") / (2 * F.col("m")), 2)).alias("modularity"))
-    )
+def modularity(edges: DataFrame, assignment: DataFrame, ends: DataFrame | None = None) -> DataFrame:
+    """Unweighted; a district without inner edges still pays its degree term. One pass over the edges: each adds both its ends."""
+    ed = edge_districts(edges, assignment) if ends is None else ends
+    both = F.explode(F.array(F.struct(F.col("du").alias("d"), (F.col("du") == F.col("dv")).cast("int").alias("same")), F.struct(F.col("dv").alias("d"), F.lit(0).alias("same"))))
+    at = ed.select("plan_id", both.alias("e")).groupBy("plan_id", F.col("e.d").alias("district")).agg(F.count("*").alias("deg"), F.sum("e.same").alias("inside"))
+    # sum over districts of inside / m - (deg / 2m)^2, with 2m the sum of degrees
+    m = F.sum("deg") / 2
+    q = at.groupBy("plan_id").agg((F.sum("inside") / m - F.sum(F.col("deg").cast("double") * F.col("deg")) / (4 * m * m)).alias("modularity"))
     return _all_plans(assignment, q, "modularity")
 
 
@@ -157,11 +158,12 @@ def reock(polygons: DataFrame, assignment: DataFrame) -> DataFrame:
 
 def all_metrics(nodes: DataFrame, edges: DataFrame, assignment: DataFrame, polygons: DataFrame | None = None, diameter: bool = True) -> DataFrame:
     """One row a plan, a column a metric, in the bundle's order."""
-    totals = district_totals(nodes, assignment)
-    parts = [cut_edge_ratio(edges, assignment)]
+    # each is read by several metrics
+    totals, ends = cut(district_totals(nodes, assignment)), cut(edge_districts(edges, assignment).select("plan_id", "du", "dv"))
+    parts = [cut_edge_ratio(edges, assignment, ends)]
     if diameter:
         parts.append(mst_diameter(edges, assignment))
-    parts += [modularity(edges, assignment), efficiency_gap(totals), mean_median(totals)]
+    parts += [modularity(edges, assignment, ends), efficiency_gap(totals), mean_median(totals)]
     if polygons is not None:
         parts += [polsby_popper(polygons, None, assignment), reock(polygons, assignment)]
     out = parts[0]

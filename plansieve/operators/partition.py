@@ -32,7 +32,8 @@ def num_districts(assignment: DataFrame) -> DataFrame:
 
 def district_totals(nodes: DataFrame, assignment: DataFrame) -> DataFrame:
     """plan_id, district, n_nodes, pop, votes_d, votes_r."""
-    return assignment.join(nodes, "node_id").groupBy("plan_id", "district").agg(
+    sums = nodes.select("node_id", "pop", "votes_d", "votes_r")  # nodes may carry a district of their own
+    return assignment.join(sums, "node_id").groupBy("plan_id", "district").agg(
         F.count("*").alias("n_nodes"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("pop", "votes_d", "votes_r")]
     )
 

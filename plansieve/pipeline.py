@@ -5,13 +5,13 @@ from __future__ import annotations
 import logging
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from plansieve.operators import diagnostics, ensemble, metrics, partition
+from plansieve.operators import diagnostics, ensemble, graph, metrics, partition
 from plansieve.plans import chain, spectral
-from plansieve.sources import sinks, synthetic
-from plansieve.storage import cut
+from plansieve.sources import loaders, sinks, synthetic
+from plansieve.storage import cut, scratch
 
 log = logging.getLogger(__name__)
 
@@ -91,26 +91,59 @@ def cross_state(tables: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame]:
 
 def run_all(spark: SparkSession, out: str, states: dict[str, tuple[int, int, str, int]] | None = None, cfg: RunConfig = RunConfig(lag=40, burn_in=4000, pop_tol=0.06)) -> None:
     """Every state's table as CSV, the cross-state tables, and the settings; a state that fails is logged and left out."""
-    tables = {}
-    for state, size in (states or STATES).items():
-        try:
-            tables[state] = cut(synthetic_state(spark, state, cfg, size))
-            sinks.write_csv(tables[state], f"{out}/{state}_summary")
-        except Exception:
-            log.exception("%s failed", state)
-    if tables:
-        rows, heads = cross_state(tables)
-        sinks.write_csv(rows, f"{out}/all_metrics")
-        sinks.write_csv(heads, f"{out}/cross_state")
-    sinks.write_run_config(f"{out}/run_config.json", states={s: list(v) for s, v in (states or STATES).items()}, **cfg.__dict__ | {"diagnosed": list(cfg.diagnosed)})
-
-
-def figure_data(nodes: DataFrame, edges: DataFrame, assignment: DataFrame, sampled: DataFrame, bins: int = 30) -> dict[str, DataFrame]:
-    """What the figures are drawn from: histogram bins, district map points, seats-votes curves with their ideal line."""
+    states = states or STATES
+    _run_states(spark, out, {s: lambda s=s, v=v: synthetic_state(spark, s, cfg, v) for s, v in states.items()}, cfg, {s: list(v) for s, v in states.items()})
+
+
+def real_state(spark: SparkSession, state: str, folder: str, cfg: RunConfig = RunConfig()) -> DataFrame:
+    """A state whose precincts and enacted plan are read from its folder of public files; polygons join the bundle."""
+    load = loaders.MGGG_LOADERS.get(state.lower()) or loaders.STATE_LOADERS.get(state.lower())
+    if load is None:
+        raise ValueError(f"no loader for {state}")
+    precincts = cut(load(spark, folder))
+    nodes, edges = graph.build_graph(precincts, district="district")
+    nodes, edges = cut(nodes), cut(edges)
+    enacted = nodes.select(F.lit(0).cast("long").alias("plan_id"), "node_id", "district")
+    return analyze_state(state, nodes, edges, enacted, cfg, precincts.select("node_id", "rings"))
+
+
+def run_all_real(spark: SparkSession, out: str, folders: dict[str, str], cfg: RunConfig = RunConfig()) -> None:
+    """As run_all, over states read from folders."""
+    _run_states(spark, out, {s: lambda s=s, f=f: real_state(spark, s, f, cfg) for s, f in folders.items()}, cfg, folders)
+
+
+def _run_states(spark: SparkSession, out: str, analyses: dict, cfg: RunConfig, states: dict) -> None:
+    with scratch(spark):
+        tables = {}
+        for state, analyse in analyses.items():
+            try:
+                tables[state] = cut(analyse())
+                sinks.write_csv(tables[state], f"{out}/{state}_summary")
+            except Exception:
+                log.exception("%s failed", state)
+        if tables:
+            rows, heads = cross_state(tables)
+            sinks.write_csv(rows, f"{out}/all_metrics")
+            sinks.write_csv(heads, f"{out}/cross_state")
+    sinks.write_run_config(f"{out}/run_config.json", states=states, **cfg.__dict__ | {"diagnosed": list(cfg.diagnosed)})
+
+
+def figure_data(
+    nodes: DataFrame, edges: DataFrame, assignment: DataFrame, sampled: DataFrame, bins: int = 30, trajectory: DataFrame | None = None, max_lag: int = 30
+) -> dict[str, DataFrame]:
+    """What a state's figures are drawn from: histogram bins with the plan's own value, district map points and borders,
+    seats-votes curves with their ideal line, vote shares by rank, and, of a trajectory, its trace and autocorrelation."""
     totals = partition.district_totals(nodes, assignment)
     curve = metrics.seats_votes_curve(totals)
-    return {
-        "histogram": ensemble.histogram(sampled, bins),
+    mine = metrics.long_metrics(metrics.all_metrics(nodes, edges, assignment)).select("metric", F.col("value").alias("enacted"))
+    shares = metrics.d_share(totals)
+    out = {
+        "histogram": ensemble.histogram(sampled, bins).join(mine, "metric", "left"),
         "map": nodes.select("node_id", "x", "y").join(assignment, "node_id"),
+        "borders": partition.boundary_edges(edges, assignment),
         "seats_votes": metrics.symmetric_ideal(curve, partition.num_districts(assignment)),
+        "shares": shares.withColumn("rank", F.row_number().over(Window.partitionBy("plan_id").orderBy("share", "district"))),
     }
+    if trajectory is not None:
+        out |= {"trace": trajectory, "autocorrelation": diagnostics.autocorrelation(trajectory, max_lag)}
+    return out

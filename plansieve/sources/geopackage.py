@@ -78,6 +78,19 @@ def layer(path: str, name: str | None) -> tuple[str, str, list[str]]:
     return table, geometry, [n for n in names if n != geometry]
 
 
+def layer_crs(path: str, name: str | None = None) -> str | None:
+    """Well-known text of a layer's reference system; None where the file names none."""
+    table = layer(path, name)[0]
+    with sqlite3.connect(f"file:{path}?mode=ro", uri=True) as db:
+        try:
+            row = db.execute(
+                "SELECT s.definition FROM gpkg_geometry_columns g JOIN gpkg_spatial_ref_sys s ON s.srs_id = g.srs_id WHERE g.table_name = ?", (table,)
+            ).fetchone()
+        except sqlite3.OperationalError:  # files without these tables or columns
+            return None
+    return row[0] if row and row[0] and row[0].lower() != "undefined" else None
+
+
 class GeoPackageReader(DataSourceReader):
     def __init__(self, path: str, name: str | None):
         self.path, self.layer = path, layer(path, name)

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import logging
 import os
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plansieve.functions.geometry import project
+from plansieve.functions.projections import parse, to_degrees
 from plansieve.operators.graph import districts_by_centroid
+from plansieve.sources.geopackage import layer_crs
 from plansieve.storage import row_numbers
 
 log = logging.getLogger(__name__)
@@ -30,6 +33,10 @@ MGGG = {
     "wi": {"pop": ["TOTPOP", "PERSONS"], "votes_d": ["PREDEM16"], "votes_r": ["PREREP16"], "district": ["CON"]},
 }
 
+# fixed values: file names that are looked for, the first that exists counts
+PA_PRECINCTS = ["pa_vest_2020.gpkg", "pa_vest_2020.shp", "pa_vest20.shp"]
+PA_DISTRICTS = ["pa_cd_2022.gpkg", "pa_cd_2022.shp", "pa_cong.shp"]
+
 
 def first_existing(paths: list[str]) -> str | None:
     return next((p for p in paths if os.path.exists(p)), None)
@@ -66,10 +73,37 @@ def coerce_numeric(df: DataFrame, columns=CANONICAL) -> DataFrame:
 
 
 def to_albers(df: DataFrame, crs: str | None) -> DataFrame:
-    """Rings in EPSG:5070; a missing CRS is taken for degrees."""
-    if "rings" not in df.columns or crs == "EPSG:5070":
+    """Rings in EPSG:5070 metres, from a CRS given as EPSG code or well-known text; a missing one is taken for degrees, an unknown one raises."""
+    if "rings" not in df.columns:
+        return df
+    if not crs:
+        log.warning("no CRS: taken for degrees")
+    known = parse(crs)
+    if known.is_target():
         return df
-    return df.withColumn("rings", project(F.col("rings")))
+
+    def degrees(p: Column) -> Column:
+        lon, lat = to_degrees(known, p["x"], p["y"])
+        return F.struct(lon.alias("x"), lat.alias("y"))
+
+    rings = F.col("rings") if known.kind == "degrees" else F.transform("rings", lambda r: F.transform(r, degrees))
+    return df.withColumn("rings", project(rings))
+
+
+def crs_of(path: str) -> str | None:
+    """Well-known text of a shapefile's .prj or of a GeoPackage's first layer, if there is any."""
+    if path.lower().endswith(".gpkg"):
+        return layer_crs(path)
+    prj = first_existing([path[:-4] + ".prj", path[:-4] + ".PRJ"])
+    if prj is None:
+        return None
+    with open(prj, encoding="utf-8", errors="replace") as f:
+        return f.read().strip() or None
+
+
+def read_any(spark: SparkSession, path: str) -> DataFrame:
+    """Rows of a shapefile or of a GeoPackage's first layer."""
+    return read_geopackage(spark, path) if path.lower().endswith(".gpkg") else read_shapefile(spark, path)
 
 
 def numbered(df: DataFrame, order: str = "src_row") -> DataFrame:
@@ -89,12 +123,15 @@ def load_mggg(raw: DataFrame, columns: dict[str, list[str]], crs: str | None = N
     return numbered(df)
 
 
-def load_vest(raw: DataFrame, columns: dict[str, list[str]] = VEST_PA, overlay: DataFrame | None = None, crs: str | None = None) -> DataFrame:
-    """As load_mggg, but keeps unpopulated precincts, and takes districts from an overlay of polygons
-    where the source has none (or only zeros); precincts in no polygon are dropped then."""
+def load_vest(raw: DataFrame, columns: dict[str, list[str]] = VEST_PA, overlay: DataFrame | Callable[[], DataFrame] | None = None, crs: str | None = None) -> DataFrame:
+    """As load_mggg, but keeps unpopulated precincts, and takes districts from an overlay of polygons (or what
+    makes one when it is needed) where the source has none, or only zeros; precincts in no polygon are dropped then."""
     df = to_albers(coerce_numeric(rename_first_hit(raw, columns)), crs)
     empty = "district" not in df.columns or not (df.agg(F.sum("district")).first()[0] or 0)
-    if empty and overlay is not None:
+    if empty and overlay is None:
+        raise ValueError("the source has no districts and no overlay is given")
+    if empty:
+        overlay = overlay() if callable(overlay) else overlay
         own = df.drop("district").withColumnRenamed("src_row", "node_id")
         got = districts_by_centroid(own.select("node_id", "rings"), overlay)
         df = own.join(got, "node_id").withColumnRenamed("node_id", "src_row")
@@ -106,7 +143,8 @@ def load_mggg_pa(spark: SparkSession, folder: str, election: str = "2016") -> Da
 
 
 def _mggg(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return load_mggg(read_shapefile(spark, find_shapefile(folder)), MGGG[name])
+    path = find_shapefile(folder)
+    return load_mggg(read_shapefile(spark, path), MGGG[name], crs_of(path))
 
 
 def read_shapefile(spark: SparkSession, path: str) -> DataFrame:
@@ -116,8 +154,32 @@ def read_shapefile(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("shapefile").load(path)
 
 
+def read_geopackage(spark: SparkSession, path: str) -> DataFrame:
+    from plansieve.sources.geopackage import GeoPackageSource
+
+    spark.dataSource.register(GeoPackageSource)
+    return spark.read.format("geopackage").load(path)
+
+
+def district_overlay(spark: SparkSession, path: str, columns: dict[str, list[str]] = VEST_PA) -> DataFrame:
+    """district_row, district, rings (EPSG:5070) of a file of district polygons."""
+    df = to_albers(coerce_numeric(rename_first_hit(read_any(spark, path), columns)), crs_of(path))
+    if "district" not in df.columns:
+        raise ValueError(f"no district column in {path}")
+    return df.select(F.col("src_row").alias("district_row"), F.col("district").cast("int").alias("district"), "rings")
+
+
 def load_vest_pa(spark: SparkSession, folder: str) -> DataFrame:
-    return load_vest(read_shapefile(spark, find_shapefile(folder)))
+    """Precincts and, where they have no district, the enacted districts' file of the same folder."""
+    path = first_existing([os.path.join(folder, n) for n in PA_PRECINCTS]) or find_shapefile(folder)
+
+    def overlay() -> DataFrame:
+        at = first_existing([os.path.join(folder, n) for n in PA_DISTRICTS])
+        if at is None:
+            raise FileNotFoundError(f"no districts in {path}, and none of {', '.join(PA_DISTRICTS)} in {folder}")
+        return district_overlay(spark, at)
+
+    return load_vest(read_any(spark, path), overlay=overlay, crs=crs_of(path))
 
 
 STATE_LOADERS = {"pa": load_vest_pa}

@@ -45,12 +45,12 @@ def rows(spark, name):
 
 
 def test_connected(spark, parts):
-    got = {(r["plan_id"], r["district"]): r["connected"] for r in rows(spark, "district_connected_all_plans")}
+    got = {(r["plan_id"], r["district"]): r["connected"] for r in rows(spark, "district_connected")}
     assert got == {k: len(v) == 1 for k, v in parts[0].items()} and not all(got.values())
 
 
 def test_components(spark, parts):
-    got = sorted(tuple(r) for r in rows(spark, "components_all_plans"))
+    got = sorted(tuple(r) for r in rows(spark, "components"))
     assert got == sorted((p, i, min(c)) for (p, _), v in parts[0].items() for c in v for i in c)
 
 
@@ -59,11 +59,11 @@ def test_diameters(spark, parts):
     for (p, d), v in parts[0].items():
         near = hops(parts[1], p, min(map(min, v)))
         want[p, d] = max(hops(parts[1], p, min(near, key=lambda i: (-near[i], i))).values())
-    assert {(r["plan_id"], r["district"]): r["diameter"] for r in rows(spark, "diameter_two_bfs_all_plans")} == want
+    assert {(r["plan_id"], r["district"]): r["diameter"] for r in rows(spark, "diameter_two_bfs")} == want
 
 
 @pytest.mark.parametrize("name", ["shared_boundary", "dense_relabel", "plan_validate_anti", "flip_plan", "plan_from_array", "flip_log_totals"])
 def test_every_plan_has_rows(spark, name):
     """Values are compared with SQL in test_queries_sql.py."""
     incomplete = {0} if name == "plan_validate_anti" else set()
-    assert {r["plan_id"] for r in rows(spark, f"{name}_all_plans")} == set(range(PLANS)) - incomplete
+    assert {r["plan_id"] for r in rows(spark, f"{name}")} == set(range(PLANS)) - incomplete

@@ -1,5 +1,6 @@
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -177,3 +178,25 @@ def test_point_in_district(spark):
     p = precincts(spark, box(0, 0, 1, 1), box(1, 0, 2, 1), box(5, 5, 6, 6))
     d = spark.createDataFrame([(0, 7, box(0, 0, 1.6, 2)), (1, 8, box(0, 0, 3, 3))], "district_row int, district int, rings array<array<struct<x:double,y:double>>>")
     assert {r["node_id"]: r["district"] for r in graph.districts_by_centroid(p, d).collect()} == {0: 7, 1: 7, 2: None}
+
+
+def test_nearest_nodes_equal_brute_force(spark):
+    """Islands of several ranks, near and far, of every node and of the smallest only."""
+    rng = np.random.default_rng(5)
+    groups = [(60, (0.0, 0.0), 1.0), (12, (3.0, 0.5), 0.4), (5, (90.0, -40.0), 0.2), (5, (91.0, -40.0), 0.2), (1, (0.1, 50.0), 0.0)]
+    pts, edges, at = [], [], 0
+    for n, (x, y), spread in groups:
+        pts += [(x + spread * a, y + spread * b) for a, b in rng.uniform(-1, 1, size=(n, 2))]
+        edges += [(at + i, at + i + 1, 1.0, False) for i in range(n - 1)]
+        at += n
+    nodes = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(pts)], "node_id long, x double, y double")
+    links = spark.createDataFrame(edges, "u long, v long, weight double, synthetic boolean")
+    first = np.cumsum([0] + [g[0] for g in groups])
+    for per_node in (True, False):
+        want = set()
+        for r in range(1, len(groups)):
+            for i in range(first[r], first[r + 1] if per_node else first[r] + 1):
+                d = [np.hypot(pts[i][0] - pts[j][0], pts[i][1] - pts[j][1]) for j in range(first[r])]
+                want.add((int(np.argmin(d)), i, round(float(min(d)), 9)))
+        got = graph.stitched(nodes, links, per_node).where("synthetic").collect()
+        assert {(e["u"], e["v"], round(e["weight"], 9)) for e in got} == want

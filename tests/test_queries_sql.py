@@ -21,4 +21,4 @@ def test_query_equals_sql(spark, con, name):
 def test_entry(spark):
     import __spark_entry__ as e
 
-    assert e.entry(spark).count() == 3
+    assert e.entry(spark).count() == 7

@@ -44,6 +44,73 @@ def test_shapefile_loader(spark, tmp_path):
         loaders.load_state(spark, "zz", str(tmp_path))
 
 
+CLARKE = 'GEOGCS["x",DATUM["D",SPHEROID["Clarke_1866",6378206.4,294.978698213898]],PRIMEM["Greenwich",0.0],UNIT["Degree",0.0174532925199433]]'
+PLACES = [
+    # published worked examples: a plane point and its longitude and latitude
+    (f'PROJCS["l",{CLARKE},PROJECTION["Lambert_Conformal_Conic"],PARAMETER["Standard_Parallel_1",33.0],PARAMETER["Standard_Parallel_2",45.0],PARAMETER["Latitude_Of_Origin",23.0],PARAMETER["Central_Meridian",-96.0],UNIT["Meter",1.0]]', 1894410.9, 1564649.5, -75.0, 35.0),
+    (f'PROJCS["a",{CLARKE},PROJECTION["Albers"],PARAMETER["Standard_Parallel_1",29.5],PARAMETER["Standard_Parallel_2",45.5],PARAMETER["Latitude_Of_Origin",23.0],PARAMETER["Central_Meridian",-96.0],UNIT["Meter",1.0]]', 1885472.7, 1535925.0, -75.0, 35.0),
+    (f'PROJCS["t",{CLARKE},PROJECTION["Transverse_Mercator"],PARAMETER["Scale_Factor",0.9996],PARAMETER["Latitude_Of_Origin",0.0],PARAMETER["Central_Meridian",-75.0],UNIT["Meter",1.0]]', 127106.5, 4484124.4, -73.5, 40.5),
+    ("EPSG:32617", 630084.3, 4833438.5, -79.387139, 43.642567),
+    ("EPSG:3857", -11131949.079, 4865942.280, -100.0, 40.0),
+]
+
+
+@pytest.mark.parametrize("crs, x, y, lon, lat", PLACES)
+def test_planes_go_back_to_degrees(spark, crs, x, y, lon, lat):
+    from pyspark.sql import functions as F
+
+    from plansieve.functions import projections
+
+    for scale, text in ((1.0, crs), (3.0, crs.replace('UNIT["Meter",1.0]', 'UNIT["third",0.333333333333333]'))):
+        if scale != 1.0 and text == crs:
+            continue
+        got = spark.range(1).select(*projections.to_degrees(projections.parse(text), F.lit(x * scale), F.lit(y * scale))).first()
+        assert tuple(got) == pytest.approx((lon, lat), abs=2e-6)
+
+
+def test_own_plane_round_trip(spark):
+    """Degrees to the common plane and back."""
+    from pyspark.sql import functions as F
+
+    from plansieve.functions import geometry, projections
+
+    df = spark.createDataFrame([(-120.0, 25.0), (-96.0, 39.9), (-70.5, 48.25)], "lon double, lat double")
+    x, y = geometry.albers(F.col("lon"), F.col("lat"))
+    for r in df.select("lon", "lat", *projections.to_degrees(projections.parse("EPSG:5070"), x, y)).collect():
+        assert (r[2], r[3]) == pytest.approx((r[0], r[1]), abs=1e-7)
+
+
+ALBERS_PRJ = 'PROJCS["NAD83 / Conus Albers",GEOGCS["NAD83",DATUM["North_American_Datum_1983",SPHEROID["GRS 1980",6378137,298.257222101]],UNIT["degree",0.0174532925199433]],PROJECTION["Albers_Conic_Equal_Area"],PARAMETER["latitude_of_center",23],PARAMETER["longitude_of_center",-96],PARAMETER["standard_parallel_1",29.5],PARAMETER["standard_parallel_2",45.5],PARAMETER["false_easting",0],PARAMETER["false_northing",0],UNIT["metre",1]]'
+
+
+def test_loaders_read_the_reference_system(spark, tmp_path):
+    fields = [("TOTPOP", "N", 8), ("EL16G_PR_D", "N", 8), ("EL16G_PR_R", "N", 8), ("CD", "C", 4)]
+    corner = lambda: loaders.MGGG_LOADERS["nc"](spark, str(tmp_path)).first()["rings"][0][1]
+    write_shapefile(tmp_path / "nc", [square(3.0)], fields, [(100, 60, 40, "3")])
+    assert corner()["x"] > 1e5  # no .prj: degrees, far east of the central meridian
+    (tmp_path / "nc.prj").write_text(ALBERS_PRJ)
+    assert corner().asDict() == {"x": 4.0, "y": 0.0}
+    (tmp_path / "nc.prj").write_text(PLACES[0][0])
+    write_shapefile(tmp_path / "nc", [square(1894409.9, 1564649.5)], fields, [(100, 60, 40, "3")])
+    got, (x, y) = corner(), spark.range(1).select(*loaders.project.__globals__["albers"](loaders.F.lit(-75.0), loaders.F.lit(35.0))).first()
+    assert (got["x"], got["y"]) == pytest.approx((x, y), abs=0.5)
+    (tmp_path / "nc.prj").write_text('PROJCS["x",PROJECTION["Bonne"]]')
+    with pytest.raises(ValueError, match="Bonne"):
+        corner()
+
+
+def test_districts_come_from_the_file_beside(spark, tmp_path):
+    fields = [("TOTPOP", "N", 8), ("G20PREDBID", "N", 8), ("G20PRERTRU", "N", 8)]
+    write_shapefile(tmp_path / "pa_vest_2020", [square(0.0), square(1.0), square(9.0)], fields, [(5, 1, 2), (0, 3, 4), (6, 3, 4)])
+    (tmp_path / "pa_vest_2020.prj").write_text(ALBERS_PRJ)
+    with pytest.raises(FileNotFoundError, match="pa_cong"):
+        loaders.load_state(spark, "PA", str(tmp_path))
+    wide = [[(-1.0, -1.0), (4.0, -1.0), (4.0, 4.0), (-1.0, 4.0), (-1.0, -1.0)]]
+    write_shapefile(tmp_path / "pa_cong", [wide], [("CD", "C", 4)], [("12",)])
+    (tmp_path / "pa_cong.prj").write_text(ALBERS_PRJ)
+    assert [(r["pop"], r["district"]) for r in loaders.load_state(spark, "pa", str(tmp_path)).orderBy("node_id").collect()] == [(5.0, 12), (0.0, 12)]
+
+
 def test_rename_takes_the_first_hit(spark):
     df = spark.createDataFrame([(1, 2, "12a", " 12 ")], "TOTPOP_2020 int, POPULATION int, PRES_DEM string, PRES_REP string")
     out = loaders.coerce_numeric(loaders.rename_first_hit(df, loaders.VEST_PA)).first()
@@ -94,6 +161,35 @@ def test_pipeline_small(spark, tmp_path):
     assert spark.read.option("header", True).csv(str(tmp_path / "cross_state")).count() == 1
 
 
+def test_states_read_from_files(spark, tmp_path):
+    """A lattice of precincts in a shapefile, from the file to the cross-state table; polygons add two metrics."""
+    from plansieve import cli, pipeline
+
+    (tmp_path / "nc").mkdir()
+    rows = [(100 + (i * 7) % 13, 40 + (i * 5) % 31, 50 + (i * 3) % 23, 1 + i // 24) for i in range(48)]
+    write_shapefile(tmp_path / "nc" / "nc", [square(i % 6 * 1.0, i // 6 * 1.0) for i in range(48)], [("TOTPOP", "N", 8), ("EL16G_PR_D", "N", 8), ("EL16G_PR_R", "N", 8), ("CD", "N", 4)], rows)
+    (tmp_path / "nc" / "nc.prj").write_text(ALBERS_PRJ)
+    cfg = pipeline.RunConfig(n_chains=2, n_samples=10, lag=3, burn_in=20, pop_tol=0.3, n_boot=20)
+    pipeline.run_all_real(spark, str(tmp_path / "out"), {"nc": str(tmp_path / "nc"), "zz": str(tmp_path)}, cfg)
+    got = spark.read.option("header", True).csv(str(tmp_path / "out" / "nc_summary"))
+    assert {r["metric"] for r in got.collect()} >= {"polsby_popper", "reock", "mst_diameter"}
+    assert [r["state"] for r in spark.read.option("header", True).csv(str(tmp_path / "out" / "cross_state")).collect()] == ["nc"]
+    with pytest.raises(SystemExit):
+        cli.main(["all"])
+
+
+def test_scratch_tables_go_away(spark, tmp_path):
+    import os
+
+    from plansieve import storage
+
+    with storage.scratch(spark) as folder:
+        assert storage.cut(spark.range(3)).count() == 3
+        path = folder.removeprefix("file://")
+        assert os.listdir(path)
+    assert not os.path.exists(path)
+
+
 def test_registry():
     import __spark_entry__ as e
 
