@@ -77,8 +77,8 @@ def build_graph(precincts: DataFrame, pop: str = "pop", votes_d: str = "votes_d"
     return nodes, stitched(nodes, cut(edges)) if stitch else edges
 
 
-#: graphs of at most so many edges are labelled by one task, which holds them as two number arrays
-ONE_TASK_EDGES = 2_000_000
+#: graphs of at most so many edges (and nodes) are labelled by one task; its Python worker then holds 55 MB of arrays beside the rows (measured). Larger ones take rounds of joins
+ONE_TASK_EDGES = 1_000_000
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
