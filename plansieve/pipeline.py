@@ -147,3 +147,25 @@ def figure_data(
     if trajectory is not None:
         out |= {"trace": trajectory, "autocorrelation": diagnostics.autocorrelation(trajectory, max_lag)}
     return out
+
+
+def ensemble_figures(nodes: DataFrame, edges: DataFrame, base: DataFrame, samples: DataFrame, every: int = 20, bins: int = 30) -> dict[str, DataFrame]:
+    """What a baseline plan (plan_id 0) beside one chain's samples is drawn from.
+
+    histogram: bins of each metric with the baseline's value; maps: the baseline (sample_idx -1) and the
+    first, middle and last sample; seats_votes: curves of the baseline, with its ideal line, and of every
+    `every`-th sample.
+    """
+    n = samples.agg(F.countDistinct("sample_idx")).first()[0]
+    plans = samples.select(F.col("sample_idx").cast("long").alias("plan_id"), "node_id", "district")
+    of = lambda a: metrics.long_metrics(metrics.all_metrics(nodes, edges, a))
+    shown = samples.where(F.col("sample_idx").isin(0, n // 2, n - 1))
+    maps = shown.select("sample_idx", "node_id", "district").unionByName(base.select(F.lit(-1).alias("sample_idx"), "node_id", "district"))
+    curve = lambda a: metrics.seats_votes_curve(partition.district_totals(nodes, a))
+    mine = metrics.symmetric_ideal(curve(base), partition.num_districts(base))
+    some = curve(chain.every_nth(samples, every).select(F.col("sample_idx").cast("long").alias("plan_id"), "node_id", "district"))
+    return {
+        "histogram": ensemble.histogram(of(plans), bins).join(of(base).select("metric", F.col("value").alias("baseline")), "metric", "left"),
+        "maps": nodes.select("node_id", "x", "y").join(maps, "node_id"),
+        "seats_votes": mine.withColumn("plan_id", F.lit(-1).cast("long")).unionByName(some, allowMissingColumns=True),
+    }

@@ -222,3 +222,42 @@ def test_geopackage_and_wkb(spark, tmp_path):
     assert [(r["src_row"], len(r["rings"]), r["TOTPOP"]) for r in rows] == [(1, 1, "7"), (2, 0, None)]
     got = spark.createDataFrame([(bytearray(wkb),), (None,)], "g binary").select(gp.rings_of_wkb(F.col("g")).alias("r")).collect()
     assert [len(r["r"]) for r in got] == [1, 0]
+
+
+def test_figure_tables(spark, maps):
+    from plansieve import pipeline
+    from plansieve.operators import diagnostics
+    from plansieve.plans import chain, spectral
+    from pyspark.sql import functions as F
+
+    n, e = maps.grid(6)
+    n = n.withColumns({"x": (F.col("node_id") % 6).cast("double"), "y": F.floor(F.col("node_id") / 6).cast("double")})
+    base = spectral.recursive_bisect(n, e, 3).cache()
+    samples, _ = chain.run(n, e, base, 9, 0.3, 2, 5, 1)
+    got = pipeline.ensemble_figures(n, e, base, samples.cache(), every=4)
+    assert {r["sample_idx"] for r in got["maps"].select("sample_idx").distinct().collect()} == {-1, 0, 4, 8}
+    assert {r["plan_id"]: r["count"] for r in got["seats_votes"].groupBy("plan_id").count().collect()} == dict.fromkeys((-1, 0, 4, 8), 41)
+    assert got["seats_votes"].where("ideal_seats is not null").select("plan_id").distinct().count() == 1
+    hist = got["histogram"].groupBy("metric").agg(F.sum("n").alias("n"), F.max("baseline").alias("b")).collect()
+    assert {r["n"] for r in hist} == {9} and all(r["b"] is not None for r in hist) and len(hist) == 5
+    walk = chain.trajectories(samples, n, e, ["cut_edge_ratio"])
+    more = pipeline.figure_data(n, e, base, walk.select("metric", "value"), trajectory=walk, max_lag=3)
+    assert more["borders"].count() > 0 and more["shares"].agg(F.max("rank")).first()[0] == 3 and more["autocorrelation"].count() == 4
+    assert diagnostics.common_length(more["trace"]).count() == 9
+    assert chain.sample_counts(samples).first().asDict() == {"n_chains": 1, "n_samples_per_chain": 9}
+
+
+def test_archives_are_fetched_once(tmp_path):
+    import zipfile
+
+    from plansieve.sources import download
+
+    with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
+        z.writestr("deep/../../nc.shp", b"shape")
+        z.writestr("deep/nc.dbf", b"table")
+    url = (tmp_path / "a.zip").as_uri()
+    got = download.fetch_all({"nc": url, "md": None, "wi": (tmp_path / "none.zip").as_uri()}, str(tmp_path / "raw"))
+    assert got == {"nc": True, "md": False, "wi": False}
+    assert sorted(p.name for p in (tmp_path / "raw" / "nc").iterdir()) == ["nc.dbf", "nc.shp"]
+    (tmp_path / "a.zip").unlink()
+    assert download.fetch(url, str(tmp_path / "raw" / "nc"))
