@@ -504,15 +504,22 @@ def bootstrap_ci(b):
 
 
 @query(
-    """SELECT n_name AS state, round(avg(-log10(greatest(share, 1e-4))), 9) AS severity FROM
-(SELECT n_name, c_mktsegment, count(*) FILTER (c_acctbal > 5000) / count(*) AS share FROM customer JOIN nation ON n_nationkey = c_nationkey GROUP BY n_name, c_mktsegment) GROUP BY n_name""", base=False
+    """SELECT state, round(avg(-log10(greatest(p, 1e-4))), 9) AS severity, round(max(rhat), 9) AS max_rhat, min(ess)::DOUBLE AS min_ess, count(*) AS n_metrics FROM
+(SELECT n_name AS state, c_mktsegment, count(*) FILTER (c_acctbal > 5000) / count(*) AS p, CASE WHEN c_mktsegment <> 'BUILDING' THEN 1 + stddev_pop(c_acctbal) / 1e5 END AS rhat, CASE WHEN c_mktsegment <> 'BUILDING' THEN count(*) END AS ess
+FROM customer JOIN nation ON n_nationkey = c_nationkey GROUP BY n_name, c_mktsegment) GROUP BY state""", base=False
 )
-def state_sort(b):
-    """States by falling severity, over a share standing in for the p-value."""
+def cross_state(b):
+    """The cross-state table of tables per region: a nation is a state, a market segment a metric, one of them without convergence figures."""
+    from plansieve import pipeline
+
     c = b.table("customer").join(b.table("nation"), F.col("n_nationkey") == F.col("c_nationkey"))
-    p = c.groupBy(F.col("n_name").alias("state"), "c_mktsegment").agg((F.count_if(F.col("c_acctbal") > 5000) / F.count("*")).alias("p"))
-    s = p.groupBy("state").agg(F.avg(-F.log10(F.greatest("p", F.lit(1e-4)))).alias("severity"))
-    return r9(s, "severity").orderBy(F.desc("severity"), "state")
+    judged = lambda v: F.when(F.col("c_mktsegment") != "BUILDING", v).otherwise(float("nan"))
+    p = c.groupBy("n_regionkey", F.col("n_name").alias("state"), "c_mktsegment").agg(
+        (F.count_if(F.col("c_acctbal") > 5000) / F.count("*")).alias("p_value"), F.stddev_pop("c_acctbal").alias("sd"), F.count("*").cast("double").alias("n")
+    )
+    p = p.select("n_regionkey", "state", F.col("c_mktsegment").alias("metric"), "p_value", judged(1 + F.col("sd") / 1e5).alias("rhat"), judged(F.col("n")).alias("ess"))
+    tables = {str(r): p.where(F.col("n_regionkey") == r).drop("n_regionkey") for r in range(5)}
+    return r9(pipeline.cross_state(tables)[1], "severity", "max_rhat").select("state", "severity", "max_rhat", "min_ess", "n_metrics")
 
 
 # --- diagnostics ---------------------------------------------------------------------------
