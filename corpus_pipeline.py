@@ -12,6 +12,7 @@ import uuid
 
 from plansieve.llm import bpe, decontam, jaccard_join, pii, quality_rules
 from plansieve.llm.common import shared_dir, table
+from plansieve.storage import scratch
 
 
 def quality(spark, docs, sf_dir):
@@ -49,6 +50,7 @@ def run(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         path = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}-{name}"
-        stage(spark, docs, sf_dir).write.parquet(path)
+        with scratch(spark):  # what the stage wrote on its way goes when its result is written
+            stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from plansieve.llm.common import cut, ship
 
-BITS = 18
+BITS = 20
 FIT_ROWS = 6_000
 #: labels of at most so many rows (about 60 bytes each, so 60 MB) go to every task; more are joined by a shuffle
 BROADCAST_LABELS = 1_000_000
