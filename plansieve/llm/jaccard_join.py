@@ -159,25 +159,25 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (bucket, i, j, key, block) of texts that have a surviving pair in the unit."""
+    """Rows (bucket, i, j, key, block, sig) of texts that have a surviving pair in the unit."""
     needed = least_matches()
-    out: list[list] = [[], [], [], [], []]
+    out: list[list] = [[], [], [], [], [], []]
     for (bucket, i, j), rows in _by_unit(batches, 3):
         sigs = np.frombuffer(b"".join(r[2] for r in rows), np.uint32).reshape(len(rows), HASHES)
         side = np.array([r[1] for r in rows]) if i != j else None
         alive = sorted({x for pair in candidate_pairs(sigs, bucket & (BANDS - 1), side, needed) for x in pair})
         for x in alive:
-            for column, v in zip(out, (bucket, i, j, rows[x][0], rows[x][1]), strict=True):
+            for column, v in zip(out, (bucket, i, j, *rows[x]), strict=True):
                 column.append(v)
         if len(out[0]) > 20_000:
             yield _pruned(out)
-            out = [[], [], [], [], []]
+            out = [[], [], [], [], [], []]
     yield _pruned(out)
 
 
 def _pruned(out: list[list]) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int32())
-    return pa.record_batch({k: pa.array(x, t) for k, x, t in zip(("bucket", "i", "j", "key", "block"), out, kinds, strict=True)})
+    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int32(), pa.binary())
+    return pa.record_batch({k: pa.array(x, t) for k, x, t in zip(("bucket", "i", "j", "key", "block", "sig"), out, kinds, strict=True)})
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,8 +185,8 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     needed = least_matches()
     out: list[list] = [[], [], []]
     for (bucket, i, j), rows in _by_unit(batches, 3):
-        sets = [shingles(r[2]) for r in rows]
-        sigs = np.stack([signature(s) for s in sets])
+        sets = [shingles(r[3]) for r in rows]
+        sigs = np.frombuffer(b"".join(r[2] for r in rows), np.uint32).reshape(len(rows), HASHES)
         side = np.array([r[1] for r in rows]) if i != j else None
         links, parent = [0] * len(rows), list(range(len(rows)))
 
@@ -280,12 +280,12 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         .select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "key", "block")
     )
     with_sig = placed.join(texts.select("key", "sig").hint("merge"), "key").select(*unit, "key", "block", "sig")
-    alive = cut(_units(with_sig, unit).mapInArrow(_prune, "bucket long, i int, j int, key binary, block int"))
+    alive = cut(_units(with_sig, unit).mapInArrow(_prune, "bucket long, i int, j int, key binary, block int, sig binary"))
     # texts stream past a hash table of keys and are not sorted; they are fetched at their smallest id: with the id in the join's key, copies don't meet in one task
     wanted = alive.select("key").distinct().join(texts.select("key", F.coalesce("text_id", F.lit(-1)).alias("id")).hint("merge"), "key")
     needed = docs.select(key.alias("key"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("id"), raw.alias("raw"))
     needed = needed.join(wanted.hint("shuffle_hash"), ["key", "id"]).groupBy("key", "id").agg(F.first("raw").alias("raw")).select("key", "raw")
-    with_text = alive.join(needed.hint("merge"), "key").select(*unit, "key", "block", "raw")
+    with_text = alive.join(needed.hint("merge"), "key").select(*unit, "key", "block", "sig", "raw")
     found = cut(_units(with_text, unit).mapInArrow(_verify, "key binary, links long, parent binary"))
 
     links = found.groupBy("key").agg(F.sum("links").alias("n_links"))
