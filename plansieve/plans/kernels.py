@@ -141,6 +141,28 @@ def connectivity(edges: DataFrame, assignment: DataFrame) -> DataFrame:
     return _per_district(edges, assignment, lambda g: bool(g.connected(set(range(len(g))))), "connected", "boolean")
 
 
+def flips_keep_connected(edges: DataFrame, assignment: DataFrame, flips: DataFrame) -> DataFrame:
+    """flips(plan_id, node_id, district) and connected: whether the district that the node leaves stays in one piece and is not empty.
+
+    A move to the node's own district changes nothing, so it is connected. A group is one district of one plan.
+    """
+    own = assignment.select("plan_id", "node_id", F.col("district").alias("src"))
+    asked = flips.select("plan_id", "node_id", F.col("district").alias("to")).join(own, ["plan_id", "node_id"])
+
+    def one(key, rows: pd.DataFrame, moves: pd.DataFrame) -> pd.DataFrame:
+        e = rows[rows["b"].notna()]
+        g = Graph(rows.loc[rows["b"].isna(), "a"], e["a"].astype("int64"), e["b"].astype("int64"), e["w"])
+        everyone, known = set(range(len(g))), {}
+        for p in (g.at[int(i)] for i in moves["node_id"].unique()):
+            known[int(g.ids[p])] = len(g) > 1 and g.connected(everyone - {p})
+        ok = [True if t == key[1] else known[i] for i, t in zip(moves["node_id"].tolist(), moves["to"].tolist(), strict=True)]
+        return pd.DataFrame({"plan_id": moves["plan_id"], "node_id": moves["node_id"], "district": moves["to"], "connected": ok})
+
+    ship()
+    graphs = _district_graphs(edges, assignment).groupBy("plan_id", "district")
+    return graphs.cogroup(asked.groupBy("plan_id", "src")).applyInPandas(one, "plan_id long, node_id long, district int, connected boolean")
+
+
 def connected_after_flip(g: Graph, member: dict[int, int], node: int, district: int) -> bool:
     """Whether the district that a node leaves stays connected and not empty; True for a move to itself."""
     src = member[node]

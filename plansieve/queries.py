@@ -184,6 +184,38 @@ def nearest_stitch(b):
     return r9(out.select(F.lit("island").alias("kind"), "u", "v", "weight"), "weight")
 
 
+@query(
+    """, isl AS (SELECT 1000000 AS id, -2.25 AS x, 1.5 AS y)
+SELECT m.node_id AS u, isl.id::BIGINT AS v, round(sqrt((m.x - isl.x) ** 2 + (m.y - isl.y) ** 2), 9) AS weight FROM isl, LATERAL (SELECT node_id, x, y FROM nodes ORDER BY (nodes.x - isl.x) ** 2 + (nodes.y - isl.y) ** 2, node_id LIMIT 1) m"""
+)
+def stitch_per_component(b):
+    """An island of two nodes is tied by its smallest node only."""
+    island = b.spark.createDataFrame([(1000000, -2.25, 1.5), (1000001, -3.25, 2.5)], "node_id long, x double, y double")
+    nodes = b.nodes().select("node_id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).unionByName(island)
+    link = b.spark.createDataFrame([(1000000, 1000001, 1.0, False)], "u long, v long, weight double, synthetic boolean")
+    return r9(graph.stitched(nodes, b.edges().unionByName(link), per_node=False).where("synthetic").select("u", "v", "weight"), "weight")
+
+
+@query("SELECT node_id, pop::DOUBLE AS pop, votes_d::DOUBLE AS votes_d, votes_r::DOUBLE AS votes_r, y::INT AS district, x + 0.5 AS x, y + 0.5 AS y, (SELECT count(*) FROM adj WHERE adj.node_id = nodes.node_id) AS degree, (SELECT count(*) FROM adj WHERE adj.node_id = nodes.node_id)::DOUBLE AS border FROM nodes")
+def build_graph(b):
+    """Nodes of the graph built from polygons, with their edges' number and shared length."""
+    raw = b.polygons().join(b.nodes().select("node_id", "pop", "votes_d", "votes_r", F.col("y").alias("band")), "node_id")
+    nodes, edges = graph.build_graph(raw, district="band")
+    around = graph.adjacency(edges).groupBy("node_id").agg(F.count("*").alias("degree"), F.sum("weight").alias("border"))
+    return r9(nodes.join(around, "node_id", "left").fillna(0, ["degree", "border"]), "x", "y", "border")
+
+
+@query("SELECT node_id, 1.0::DOUBLE AS area, 4.0::DOUBLE AS perimeter, 93 AS n_bytes FROM nodes")
+def wkb_round_trip(b):
+    """Polygons as a binary column, as geoparquet holds them, read back."""
+    from plansieve.functions.geometry import area, perimeter
+    from plansieve.sources import geopackage
+
+    binary = b.polygons().select("node_id", geopackage.wkb_of_rings(F.col("rings")).alias("wkb"))
+    back = binary.select("node_id", F.octet_length("wkb").alias("n_bytes"), geopackage.rings_of_wkb(F.col("wkb")).alias("rings"))
+    return r9(back.select("node_id", area(F.col("rings")).alias("area"), perimeter(F.col("rings")).alias("perimeter"), "n_bytes"), "area", "perimeter")
+
+
 # --- cleaning ------------------------------------------------------------------------------
 
 
@@ -202,6 +234,38 @@ def pop_filter(b):
     return loaders.load_mggg(raw, loaders.MGGG["nc"]).select("node_id", "pop", "votes_d", "votes_r", "district")
 
 
+@query(
+    """, bands AS (SELECT i, (i * (nn // 25 + 1)) // 4 AS lo, ((i + 1) * (nn // 25 + 1)) // 4 + CASE WHEN i < 2 THEN 1 ELSE 0 END AS hi FROM cnt, (SELECT unnest(range(4)) AS i)),
+has AS (SELECT *, (SELECT min(i) + 10 FROM bands WHERE y + 0.5 > lo AND y + 0.5 < hi)::INT AS district FROM nodes)
+SELECT row_number() OVER (ORDER BY node_id) - 1 AS node_id, pop::DOUBLE AS pop, votes_d::DOUBLE AS votes_d, votes_r::DOUBLE AS votes_r, district FROM has WHERE district IS NOT NULL"""
+)
+def overlay_loader(b):
+    """A source whose districts are all zero takes them from the polygons of an overlay; unpopulated precincts stay."""
+    raw = b.polygons().join(b.nodes().select("node_id", F.col("pop").alias("TOTPOP"), F.col("votes_d").alias("G20PREDBID"), F.col("votes_r").alias("G20PRERTRU"), F.lit("0").alias("CD")), "node_id")
+    return loaders.load_vest(raw.withColumnRenamed("node_id", "src_row"), overlay=_boxes(b), crs="EPSG:5070").select("node_id", "pop", "votes_d", "votes_r", "district")
+
+
+def _albers_sql(lon: str, lat: str) -> str:
+    from plansieve.functions import geometry as g
+
+    s = f"sin(radians({lat}))"
+    q = f"{1 - g._E2!r} * ({s} / (1 - {g._E2!r} * {s} * {s}) - ln((1 - {g._E!r} * {s}) / (1 + {g._E!r} * {s})) / {2 * g._E!r})"
+    rho, theta = f"{g._A!r} * sqrt({g._C!r} - {g._N!r} * ({q})) / {g._N!r}", f"{g._N!r} * radians({lon} + 96)"
+    return f"round(({rho}) * sin({theta}), 3) AS x, round({g._RHO0!r} - ({rho}) * cos({theta}), 3) AS y"
+
+
+@query(f"SELECT node_id, {_albers_sql('(-100 + x / 10.0)', '(30 + y / 100.0)')}, round(-100 + x / 10.0, 7) AS lon, round(30 + y / 100.0, 7) AS lat FROM nodes")
+def reproject(b):
+    """Degrees to the common plane, and back from it."""
+    from plansieve.functions import geometry, projections
+
+    at = b.nodes().select("node_id", (F.col("x") / 10.0 - 100).alias("lon"), (F.col("y") / 100.0 + 30).alias("lat"))
+    x, y = geometry.albers(F.col("lon"), F.col("lat"))
+    plane = at.select("node_id", x.alias("x"), y.alias("y"))
+    lon, lat = projections.to_degrees(projections.parse("EPSG:5070"), F.col("x"), F.col("y"))
+    return plane.select("node_id", F.round("x", 3).alias("x"), F.round("y", 3).alias("y"), F.round(lon, 7).alias("lon"), F.round(lat, 7).alias("lat"))
+
+
 @query("SELECT plan_id, node_id, (dense_rank() OVER (PARTITION BY plan_id ORDER BY d) - 1)::INT AS district FROM (SELECT plan_id, node_id, district * 3 + 5 AS d FROM asg)")
 def dense_relabel(b):
     return partition.dense_relabel(b.assignment().withColumn("district", F.col("district") * 3 + 5))
@@ -226,6 +290,11 @@ def num_districts(b):
     return partition.num_districts(b.assignment())
 
 
+@query("SELECT plan_id, district, string_agg(node_id::VARCHAR, ',' ORDER BY node_id) AS nodes FROM asg GROUP BY plan_id, district")
+def districts(b):
+    return partition.districts(b.assignment()).select("plan_id", "district", F.array_join(F.transform("nodes", lambda n: n.cast("string")), ",").alias("nodes"))
+
+
 @query("SELECT plan_id, district, pop, round(ideal, 9) AS ideal, pop BETWEEN ideal * 0.95 AND ideal * 1.05 AS within FROM tot JOIN (SELECT plan_id, sum(pop) / count(*) AS ideal FROM tot GROUP BY plan_id) USING (plan_id)")
 def pop_balance_tol(b):
     return r9(partition.pop_balance(b.nodes(), b.assignment(), 0.05), "ideal")
@@ -411,6 +480,40 @@ out7 AS (SELECT metric, max(v) AS enacted_value, avg(value) AS ensemble_mean, st
 """
 
 
+@query(
+    _COMP + """, cand AS (SELECT plan_id, u AS node_id, dv AS district FROM ed WHERE du <> dv UNION SELECT plan_id, v, du FROM ed WHERE du <> dv),
+gone AS (SELECT DISTINCT plan_id, node_id AS out, asg.district AS src FROM cand JOIN asg USING (plan_id, node_id)),
+left_ AS (SELECT gone.plan_id, out, min(node_id) AS node_id FROM gone JOIN asg ON asg.plan_id = gone.plan_id AND asg.district = src AND node_id <> out GROUP BY gone.plan_id, out UNION
+  SELECT l.plan_id, l.out, neighbor FROM left_ l JOIN inner_ i ON i.plan_id = l.plan_id AND i.node_id = l.node_id WHERE neighbor <> l.out),
+ok AS (SELECT plan_id, out AS node_id, count(left_.node_id) AS n FROM left_ GROUP BY plan_id, out)
+SELECT cand.plan_id, cand.node_id, cand.district, coalesce(ok.n = tot.n_nodes - 1, false) AND n_nodes > 1 AS connected FROM cand LEFT JOIN ok USING (plan_id, node_id) JOIN asg a ON a.plan_id = cand.plan_id AND a.node_id = cand.node_id
+JOIN tot ON tot.plan_id = a.plan_id AND tot.district = a.district"""
+)
+def connected_after_flip(b):
+    """Of every move of a node to a neighbour's district, whether what it leaves stays connected."""
+    ed = partition.boundary_edges(b.edges(), b.assignment())
+    moves = ed.select("plan_id", F.col("u").alias("node_id"), F.col("dv").alias("district")).union(ed.select("plan_id", "v", "du")).distinct()
+    return kernels.flips_keep_connected(b.edges(), b.assignment(), moves)
+
+
+@query(
+    # fragments take their turns one by one; a plan is a list of districts by node
+    _COMP + """, siz AS (SELECT plan_id, district, root, count(*) AS n, min(min(node_id)) OVER (PARTITION BY plan_id, district) AS head FROM comp JOIN asg USING (plan_id, node_id) GROUP BY plan_id, district, root),
+frag AS (SELECT plan_id, district, root, row_number() OVER (PARTITION BY plan_id ORDER BY head, n DESC, root) AS turn FROM (SELECT * FROM siz QUALIFY row_number() OVER (PARTITION BY plan_id, district ORDER BY n DESC, root) > 1)),
+mem AS (SELECT f.plan_id, turn, any_value(f.district) AS d, list(comp.node_id ORDER BY comp.node_id) AS own, flatten(list((SELECT list(neighbor ORDER BY neighbor) FROM adj WHERE adj.node_id = comp.node_id) ORDER BY comp.node_id)) AS near
+  FROM frag f JOIN comp ON comp.plan_id = f.plan_id AND comp.root = f.root GROUP BY f.plan_id, turn),
+rep AS (SELECT plan_id, 0::BIGINT AS turn, list(district ORDER BY node_id) AS a, max(district) AS top FROM asg GROUP BY plan_id UNION ALL
+  SELECT plan_id, turn, [CASE WHEN list_contains(own, i - 1) THEN coalesce(to_, (d + 1) % top) ELSE a[i] END FOR i IN range(1, len(a) + 1)], top FROM (
+    SELECT *, list_sort([{'n': -len(list_filter(acr, lambda y: y = x)), 'p': list_position(acr, x), 'x': x} FOR x IN list_distinct(acr)])[1].x AS to_ FROM (
+      SELECT rep.plan_id, mem.turn, rep.a, rep.top, mem.d, mem.own, list_filter([rep.a[q + 1] FOR q IN near], lambda y: y <> d) AS acr FROM rep JOIN mem ON mem.plan_id = rep.plan_id AND mem.turn = rep.turn + 1))),
+fin AS (SELECT plan_id, arg_max(a, turn) AS a FROM rep GROUP BY plan_id)
+SELECT plan_id, i - 1 AS node_id, a[i] AS district FROM fin, unnest(range(1, len(a) + 1)) AS u(i)"""
+)
+def repair_contiguity(b):
+    """Districts of the shifted plans that are in pieces give the smaller ones to the neighbours they border most."""
+    return spectral.repair_plans(b.edges(), b.assignment())
+
+
 @query(
     _WIDE + """SELECT plan_id, round(cut_edge_ratio, 9) AS cut_edge_ratio, round(mst_diameter, 9) AS mst_diameter, round(modularity, 9) AS modularity, round(efficiency_gap, 9) AS efficiency_gap, round(mean_median, 9) AS mean_median,
   round(polsby_popper, 9) AS polsby_popper, round(reock, 9) AS reock FROM wide7"""
@@ -552,6 +655,22 @@ def ess(b):
     return diagnostics.effective_sample_size(_walks(b)).withColumn("ess", F.round("ess", 6) + 0.0)
 
 
+@query(
+    _ACF.format(60)
+    + """, pairs AS (SELECT a.chain_id, a.lag AS k, a.rho + b.rho AS v FROM rho a JOIN rho b ON b.chain_id = a.chain_id AND b.lag = a.lag + 1 WHERE a.lag % 2 = 1),
+ess_ AS (SELECT chain_id, (SELECT n FROM len) / (1 + 2 * coalesce((SELECT sum(v) FROM pairs q WHERE q.chain_id = p.chain_id AND q.k < (SELECT min(k) FROM pairs z WHERE z.chain_id = p.chain_id AND z.v <= 0)), 0)) AS ess FROM (SELECT DISTINCT chain_id FROM trj) p)
+SELECT (SELECT round(sqrt((avg(v) + var_samp(m)) / avg(v)), 9) FROM (SELECT chain_id, avg(value) AS m, var_samp(value) AS v FROM trj GROUP BY chain_id)) AS max_rhat, (SELECT round(sum(ess), 6) FROM ess_) AS min_ess"""
+)
+def worst_convergence(b):
+    walks = _walks(b)
+    return diagnostics.worst(diagnostics.gelman_rubin(walks), diagnostics.pooled_ess(walks)).select((F.round("max_rhat", 9) + 0.0).alias("max_rhat"), (F.round("min_ess", 6) + 0.0).alias("min_ess"))
+
+
+@query("SELECT chain_id, sample_idx, value FROM tra WHERE sample_idx % 20 = 0")
+def every_nth_sample(b):
+    return chain.every_nth(b.trajectory(), 20).select("chain_id", "sample_idx", "value")
+
+
 @query("SELECT chain_id, sample_idx AS step, ((sample_idx - 50) // 7)::INT AS sample_idx, value FROM tra WHERE sample_idx >= 50 AND (sample_idx - 50) % 7 = 0")
 def burnin_thin(b):
     steps = b.trajectory().select("chain_id", F.col("sample_idx").cast("long").alias("step"), "value")
