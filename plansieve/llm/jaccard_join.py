@@ -220,18 +220,20 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
 
     Alternating large-star and small-star; each is two aggregations over the edges, whose
     number never grows, and O(log^2) rounds suffice. A large-star step joins each node with
-    its neighbourhood's smallest key instead of gathering neighbours, so hubs stay spread.
+    its neighbourhood's smallest key instead of gathering neighbours. The smallest keys are
+    written first, so that both sides of the join are plain shuffles and a hub's edges, all
+    of one key, can be split.
     """
     e = cut(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     for _ in range(rounds):
         both = e.union(e.select("b", "a")).toDF("u", "v")
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        low = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         # large star: every larger neighbour v of u points to u's minimum
         star = both.join(low, "u")
         large = star.where("v > u").select(F.col("m").alias("a"), F.col("v").alias("b")).union(star.where("m < u").select(F.col("m").alias("a"), F.col("u").alias("b")))
         large = cut(large.where("a <> b").distinct())
         # small star: every smaller neighbour of u, and u, point to u's minimum (edges lead from b to smaller a)
-        low = large.groupBy("b").agg(F.min("a").alias("m"))
+        low = cut(large.groupBy("b").agg(F.min("a").alias("m")))
         star = large.join(low, "b")
         small = star.select(F.col("m").alias("a"), F.col("a").alias("b")).union(star.select(F.col("m").alias("a"), "b"))
         small = cut(small.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
