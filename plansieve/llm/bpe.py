@@ -214,16 +214,31 @@ def decode(packed: Column, path: str | None = None) -> Column:
     return F.pandas_udf(run, BinaryType())(packed)
 
 
+def round_trip(text: Column, path: str | None = None, pattern: str | None = None) -> Column:
+    """struct(ids, raw): encode(text), and decode of these ids, in one pass, so that a task needs one Python worker."""
+    path, pattern = path or default_path(), pattern or default_pattern()
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        c = codec(path, pattern)
+        for texts in batches:
+            ids = [c.encode(t) if t else b"" for t in texts]
+            yield pd.DataFrame({"ids": pd.Series(ids, dtype=object), "raw": pd.Series([c.decode(i) for i in ids], dtype=object)})
+        c.pieces.clear()
+
+    ship()
+    return F.pandas_udf(run, "ids binary, raw binary")(text)
+
+
 def count_tokens(packed: Column) -> Column:
     return (F.octet_length(packed) / 4).cast("long")
 
 
 def report(df):
     """The digest query: doc_id, n_tokens, ids_sha256, decoded_sha256."""
-    coded = df.select("doc_id", encode(F.col("text")).alias("ids")).withColumn("raw", decode(F.col("ids")))
+    coded = df.select("doc_id", round_trip(F.col("text")).alias("c"))
     return coded.select(
         "doc_id",
-        count_tokens(F.col("ids")).alias("n_tokens"),
-        F.sha2(F.col("ids"), 256).alias("ids_sha256"),
-        F.sha2(F.col("raw"), 256).alias("decoded_sha256"),
+        count_tokens(F.col("c.ids")).alias("n_tokens"),
+        F.sha2(F.col("c.ids"), 256).alias("ids_sha256"),
+        F.sha2(F.col("c.raw"), 256).alias("decoded_sha256"),
     )

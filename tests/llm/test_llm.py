@@ -462,6 +462,8 @@ def test_bpe_equals_tiktoken(spark, odd, none):
         ids = own.encode_ordinary(t)
         assert r["n_tokens"] == len(ids) and r["ids_sha256"] == hashlib.sha256(struct.pack(f"<{len(ids)}I", *ids)).hexdigest(), t[:99]
         assert r["decoded_sha256"] == hashlib.sha256(t.encode()).hexdigest()
+    both = docs_of(spark, texts[:300]).select(bpe.encode(F.col("text")).alias("ids"), "text").select(bpe.decode(F.col("ids")).alias("raw"), "text")
+    assert all(bytes(r["raw"]) == r["text"].encode() for r in both.collect())
     empty = hashlib.sha256(b"").hexdigest()
     assert [tuple(r)[1:] for r in bpe.report(docs_of(spark, [None])).collect()] == [(0, empty, empty)]
     assert bpe.report(odd).count() == odd.count() and bpe.report(none).isEmpty()
@@ -706,6 +708,19 @@ def test_groups_without_ids_of_their_own(spark, same):
 # --- pipeline ------------------------------------------------------------------------------
 
 
+def test_pipeline_quality_uses_the_labels(spark, tmp_path):
+    """A certified level takes effect in the stage, and the stage keeps all columns of the rest."""
+    import corpus_pipeline
+
+    rng = random.Random(13)
+    good, bad = prose(rng, 300), [t.replace(" ", "!! ") for t in prose(rng, 60)]
+    docs = docs_of(spark, good + bad)
+    marks = [(i, int(i < 300), 0) for i in range(360) if i % 3]
+    spark.createDataFrame(marks, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    kept = corpus_pipeline.quality(spark, docs, str(tmp_path))
+    assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == set(range(300))
+
+
 def test_pipeline_against_brute_force(spark, tmp_path):
     import corpus_pipeline
 
