@@ -9,6 +9,9 @@ from plansieve.operators.partition import district_totals
 from plansieve.plans import kernels as k
 
 
+# fixed values: the small graphs below and what is expected of them
+
+
 def value(df, name, plan=0):
     return df.where(f"plan_id = {plan}").first()[name]
 
