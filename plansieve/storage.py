@@ -71,20 +71,26 @@ def row_numbers(df: DataFrame, order: str | list[str], name: str) -> DataFrame:
     return dealt.join(before, "_range").withColumn(name, (F.col("_before") + within).cast("long")).drop("_range", "_before")
 
 
-BATCH_ROWS = 1000
+BATCH_ROWS, SCAN_ROWS = 1000, 512
 _shipped: set[str] = set()
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Fewer rows a batch, to Python workers and in scans: rows are texts of some KB to some 100 KB, or plans, and
+    batches of the default sizes would hold 10,000 and 4,096 of them. A session's own settings are left alone."""
+    for key, default, rows in (("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", BATCH_ROWS), ("spark.sql.parquet.columnarReaderBatchSize", "4096", SCAN_ROWS)):
+        if spark.conf.get(key) == default:
+            spark.conf.set(key, rows)
+
+
 def ship() -> None:
     """Make this package importable in Python workers that don't have it on their path.
 
-    Spark's own file server hands the zip to each executor, new ones included. Rows are texts
-    of some KB, or plans: a batch of BATCH_ROWS instead of Spark's default bounds a worker's memory.
+    Spark's own file server hands the zip to each executor, new ones included.
     """
     spark = SparkSession.getActiveSession()
     sc = spark.sparkContext
-    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    bound_batches(spark)
     if sc.applicationId in _shipped:
         return
     root = os.path.dirname(os.path.abspath(__file__))
