@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plansieve.storage import cut, shared_dir, ship  # noqa: F401
+from plansieve.storage import bound_batches, cut, shared_dir, ship  # noqa: F401
 
 #: what parts words: runs of space, tab, LF, VT, FF, CR
 SPACE_PATTERN = r"[\x20\x09-\x0D]+"
@@ -14,6 +14,7 @@ SPACE_BYTES = " \t\n\x0b\x0c\r"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
