@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plansieve.functions.geometry import area, centroid, contains, segments
-from plansieve.storage import cut, row_numbers, ship
+from plansieve.storage import by_shuffle, cut, row_numbers, ship
 
 
 def adjacency(edges: DataFrame) -> DataFrame:
@@ -53,7 +53,7 @@ def shared_boundary(polygons: DataFrame, epsilon: float = 1e-6, cell: float | No
     s = s.select("node_id", "lx", "ly", "off", "cell", F.greatest("t1", F.col("cell") * cell).alias("t1"), F.least("t2", (F.col("cell") + 1) * cell).alias("t2"))
     a, b = s.alias("a"), s.alias("b")
     keys = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in ("lx", "ly", "off", "cell")]
-    both = a.join(b, [*keys, F.col("a.node_id") < F.col("b.node_id")])
+    both = by_shuffle(a).join(b, [*keys, F.col("a.node_id") < F.col("b.node_id")])
     overlap = F.least("a.t2", "b.t2") - F.greatest("a.t1", "b.t1")
     return (
         both.where(overlap > 0)
