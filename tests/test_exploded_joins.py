@@ -21,6 +21,6 @@ def small_broadcasts(spark):
         spark.conf.unset(k)
 
 
-@pytest.mark.parametrize("name", ["boundary_edges", "plan_from_array", "efficiency_gap", "mean_median", "seats_votes", "modularity", "polsby_popper"])
+@pytest.mark.parametrize("name", ["boundary_edges", "plan_from_array", "efficiency_gap", "mean_median", "seats_votes", "modularity", "polsby_popper", "district_connected"])
 def test_no_broadcast_of_exploded_rows(small_broadcasts, name):
     queries.QUERIES[name](small_broadcasts, DIR).write.format("noop").mode("overwrite").save()
