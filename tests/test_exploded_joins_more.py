@@ -48,6 +48,7 @@ def test_broadcasts_are_seen(by_file_size):
 @pytest.mark.parametrize("name", [
     "all_metrics_relational",
     "bootstrap_ci",
+    "direction",
 ])
 def test_no_broadcast_of_exploded_rows(by_file_size, name):
     rows = broadcast_rows(by_file_size, lambda: queries.QUERIES[name](by_file_size, DIR).write.format("noop").mode("overwrite").save())
