@@ -51,6 +51,7 @@ def test_broadcasts_are_seen(by_file_size):
     "direction",
     "mean_and_std",
     "outlier_table",
+    "severity",
 ])
 def test_no_broadcast_of_exploded_rows(by_file_size, name):
     rows = broadcast_rows(by_file_size, lambda: queries.QUERIES[name](by_file_size, DIR).write.format("noop").mode("overwrite").save())
