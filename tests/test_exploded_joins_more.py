@@ -52,6 +52,7 @@ def test_broadcasts_are_seen(by_file_size):
     "mean_and_std",
     "outlier_table",
     "severity",
+    "mcmc_samples",
 ])
 def test_no_broadcast_of_exploded_rows(by_file_size, name):
     rows = broadcast_rows(by_file_size, lambda: queries.QUERIES[name](by_file_size, DIR).write.format("noop").mode("overwrite").save())
