@@ -48,6 +48,7 @@ def test_broadcasts_are_seen(by_file_size):
 @pytest.mark.parametrize("name", [
     "all_metrics_relational",
     "bootstrap_ci",
+    "diameter_two_bfs",
     "direction",
     "mean_and_std",
     "outlier_table",
