@@ -52,6 +52,7 @@ def test_broadcasts_are_seen(by_file_size):
     "direction",
     "mean_and_std",
     "outlier_table",
+    "reock",
     "severity",
     "mcmc_samples",
 ])
