@@ -129,7 +129,9 @@ def _albers(x: Column, y: Column, a: float, e2: float, phi0: float, phi1: float,
     c = m2(phi1) + n * q(math.sin(phi1))
     down = a * math.sqrt(c - n * q(math.sin(phi0))) / n - y
     sign = math.copysign(1.0, n)
-    beta = F.asin((c - (x * x + down * down) * (n / a) ** 2) / (n * q(1.0)))
+    height = (c - (x * x + down * down) * (n / a) ** 2) / (n * q(1.0))
+    # a pole may come out beyond 1 by rounding; points off the plane stay NaN
+    beta = F.asin(F.when(F.abs(height).between(1.0, 1 + 1e-12), F.signum(height)).otherwise(height))
     e4, e6 = e2 * e2, e2**3
     phi = beta + (e2 / 3 + 31 * e4 / 180 + 517 * e6 / 5040) * F.sin(2 * beta) + (23 * e4 / 360 + 251 * e6 / 3780) * F.sin(4 * beta) + 761 * e6 / 45360 * F.sin(6 * beta)
     return F.atan2(sign * x, sign * down) / n, phi
