@@ -49,6 +49,7 @@ def test_broadcasts_are_seen(by_file_size):
     "all_metrics",
     "all_metrics_relational",
     "bootstrap_ci",
+    "connected_after_flip",
     "diameter_two_bfs",
     "direction",
     "flip_log_totals",
