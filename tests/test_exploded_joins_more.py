@@ -54,6 +54,7 @@ def test_broadcasts_are_seen(by_file_size):
     "direction",
     "flip_log_totals",
     "mean_and_std",
+    "mst_diameter",
     "outlier_table",
     "reock",
     "severity",
