@@ -55,6 +55,7 @@ def test_broadcasts_are_seen(by_file_size):
     "flip_log_totals",
     "mean_and_std",
     "mst_diameter",
+    "mst_tree_diameter",
     "outlier_table",
     "reock",
     "severity",
