@@ -57,6 +57,7 @@ def test_broadcasts_are_seen(by_file_size):
     "mst_diameter",
     "mst_tree_diameter",
     "outlier_table",
+    "plan_outliers",
     "reock",
     "severity",
     "mcmc_samples",
