@@ -59,6 +59,7 @@ def test_broadcasts_are_seen(by_file_size):
     "outlier_table",
     "plan_outliers",
     "reock",
+    "repair_contiguity",
     "severity",
     "mcmc_samples",
 ])
